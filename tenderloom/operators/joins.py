@@ -1,0 +1,45 @@
+"""Joins whose key may be dominated by a few values."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tenderloom.session import at_most, setting
+
+BROADCAST_ROWS = 20_000
+HOT_KEY_ROWS = 4_000_000
+
+
+def lookup(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join with a lookup table: broadcast only if its row count is checked to be low, else a shuffle join."""
+    if at_most(small, setting(big.sparkSession, "broadcast.rows", BROADCAST_ROWS)):
+        return big.join(F.broadcast(small), list(on), how)
+    return spread_join(big, small, on, how)
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Shuffle join in which the rows of hot keys of `big` are spread over several tasks.
+
+    Keys with more rows than `spark.tenderloom.hot.rows` get a salt; the matching rows of `small` are repeated once
+    per salt. `how` may be inner, left, left_semi or left_anti. Without a hot key it is a plain join.
+    """
+    limit = setting(big.sparkSession, "hot.rows", HOT_KEY_ROWS)
+    counts = big.groupBy(*on).agg(F.count("*").alias("__n")).filter(F.col("__n") > limit)
+    # At most rows / limit keys can be hot, so this list stays short.
+    hot = counts.withColumn("__salts", F.ceil(F.col("__n") / limit).cast("int")).drop("__n")
+    if hot.isEmpty():
+        return big.join(small, list(on), how)
+    salted_big = (
+        big.join(F.broadcast(hot), list(on), "left")
+        .withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.coalesce("__salts", F.lit(1))).cast("int"))
+        .drop("__salts")
+    )
+    salted_small = (
+        small.join(F.broadcast(hot), list(on), "left")
+        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
+        .drop("__salts")
+    )
+    return salted_big.join(salted_small, [*on, "__salt"], how).drop("__salt")
