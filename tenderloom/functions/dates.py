@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tenderloom import fixed_values as fixed
-from tenderloom.functions.text import collapse_spaces, contains_any, strip
+from tenderloom.functions.text import collapse_spaces, contains_any, let, strip
 
 # One numeric date with one separator throughout, and an optional time.
 _NOTICE_DATE = r"^(\d{4})([-./])(\d{1,2})\2(\d{1,2})(?: (\d{1,2}):(\d{1,2})(?::(\d{1,2}))?)?$"
@@ -14,35 +14,26 @@ _NOTICE_DATE = r"^(\d{4})([-./])(\d{1,2})\2(\d{1,2})(?: (\d{1,2}):(\d{1,2})(?::(
 
 def notice_datetime(c: Column) -> Column:
     """`yyyy-MM-dd`, with `HH:mm` unless it is midnight; text in no known form passes through."""
-    text = strip(collapse_spaces(F.regexp_replace(F.regexp_replace(strip(c), "T", " "), "Z", "")))
+    spaced = F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("T"), F.lit(" ")), F.lit("Z"), F.lit(""))
+    return let(strip(collapse_spaces(spaced)), _known_datetime)
 
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, _NOTICE_DATE, i).try_cast("int")
 
-    moment = F.try_make_timestamp_ntz(
-        part(1), part(3), part(4), F.coalesce(part(5), F.lit(0)), F.coalesce(part(6), F.lit(0)),
-        F.coalesce(part(7), F.lit(0)).cast("decimal(8,6)"),
-    )
-    midnight = (F.hour(moment) == 0) & (F.minute(moment) == 0)
-    known = moment.isNotNull() & text.rlike(_NOTICE_DATE)
-    return (
-        F.when(F.coalesce(text, F.lit("")) == "", F.lit(""))
-        .when(known & midnight, F.date_format(moment, "yyyy-MM-dd"))
-        .when(known, F.date_format(moment, "yyyy-MM-dd HH:mm"))
-        .otherwise(text)
-    )
+def _known_datetime(text: Column) -> Column:
+    dashed = F.concat(F.translate(F.substring(text, 1, 10), "./", "--"), F.substring(text, F.lit(11), F.length(text)))
+    # A timestamp without zone prints as its own digits, whatever the time zone of the session is.
+    moment = F.when(text.rlike(_NOTICE_DATE), dashed.try_cast("timestamp_ntz")).cast("string")
+    midnight = F.substring(moment, 12, 5) == "00:00"
+    return F.when(moment.isNull(), text).when(midnight, F.substring(moment, 1, 10)).otherwise(F.substring(moment, 1, 16))
 
 
 def notice_date_label(c: Column) -> Column:
-    value = notice_datetime(c)
-    return F.when(value == "", F.lit("정보 없음")).otherwise(value)
+    return F.coalesce(F.nullif(notice_datetime(c), F.lit("")), F.lit("정보 없음"))
 
 
 def date_in_text(c: Column) -> Column:
     """The first y-m-d, y.m.d or y/m/d in a text; null if there is none or it is no date."""
-    regex = r"(\d{4})[.\-/](\d{1,2})[.\-/](\d{1,2})"
-    parts = [F.regexp_extract(c, regex, i).try_cast("int") for i in (1, 2, 3)]
-    return F.try_make_timestamp_ntz(*parts, F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)")).cast("date")
+    found = F.regexp_extract(c, r"\d{4}[.\-/]\d{1,2}[.\-/]\d{1,2}", 0)
+    return F.translate(found, "./", "--").try_cast("date")
 
 
 def asks_for_time(normalized: Column) -> Column:
@@ -55,7 +46,10 @@ def asks_for_vat(normalized: Column) -> Column:
 
 def datetime_answer(c: Column, normalized_query: Column) -> Column:
     """A date for an answer; with a 12-hour Korean time when the question asks for the time."""
-    value = notice_datetime(c)
+    return let(notice_datetime(c), lambda value: _spoken(value, normalized_query))
+
+
+def _spoken(value: Column, normalized_query: Column) -> Column:
     hour = F.regexp_extract(value, r"^\d{4}-\d\d-\d\d (\d\d):(\d\d)$", 1).try_cast("int")
     minute = F.regexp_extract(value, r"^\d{4}-\d\d-\d\d (\d\d):(\d\d)$", 2).try_cast("int")
     twelve = F.when(hour % 12 == 0, F.lit(12)).otherwise(hour % 12)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tenderloom import fixed_values as fixed
-from tenderloom.functions.text import NON_TOKEN, collapse_spaces, first_non_blank, strip
+from tenderloom.functions.text import NON_TOKEN, collapse_spaces, first_non_blank, let, strip
 
 _KNOWN_EXT = r"(?i)\.(pdf|hwp|hwpx|csv)$"
 
@@ -22,19 +22,24 @@ def path_suffix(name: Column) -> Column:
 
 
 def path_stem(name: Column) -> Column:
-    ext = path_suffix(name)
+    return let(name, lambda n: _without(n, path_suffix(n)))
+
+
+def _without(name: Column, ext: Column) -> Column:
     return F.when(ext == "", name).otherwise(F.substring(name, F.lit(1), F.length(name) - F.length(ext) - 1))
 
 
 def source_stem(c: Column) -> Column:
     """File name, its document extension cut."""
-    name = base_name(c)
-    known = F.lower(path_suffix(name)).isin(fixed.DOCUMENT_EXTENSIONS)
-    return strip(F.when(known, path_stem(name)).otherwise(name))
+    def stem(name: Column) -> Column:
+        ext = path_suffix(name)
+        return F.when(F.lower(ext).isin(fixed.DOCUMENT_EXTENSIONS), _without(name, ext)).otherwise(name)
+
+    return strip(let(base_name(c), stem))
 
 
 def source_extension(c: Column) -> Column:
-    ext = F.lower(path_suffix(base_name(c)))
+    ext = let(base_name(c), lambda name: F.lower(path_suffix(name)))
     return F.when(ext.isin(fixed.DOCUMENT_EXTENSIONS), ext).otherwise(F.lit(""))
 
 
@@ -72,15 +77,17 @@ def eval_name(c: Column) -> Column:
 
 def eval_extension(c: Column, known_only: bool = False) -> Column:
     """Extension of a source. `known_only` ignores what follows a dot inside a name without extension."""
-    ext = path_suffix(eval_name(c))
+    return let(eval_name(c), lambda name: _eval_ext(name, known_only))
+
+
+def _eval_ext(name: Column, known_only: bool) -> Column:
+    ext = path_suffix(name)
     return F.when(ext.isin(fixed.DOCUMENT_EXTENSIONS), ext).otherwise(F.lit("")) if known_only else ext
 
 
 def eval_stem_key(c: Column, known_only: bool = False) -> Column:
     """Letters and digits of the stem: equal keys mean the same document."""
-    name = eval_name(c)
-    ext = eval_extension(c, known_only)
-    stem = F.when(ext == "", name).otherwise(F.substring(name, F.lit(1), F.length(name) - F.length(ext) - 1))
+    stem = let(eval_name(c), lambda name: _without(name, _eval_ext(name, known_only)))
     return F.regexp_replace(stem, r"[^\p{L}\p{N}]+", "")
 
 
@@ -131,13 +138,12 @@ def from_metadata(metadata: Column, keys: list[str]) -> Column:
 
 def remove_josa(c: Column, whole: bool = False) -> Column:
     """Cut a particle at the end: one character, or with `whole` the particle itself."""
+    particle = "(?:" + "|".join(fixed.JOSA) + r")\z"
     text = F.coalesce(c, F.lit(""))
-    out = text
-    for josa in reversed(fixed.JOSA):
-        cut = len(josa) if whole else 1
-        hit = F.endswith(text, F.lit(josa)) & (F.length(text) > 2)
-        out = F.when(hit, F.substring(text, F.lit(1), F.length(text) - cut)).otherwise(out)
-    return out
+    if whole:
+        return F.when(F.length(text) > 2, F.regexp_replace(text, particle, "")).otherwise(text)
+    ends = (F.length(text) > 2) & text.rlike(particle)
+    return F.when(ends, F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
 
 
 def org_of_file(c: Column) -> Column:
@@ -149,7 +155,10 @@ def org_of_file(c: Column) -> Column:
 
 def org_and_project(c: Column) -> Column:
     """`org_project.ext` as a struct; without an underscore the stem is both."""
-    stem = F.regexp_replace(path_stem(c), r"(?i)\.(docx|pdf|hwpx?)$", "")
+    return let(F.regexp_replace(path_stem(c), r"(?i)\.(docx|pdf|hwpx?)$", ""), _org_and_project)
+
+
+def _org_and_project(stem: Column) -> Column:
     head = F.split_part(stem, F.lit("_"), F.lit(1))
     rest = F.when(F.contains(stem, F.lit("_")), F.substring(stem, F.length(head) + 2, F.length(stem))).otherwise(stem)
     return F.struct(strip(head).alias("org"), strip(rest).alias("project"))

@@ -13,6 +13,7 @@ from tenderloom.functions.text import (
     contains_any,
     ends_with_any,
     json_object,
+    let,
     matches,
     starts_with_any,
     strip,
@@ -39,7 +40,10 @@ def org_like_count(question: Column) -> Column:
 
 def hardness(question: Column) -> Column:
     """Difficulty points from length, tokens, wording, connectives and named organisations."""
-    text = strip(F.coalesce(question, F.lit("")))
+    return let(strip(F.coalesce(question, F.lit(""))), _hardness)
+
+
+def _hardness(text: Column) -> Column:
     count = token_count(text)
     complex_wording = matches(text, fixed.COMPLEX_QUERY_PATTERN)
 
@@ -141,7 +145,10 @@ def _category(q: Column) -> Column:
 
 def intent(question: Column) -> Column:
     """Kind of question with its confidence: organisation, ranking, filter, category or search."""
-    q = strip(F.lower(question))
+    return let(strip(F.lower(question)), lambda q: _intent(question, q))
+
+
+def _intent(question: Column, q: Column) -> Column:
     org = org_in_question(question)
     category = _category(q)
     extreme = contains_any(q, fixed.RANK_EXTREME_WORDS) & contains_any(q, fixed.RANK_CONTEXT_WORDS)
@@ -252,7 +259,11 @@ def signature(q: Column) -> Column:
 # ---------------------------------------------------------------- question plan
 def plan(question: Column, target_org: Column | None = None) -> Column:
     """What a question asks for and the slots an answer has to fill."""
-    q = F.regexp_replace(F.lower(F.coalesce(question, F.lit(""))), WS + "+", " ")
+    spaced = F.regexp_replace(F.lower(F.coalesce(question, F.lit(""))), WS + "+", " ")
+    return let(spaced, lambda q: _plan(q, F.lit("") if target_org is None else target_org))
+
+
+def _plan(q: Column, target_org: Column) -> Column:
     each = F.contains(q, F.lit("각각")) & contains_any(q, fixed.PLAN_COMPARE_EACH_WORDS)
     comparison = matches(q, fixed.COMPARE_PATTERN) | contains_any(q, fixed.PLAN_COMPARE_WORDS) | each
     several = contains_any(q, fixed.PLAN_MULTI_WORDS)
@@ -264,7 +275,7 @@ def plan(question: Column, target_org: Column | None = None) -> Column:
             F.lit(kind).alias("query_kind"),
             F.array(*[F.lit(s) for s in fixed.PLAN_SLOTS[kind]]).alias("required_slots"),
             F.lit(kind == "comparison").alias("is_comparison"),
-            (F.lit("") if target_org is None else target_org).alias("target_org"),
+            target_org.alias("target_org"),
         )
 
     return (

@@ -19,6 +19,11 @@ NON_TOKEN = "[^0-9A-Za-z가-힣]+"
 NFKC_STABLE = r"^[\x00-\x7fÀ-ÖØ-öø-ıĴ-ľŁ-ňŊ-ž가-힣]*$"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is computed once, however often the expression reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def pattern(regex: str, multiline: bool = False) -> str:
     """A regex with Unicode classes and newline as the only line terminator."""
     return ("(?Umd)" if multiline else "(?Ud)") + regex
@@ -139,28 +144,30 @@ def clip_at_sentence(normalized: Column, max_len: int = 360) -> Column:
 
     The greedy prefix finds the last end mark; a Korean ending counts only before white space or the end of the text.
     """
-    text = strip(F.coalesce(normalized, F.lit("")))
     low = max(20, int(max_len * 0.6))
-    head = F.substring(text, 1, max_len + 1)
     at_mark = rf"(?s)\A(.{{{low},{max_len - 1}}}[.!?;:)\]}}\"'”’])"
     at_ending = rf"(?s)\A(.{{{low},{max_len - 1}}}[다됨요함])(?={WS}|\z)"
-    by_mark = F.regexp_extract(head, at_mark, 1)
-    by_ending = F.regexp_extract(head, at_ending, 1)
-    best = F.when(F.length(by_mark) >= F.length(by_ending), by_mark).otherwise(by_ending)
-    return (
-        F.when(F.length(text) <= max_len, text)
-        .when(best != "", rstrip(best))
-        .otherwise(F.concat(rstrip(F.substring(text, 1, max_len - 1)), F.lit("…")))
-    )
+
+    def cut(text: Column) -> Column:
+        head = F.substring(text, 1, max_len + 1)
+        by_mark, by_ending = F.regexp_extract(head, at_mark, 1), F.regexp_extract(head, at_ending, 1)
+        best = F.when(F.length(by_mark) >= F.length(by_ending), by_mark).otherwise(by_ending)
+        return (
+            F.when(F.length(text) <= max_len, text)
+            .when(best != "", rstrip(best))
+            .otherwise(F.concat(rstrip(F.substring(text, 1, max_len - 1)), F.lit("…")))
+        )
+
+    return let(strip(F.coalesce(normalized, F.lit(""))), cut)
 
 
 def looks_incomplete(normalized: Column) -> Column:
-    value = strip(F.coalesce(normalized, F.lit("")))
-    return (
-        F.when(value == "", F.lit(False))
+    return let(
+        strip(F.coalesce(normalized, F.lit(""))),
+        lambda value: F.when(value == "", F.lit(False))
         .when(value.rlike(pattern(fixed.INCOMPLETE_MEDIA_PATTERN)), F.lit(True))
         .when(ends_with_any(value, fixed.COMPLETE_ENDINGS), F.lit(False))
-        .otherwise(value.rlike(fixed.INCOMPLETE_ENDINGS_PATTERN))
+        .otherwise(value.rlike(fixed.INCOMPLETE_ENDINGS_PATTERN)),
     )
 
 
