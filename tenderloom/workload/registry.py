@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["notices", "text"]
+_MODULES = ["notices", "text", "structure"]
 
 
 def registered() -> dict:
