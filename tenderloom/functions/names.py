@@ -13,33 +13,25 @@ _KNOWN_EXT = r"(?i)\.(pdf|hwp|hwpx|csv)$"
 
 def base_name(c: Column) -> Column:
     """Last path component, trailing slashes ignored."""
-    return F.regexp_extract(strip(F.coalesce(c, F.lit(""))), r"([^/]*)/*\z", 1)
+    return F.substring_index(F.rtrim(strip(F.coalesce(c, F.lit(""))), F.lit("/")), "/", -1)
 
 
 def path_suffix(name: Column) -> Column:
     """The extension without its dot; empty for dot files and names without one."""
-    return F.when(name.rlike(r"(?s)^\.*[^.].*\.[^.]+$"), F.regexp_extract(name, r"(?s)\.([^.]+)$", 1)).otherwise("")
+    return F.regexp_extract(name, r"(?s)\A\.*[^.].*\.([^.]+)\z", 1)
 
 
 def path_stem(name: Column) -> Column:
-    return let(name, lambda n: _without(n, path_suffix(n)))
-
-
-def _without(name: Column, ext: Column) -> Column:
-    return F.when(ext == "", name).otherwise(F.substring(name, F.lit(1), F.length(name) - F.length(ext) - 1))
+    return F.regexp_replace(name, r"(?s)\A(\.*[^.].*)\.[^.]+\z", "$1")
 
 
 def source_stem(c: Column) -> Column:
     """File name, its document extension cut."""
-    def stem(name: Column) -> Column:
-        ext = path_suffix(name)
-        return F.when(F.lower(ext).isin(fixed.DOCUMENT_EXTENSIONS), _without(name, ext)).otherwise(name)
-
-    return strip(let(base_name(c), stem))
+    return strip(F.regexp_replace(base_name(c), r"(?is)\A(\.*[^.].*)\.(?:pdf|hwp|hwpx|csv)\z", "$1"))
 
 
 def source_extension(c: Column) -> Column:
-    ext = let(base_name(c), lambda name: F.lower(path_suffix(name)))
+    ext = F.lower(path_suffix(base_name(c)))
     return F.when(ext.isin(fixed.DOCUMENT_EXTENSIONS), ext).otherwise(F.lit(""))
 
 
@@ -75,19 +67,19 @@ def eval_name(c: Column) -> Column:
     return F.lower(base_name(c))
 
 
-def eval_extension(c: Column, known_only: bool = False) -> Column:
-    """Extension of a source. `known_only` ignores what follows a dot inside a name without extension."""
-    return let(eval_name(c), lambda name: _eval_ext(name, known_only))
+_ANY_EXT, _DOCUMENT_EXT = "[^.]+", "(?:pdf|hwp|hwpx|csv)"
 
 
-def _eval_ext(name: Column, known_only: bool) -> Column:
-    ext = path_suffix(name)
-    return F.when(ext.isin(fixed.DOCUMENT_EXTENSIONS), ext).otherwise(F.lit("")) if known_only else ext
+def eval_extension(c: Column, known_only: bool = False) -> Column:
+    """Extension of a source. `known_only` ignores what follows a dot inside a name without extension."""
+    ext = _DOCUMENT_EXT if known_only else _ANY_EXT
+    return F.regexp_extract(eval_name(c), rf"(?s)\A\.*[^.].*\.({ext})\z", 1)
 
 
 def eval_stem_key(c: Column, known_only: bool = False) -> Column:
     """Letters and digits of the stem: equal keys mean the same document."""
-    stem = let(eval_name(c), lambda name: _without(name, _eval_ext(name, known_only)))
+    ext = _DOCUMENT_EXT if known_only else _ANY_EXT
+    stem = F.regexp_replace(eval_name(c), rf"(?s)\A(\.*[^.].*)\.{ext}\z", "$1")
     return F.regexp_replace(stem, r"[^\p{L}\p{N}]+", "")
 
 

@@ -13,6 +13,7 @@ from tenderloom import fixed_values as fixed
 
 # Whitespace as Python's str.strip and its Unicode \s see it.
 WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_WS_CHARS = "".join(chr(n) for n in range(0x3001) if chr(n).isspace())
 TOKEN = "[0-9A-Za-z가-힣]+"
 NON_TOKEN = "[^0-9A-Za-z가-힣]+"
 # Text of these characters alone is its own NFKC form.
@@ -34,15 +35,15 @@ def matches(c: Column, regex: str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(_WS_CHARS))
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WS}+", "")
+    return F.ltrim(c, F.lit(_WS_CHARS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{WS}+\z", "")
+    return F.rtrim(c, F.lit(_WS_CHARS))
 
 
 def strip_chars(c: Column, chars: str) -> Column:

@@ -68,15 +68,17 @@ def expected_phrases(text: Column) -> Column:
     return F.slice(F.array_distinct(kept), 1, 6)
 
 
-def candidate_score(text: Column, question_tokens: Column, answer_tokens: Column, numbers: Column, phrases: Column) -> Column:
-    """Struct of the score and its parts; `text` is normalised."""
-    have = label_tokens(text)
+def candidate_score(
+    text: Column, have: Column, have_numbers: Column,
+    question_tokens: Column, answer_tokens: Column, numbers: Column, phrases: Column,
+) -> Column:
+    """Struct of the score and its parts; `text` is normalised, `have` its tokens."""
 
     def share(wanted: Column) -> Column:
         return F.size(F.array_intersect(wanted, have)) / F.greatest(F.size(wanted), F.lit(1))
 
     ov_q, ov_e = share(question_tokens), share(answer_tokens)
-    num_hit = F.size(F.array_intersect(numbers, label_numbers(text)))
+    num_hit = F.size(F.array_intersect(numbers, have_numbers))
     phrase_hit = F.size(F.filter(phrases, lambda p: (p != "") & F.contains(text, p)))
     score = 1.8 * ov_q + 3.2 * ov_e + 1.4 * num_hit + 1.6 * F.least(phrase_hit, F.lit(2))
     empty = text == ""
@@ -111,9 +113,12 @@ def score_candidates(items: DataFrame, chunks: DataFrame) -> DataFrame:
         label_tokens(F.col("question")).alias("__q"), label_tokens(F.col("answer")).alias("__e"),
         label_numbers(F.col("answer")).alias("__n"), expected_phrases(F.col("answer")).alias("__p"),
     )
-    rows = lookup(chunks.select("source", "chunk_id", "text"), prepared, ["source"], "inner")
-    parts = candidate_score(F.col("text"), F.col("__q"), F.col("__e"), F.col("__n"), F.col("__p"))
-    scored = rows.withColumn("parts", parts)
+    # Tokens are taken once per chunk, before it meets the items of its source.
+    read = chunks.select(
+        "source", "chunk_id", "text", label_tokens(F.col("text")).alias("__t"), label_numbers(F.col("text")).alias("__tn")
+    )
+    rows = lookup(read, prepared, ["source"], "inner")
+    scored = rows.withColumn("parts", candidate_score(*[F.col(c) for c in ("text", "__t", "__tn", "__q", "__e", "__n", "__p")]))
     fits = acceptable(F.col("question"), F.col("query_type"), F.col("text"), F.col("parts"), F.col("__n"))
     return scored.select("item_id", "source", "chunk_id", "parts.*", fits.alias("acceptable"))
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderloom import fixed_values as fixed
 from tenderloom.functions.questions import budget_evidence, needs_original, owner_evidence
-from tenderloom.functions.text import strip
+from tenderloom.functions.text import let, strip
 from tenderloom.operators.ordered import top_per_group
 
 
@@ -47,36 +46,42 @@ def diversify(hits: DataFrame, top_window: int = fixed.DEFAULT_TOP_K) -> DataFra
     )
 
 
-def _pick_apart(rows: pd.DataFrame) -> pd.DataFrame:
-    """Order the window of one list: each pick takes the best score after penalties against the last six picks."""
-    waiting = list(rows.sort_values(["score", "rank"], ascending=[False, True]).itertuples(index=False))
-    picked: list = []
-
-    def penalty(row) -> float:
-        total = 0.0
-        for other in picked[-6:]:
-            if not row.source_key or row.source_key != other.source_key:
-                continue
-            if pd.isna(row.chunk_index) or pd.isna(other.chunk_index):
-                total += 0.25
-            else:
-                gap = abs(row.chunk_index - other.chunk_index)
-                total += 1.6 if gap <= 2 else 0.6 if gap <= 5 else 0.15
-        return total
-
-    while waiting:
-        best = max(range(len(waiting)), key=lambda i: (waiting[i].score - penalty(waiting[i]), -i))
-        picked.append(waiting.pop(best))
-    return pd.DataFrame({"query_id": [r.query_id for r in picked], "rank": [r.rank for r in picked]}).assign(
-        new_rank=range(1, len(picked) + 1)
-    )
+def _penalty(item: Column, other: Column) -> Column:
+    gap = F.abs(item["chunk_index"] - other["chunk_index"])
+    by_gap = F.when(gap <= 2, 1.6).when(gap <= 5, 0.6).when(gap.isNotNull(), 0.15).otherwise(0.25)
+    same = (item["source_key"] != "") & (item["source_key"] == other["source_key"])
+    return F.when(same, by_gap).otherwise(0.0)
+
+
+def _picks(window: Column, size: int) -> Column:
+    """Order of a sorted window: each pick takes the best score after penalties against the last six picks."""
+
+    def pick(state: Column, _: Column) -> Column:
+        recent = F.slice(state["picked"], F.greatest(F.size(state["picked"]) - 5, F.lit(1)), 6)
+
+        def adjusted(item: Column) -> Column:
+            return item["score"] - F.aggregate(recent, F.lit(0.0), lambda total, other: total + _penalty(item, other))
+
+        ranked = F.transform(state["waiting"], lambda item, i: F.struct(adjusted(item).alias("s"), (-i).alias("i")))
+        return F.when(F.size(state["waiting"]) == 0, state).otherwise(
+            let(
+                -F.array_max(ranked)["i"],
+                lambda best: F.struct(
+                    F.array_append(state["picked"], F.get(state["waiting"], best)).alias("picked"),
+                    F.filter(state["waiting"], lambda _, i: i != best).alias("waiting"),
+                ),
+            )
+        )
+
+    start = F.struct(F.slice(window, 1, 0).alias("picked"), window.alias("waiting"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(size)), start, pick)["picked"]
 
 
 def spread_sources(hits: DataFrame, top_window: int = fixed.DEFAULT_TOP_K) -> DataFrame:
     """Re-rank the top window so that neighbouring chunks of one source do not crowd it.
 
-    Needs query_id, rank, score, source_key, chunk_index; adds `new_rank`. Only the window of a list, whose size is
-    fixed, goes to Python, and only the columns the rule reads; what is behind it keeps the score order.
+    Needs query_id, rank, score, source_key, chunk_index; adds `new_rank`. The picks depend on each other, so the
+    window of a list, whose size is fixed, is folded as one array; what is behind it keeps the score order.
     """
     window = max(4, top_window)
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("rank"))
@@ -85,13 +90,18 @@ def spread_sources(hits: DataFrame, top_window: int = fixed.DEFAULT_TOP_K) -> Da
     )
     # Lists of at most two hits come back in the order they had.
     ordered = ordered.withColumn("__place", F.when(F.col("__n") > 2, F.col("__place")).otherwise(F.col("rank")))
-    head = ordered.filter((F.col("__n") > 2) & (F.col("__place") <= window))
-    narrow = head.select("query_id", "rank", "score", "source_key", F.col("chunk_index").cast("double"))
-    types = {f.name: f.dataType.simpleString() for f in hits.schema.fields}
-    moved = narrow.groupBy("query_id").applyInPandas(
-        _pick_apart, f"query_id {types['query_id']}, rank {types['rank']}, new_rank int"
+    item = F.struct(
+        "__place", F.col("score").cast("double").alias("score"), F.coalesce("source_key", F.lit("")).alias("source_key"),
+        F.col("chunk_index").cast("bigint").alias("chunk_index"), "rank",
     )
-    joined = ordered.join(moved, ["query_id", "rank"], "left")
+    head = ordered.filter((F.col("__n") > 2) & (F.col("__place") <= window))
+    picked = head.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("w"))
+    # Without a repeated source there is no penalty and the score order stands.
+    keys = F.filter(F.transform("w", lambda h: h["source_key"]), lambda k: k != "")
+    picked = picked.filter(F.size(F.array_distinct(keys)) < F.size(keys))
+    moved = picked.select("query_id", F.posexplode(_picks(F.col("w"), window)).alias("p", "h"))
+    places = moved.select("query_id", F.col("h.rank").alias("rank"), (F.col("p") + 1).alias("new_rank"))
+    joined = ordered.join(places, ["query_id", "rank"], "left")
     return joined.withColumn("new_rank", F.coalesce("new_rank", "__place")).drop("__place", "__n")
 
 

@@ -198,7 +198,7 @@ def retrieval_metrics(spark, sf):
 
 
 METRICS_SQL = with_sql(["hits"], """
-    SELECT query_id, count(*) AS retrieval_count, round(avg(score) FILTER (score <> 0), 4) AS retrieval_avg_score, round(max(score) FILTER (score <> 0), 4) AS retrieval_max_score
+    SELECT query_id, count(*) AS retrieval_count, round(round(avg(score) FILTER (score <> 0), 10), 4) AS retrieval_avg_score, round(max(score) FILTER (score <> 0), 4) AS retrieval_max_score
     FROM hits GROUP BY query_id""")
 
 
