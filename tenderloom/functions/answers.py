@@ -24,13 +24,10 @@ def slot_fill_rate(slots: Column, answer: Column, spans: Column) -> Column:
         "evidence": spans > 0,
         "key_points": F.length(strip(answer)) >= fixed.SLOT_KEY_POINTS_LENGTH,
     }
-    total = sum(
-        (
-            F.size(F.filter(slots, lambda s, name=name: s == name)) * condition.cast("int")
-            for name, condition in filled.items()
-        ),
-        F.lit(0),
-    )
+    def asked(name: str) -> Column:
+        return F.size(F.filter(slots, lambda s: s == name))
+
+    total = sum((asked(name) * condition.cast("int") for name, condition in filled.items()), F.lit(0))
     return F.when(F.size(slots) == 0, (strip(answer) != "").cast("double")).otherwise(total / F.size(slots))
 
 

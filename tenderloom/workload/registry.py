@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["notices", "text", "structure", "retrieval", "evaluation"]
+_MODULES = ["notices", "text", "structure", "retrieval", "evaluation", "dialogue", "operations"]
 
 
 def registered() -> dict:
