@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["notices", "text", "structure", "retrieval", "evaluation", "dialogue", "operations"]
+_MODULES = ["notices", "text", "structure", "retrieval", "evaluation", "dialogue", "operations", "plans"]
 
 
 def registered() -> dict:
