@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tenderloom import fixed_values as fixed
-from tenderloom.functions.text import matches, pattern, strip
+from tenderloom.functions.text import let, matches, pattern, strip
 
 
 def won(amount: Column) -> Column:
@@ -69,22 +69,30 @@ def answer_amount(c: Column) -> Column:
 
 def amount_in_text(c: Column) -> Column:
     """The first amount named in a document text: struct of its label and its value in won."""
-    found = []
-    for regex in fixed.AMOUNT_PATTERNS:
-        digits = F.regexp_replace(F.regexp_extract(c, pattern(regex), 1), r"[,()]", "")
-        value = digits.try_cast("bigint")
-        found.append(F.when(value.isNotNull(), F.struct(won(value).alias("label"), value.alias("value"))))
+    digits = [
+        F.nullif(F.regexp_replace(F.regexp_extract(c, pattern(regex), 1), r"[,()]", ""), F.lit(""))
+        for regex in fixed.AMOUNT_PATTERNS
+    ]
+    nothing = F.struct(F.lit("").alias("label"), F.lit(0).cast("bigint").alias("value"))
     number = F.regexp_extract(c, pattern(fixed.AMOUNT_UNIT_PATTERN), 1).try_cast("double")
     unit = F.regexp_extract(c, pattern(fixed.AMOUNT_UNIT_PATTERN), 2)
-    in_units = F.when(
-        number.isNotNull(),
-        F.struct(
-            F.concat(number.cast("string"), unit, F.lit("원")).alias("label"),
-            (number * F.when(unit == "억", fixed.EOK).otherwise(fixed.MAN)).cast("bigint").alias("value"),
+    in_units = let(
+        number,
+        lambda n: F.when(
+            n.isNotNull(),
+            F.struct(
+                F.concat(n.cast("string"), unit, F.lit("원")).alias("label"),
+                (n * F.when(unit == "억", fixed.EOK).otherwise(fixed.MAN)).cast("bigint").alias("value"),
+            ),
         ),
     )
-    nothing = F.struct(F.lit("").alias("label"), F.lit(0).cast("bigint").alias("value"))
-    return F.coalesce(*found, in_units, nothing)
+
+    def plain(value: Column) -> Column:
+        return F.when(value.isNotNull(), F.struct(won(value).alias("label"), value.alias("value"))).otherwise(
+            F.coalesce(in_units, nothing)
+        )
+
+    return let(F.coalesce(*digits).try_cast("bigint"), plain)
 
 
 def vat_note(normalized: Column) -> Column:

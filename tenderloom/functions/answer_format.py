@@ -115,9 +115,15 @@ def _item(c: Column) -> Column:
 
 
 def _unique_items(values: Column) -> Column:
-    cleaned = F.filter(F.transform(values, _item), lambda x: x != "")
-    keys = F.transform(cleaned, F.lower)
-    return F.filter(cleaned, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+    return let(F.filter(F.transform(values, _item), lambda x: x != ""), _first_of_each)
+
+
+def _first_of_each(lines: Column) -> Column:
+    """Lines without later copies that differ only in case."""
+    return let(
+        F.transform(lines, F.lower),
+        lambda keys: F.filter(lines, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1),
+    )
 
 
 def _numbers(c: Column) -> Column:
@@ -137,9 +143,11 @@ def _follow_up(primary: Column, evidence: Column) -> Column:
     """The first evidence item that adds to the first sentence: new words and numbers, a condition or its end."""
     unfinished = looks_incomplete(primary)
 
+    def inside_of(a: Column, b: Column) -> Column:
+        return (a != "") & (b != "") & (F.contains(b, a) | F.contains(a, b))
+
     def repeats(item: Column) -> Column:
-        a, b = _compact(primary), _compact(item)
-        inside = (a != "") & (b != "") & (F.contains(b, a) | F.contains(a, b))
+        inside = let(_compact(primary), lambda a: let(_compact(item), lambda b: inside_of(a, b)))
         return (
             inside
             | (overlap_coefficient(tokens(primary), tokens(item)) >= 0.45)
@@ -181,7 +189,7 @@ def readable(answer: Column, guide: Column) -> Column:
 
 def _core(parts: Column, count: int, size: int) -> Column:
     items = F.slice(F.transform(_unique_items(parts["core"]), lambda x: trimmed(x, size)), 1, count)
-    return F.when(F.size(items) == 0, F.array(F.lit(fixed.NO_ANSWER))).otherwise(items)
+    return let(items, lambda i: F.when(F.size(i) == 0, F.array(F.lit(fixed.NO_ANSWER))).otherwise(i))
 
 
 def _as_guide(parts: Column) -> Column:
@@ -213,8 +221,7 @@ def compacted(answer: Column, guide: Column) -> Column:
         )
 
         def chosen(ls: Column) -> Column:
-            keys = F.transform(ls, F.lower)
-            different = F.filter(ls, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+            different = _first_of_each(ls)
             short = F.transform(F.slice(ls, 1, 2), lambda x, i: F.when(i == 0, trimmed(x, 300)).otherwise(trimmed(x, 360)))
             return F.array_join(F.when(guide, F.slice(different, 1, 6)).otherwise(short), "\n")
 
@@ -226,7 +233,7 @@ def compacted(answer: Column, guide: Column) -> Column:
 # ---------------------------------------------------------------- tone
 def _polite_end(c: Column) -> Column:
     """A Korean clause end as a polite sentence end."""
-    text = F.lit("") if c is None else c
+    text = c
     stem = F.substring(text, F.lit(1), F.length(text) - 1)
     polite = (
         F.when(F.endswith(text, F.lit("함")), F.concat(stem, F.lit("합니다")))
@@ -248,14 +255,14 @@ def _polite_line(line: Column) -> Column:
     for old, new in fixed.HONORIFIC_PHRASES:
         text = F.replace(text, F.lit(old), F.lit(new))
     for ending, polite in fixed.HONORIFIC_CONNECTIVES:
-        text = F.when(
-            F.endswith(text, F.lit(ending)), F.concat(F.substring(text, F.lit(1), F.length(text) - len(ending)), F.lit(polite))
-        ).otherwise(text)
+        text = F.regexp_replace(text, ending + r"\z", polite)
 
     def ended(t: Column) -> Column:
         bullet = F.startswith(t, F.lit("- "))
-        content = strip(F.substring(t, 3, 1_000_000_000))
-        as_bullet = F.when(content == "", t).otherwise(F.concat(F.lit("- "), let(_polite_end(content), _stopped)))
+        as_bullet = let(
+            strip(F.substring(t, 3, 1_000_000_000)),
+            lambda c: F.when(c == "", t).otherwise(F.concat(F.lit("- "), let(_polite_end(c), _stopped))),
+        )
         return F.when(bullet, as_bullet).otherwise(let(_polite_end(t), _stopped))
 
     return let(text, ended)
@@ -264,6 +271,6 @@ def _polite_line(line: Column) -> Column:
 def polite(answer: Column) -> Column:
     """Every line of an answer with a polite ending and a full stop."""
     lines = F.filter(
-        F.transform(F.split(strip(F.coalesce(answer, F.lit(""))), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", -1), strip), lambda x: x != ""
+        F.transform(F.split(strip(F.coalesce(answer, F.lit(""))), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1), strip), lambda x: x != ""
     )
     return strip(F.array_join(F.transform(lines, _polite_line), "\n"))

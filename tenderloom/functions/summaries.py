@@ -12,7 +12,7 @@ _END = "[.!?。？！]\\z"
 
 
 def _closed(text: Column) -> Column:
-    return F.when((text != "") & ~text.rlike(_END), F.concat(text, F.lit("."))).otherwise(text)
+    return let(text, lambda t: F.when((t != "") & ~t.rlike(_END), F.concat(t, F.lit("."))).otherwise(t))
 
 
 def _score(sentence: Column) -> Column:
@@ -80,13 +80,17 @@ def within_limit(c: Column, max_chars: int) -> Column:
             F.transform(F.split(flat, pattern(fixed.SUMMARY_SPLIT_PATTERN), -1), lambda s: strip_chars(s, " -•\t")),
             lambda s: s != "",
         )
-        parts = F.when(F.size(found) > 0, found).otherwise(F.array(flat))
+        parts = let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(flat)))
         words = strip(F.regexp_replace(F.substring(flat, 1, limit), r"(?s) [^ ]*\z", ""))
-        hard = _closed(F.when(words != "", words).otherwise(strip(F.substring(flat, 1, limit))))
-        by_sentence = let(parts, lambda p: F.coalesce(
-            F.nullif(_sentence_choice(p, limit), F.lit("")), F.nullif(_clause_choice(F.get(p, F.lit(0)), limit), F.lit(""))
-        ))
-        return F.when(F.length(flat) <= limit, flat).otherwise(F.coalesce(by_sentence, hard))
+        hard = _closed(let(words, lambda w: F.when(w != "", w).otherwise(strip(F.substring(flat, 1, limit)))))
+
+        def by_clause(p: Column) -> Column:
+            return let(_clause_choice(F.get(p, F.lit(0)), limit), lambda c: F.when(c != "", c).otherwise(hard))
+
+        def by_sentence(p: Column) -> Column:
+            return let(_sentence_choice(p, limit), lambda s: F.when(s != "", s).otherwise(by_clause(p)))
+
+        return F.when(F.length(flat) <= limit, flat).otherwise(let(parts, by_sentence))
 
     return let(strip(collapse_spaces(F.coalesce(c, F.lit("")))), shorten)
 
@@ -100,8 +104,9 @@ def headline_and_points(answer: Column) -> Column:
         ),
         lambda s: s != "",
     )
-    summary = F.when(F.size(flat_sentences) > 0, F.array_join(F.slice(flat_sentences, 1, 2), " ")).otherwise(
-        F.lit("답변이 생성되지 않았습니다.")
+    summary = let(
+        F.slice(flat_sentences, 1, 2),
+        lambda two: F.when(F.size(two) > 0, F.array_join(two, " ")).otherwise(F.lit("답변이 생성되지 않았습니다.")),
     )
 
     def heading(x: Column) -> Column:

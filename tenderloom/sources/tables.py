@@ -6,6 +6,21 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+SPREAD_BYTES = 256 * 1024
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+    """A table. One whose files give fewer splits than there are cores is spread over the cores by its first column.
+
+    A large table has many more splits than cores and is read as it is.
+    """
+    df = spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores or _size(df) < SPREAD_BYTES:
+        return df
+    return df.repartition(cores, df.columns[0])
+
+
+def _size(df: DataFrame) -> int:
+    """Bytes of the files behind a frame, from the statistics of its plan."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
