@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tenderloom import fixed_values as fixed
 from tenderloom.operators.ordered import row_numbers
+from tenderloom.session import frozen
 
 
 def read_notices(spark: SparkSession, path: str) -> DataFrame:
@@ -15,7 +16,6 @@ def read_notices(spark: SparkSession, path: str) -> DataFrame:
 
     Columns are found by their header, so a file may lack some. A missing file gives an empty frame.
     """
-    names = list(fixed.NOTICE_CSV_COLUMNS)
     empty = T.StructType([T.StructField("row_num", T.LongType())] + [T.StructField(n, T.StringType()) for n in fixed.NOTICE_CSV_COLUMNS.values()])
     if not exists(spark, path):
         return spark.createDataFrame([], empty)
@@ -24,12 +24,15 @@ def read_notices(spark: SparkSession, path: str) -> DataFrame:
     bad = "_bad_row"
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, bad]])
     rows = reader.schema(schema).option("enforceSchema", True).option("columnNameOfCorruptRecord", bad).csv(path)
-    # A quoted cell may hold line breaks, so the file is read as one split; its order is the order of the ids.
-    good = rows.filter(F.col(bad).isNull()).withColumn("__id", F.monotonically_increasing_id())
-    picked = good.select(
-        "__id", *[(F.coalesce(F.col(f"`{k}`"), F.lit("")) if k in header else F.lit("")).alias(v) for k, v in fixed.NOTICE_CSV_COLUMNS.items() if k in names]
+    # A quoted cell may hold line breaks, so a file is one split and the ids follow its lines. The rows are written
+    # once, so that the ids stay and broken rows are judged by the whole line.
+    read = rows.select(
+        bad,
+        F.monotonically_increasing_id().alias("__id"),
+        *[(F.coalesce(F.col(f"`{k}`"), F.lit("")) if k in header else F.lit("")).alias(v) for k, v in fixed.NOTICE_CSV_COLUMNS.items()],
     )
-    return row_numbers(picked, [], ["__id"], "row_num").drop("__id").select("row_num", *fixed.NOTICE_CSV_COLUMNS.values())
+    good = frozen(read).filter(F.col(bad).isNull()).drop(bad)
+    return row_numbers(good, [], ["__id"], "row_num").drop("__id").select("row_num", *fixed.NOTICE_CSV_COLUMNS.values())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
