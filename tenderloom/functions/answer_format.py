@@ -11,6 +11,7 @@ from tenderloom.functions.text import (
     contains_any,
     let,
     looks_incomplete,
+    match_key,
     overlap_coefficient,
     pattern,
     rstrip,
@@ -131,10 +132,6 @@ def _numbers(c: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda m: F.lower(F.regexp_replace(m, pattern(r"\s+"), ""))))
 
 
-def _compact(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), "[^0-9a-zA-Z가-힣]+", "")
-
-
 def _labelled(c: Column) -> Column:
     return c.rlike(pattern(r"(?i)\A(근거|출처|source)\s*:"))
 
@@ -147,7 +144,7 @@ def _follow_up(primary: Column, evidence: Column) -> Column:
         return (a != "") & (b != "") & (F.contains(b, a) | F.contains(a, b))
 
     def repeats(item: Column) -> Column:
-        inside = let(_compact(primary), lambda a: let(_compact(item), lambda b: inside_of(a, b)))
+        inside = let(match_key(primary), lambda a: let(match_key(item), lambda b: inside_of(a, b)))
         return (
             inside
             | (overlap_coefficient(tokens(primary), tokens(item)) >= 0.45)

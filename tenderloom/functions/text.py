@@ -127,7 +127,8 @@ def overlap_coefficient(left: Column, right: Column) -> Column:
 
 def match_key(normalized: Column) -> Column:
     """Letters and digits only, lower case; expects NFKC text."""
-    return F.regexp_replace(F.lower(normalized), NON_TOKEN, "")
+    kept = F.regexp_extract_all(F.lower(normalized), F.lit("[0-9a-z가-힣]+"), F.lit(0))
+    return F.array_join(kept, "")
 
 
 def sentences(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tenderloom import fixed_values as fixed
 from tenderloom.functions import markdown as md
-from tenderloom.functions.text import WS, blank, pattern, strip
+from tenderloom.functions.text import blank, pattern, strip
 from tenderloom.operators.lines import join_lines
 from tenderloom.operators.tables import join_cell_lines
 

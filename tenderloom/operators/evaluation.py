@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenderloom import fixed_values as fixed
 from tenderloom.functions import names
-from tenderloom.functions.text import strip
+from tenderloom.functions.text import json_object, strip
 
 
 # ---------------------------------------------------------------- matches
@@ -61,23 +62,18 @@ def source_metrics(truth: DataFrame, hits: DataFrame, k: int, distinct: bool = T
         found = found.join(wanted, "query_id").filter(
             (F.col("n_truth") > 1) | F.col("__page").isNull() | F.coalesce(F.col("page") == F.col("__page"), F.lit(False))
         )
+    # A source matched by very many hits is reduced to its first rank inside each task.
     first = found.groupBy("query_id", "n_truth", "truth").agg(F.min("rank").alias("first_rank"))
     per_query = first.groupBy("query_id").agg(
         F.max("first_rank").alias("last"), F.count("*").alias("n_found"), F.max("n_truth").alias("n_truth"),
         F.count_if(F.col("first_rank") <= k).alias("n_in_k"),
-        F.max("n_truth").alias("n_needed"),
     )
-    labels = truth.select("query_id")
-    joined = labels.join(per_query, "query_id", "left")
-    complete = F.col("n_found") == F.col("n_truth")
-    distinct_needed = truth_sources(truth, True).select("query_id", F.col("n_truth").alias("n_distinct")).distinct()
-    if not distinct:
-        joined = joined.join(distinct_needed, "query_id", "left")
-    needed = F.col("n_truth") if distinct else F.col("n_distinct")
+    needed = F.size(F.array_distinct(F.filter(F.transform("sources", names.eval_name), lambda s: s != "")))
+    joined = truth.select("query_id", needed.alias("n_needed")).join(per_query, "query_id", "left")
     return joined.select(
         "query_id",
-        F.when(complete, F.col("last")).alias("hit_position"),
-        F.when(F.col("n_in_k") == needed, 1.0).otherwise(0.0).alias("recall_at_k"),
+        F.when(F.col("n_found") == F.col("n_truth"), F.col("last")).alias("hit_position"),
+        F.when(F.col("n_in_k") == F.col("n_needed"), 1.0).otherwise(0.0).alias("recall_at_k"),
     )
 
 
@@ -197,9 +193,6 @@ def summary(results: DataFrame, top_k: int) -> DataFrame:
 
 def judge_scores(reply: Column) -> Column:
     """The four scores of a judge's JSON reply, each brought into 0..5, with their reasons; null if unreadable."""
-    from tenderloom import fixed_values as fixed
-    from tenderloom.functions.text import json_object
-
     entry = "struct<score: int, reason: string>"
     parsed = F.from_json(json_object(reply), ", ".join(f"{c} {entry}" for c in fixed.JUDGE_CRITERIA))
     scored = [

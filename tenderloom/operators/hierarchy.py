@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderloom import fixed_values as fixed
-from tenderloom.functions.text import sentences, strip
+from tenderloom.functions.text import sentences
 from tenderloom.operators.ordered import top_per_group
 
 

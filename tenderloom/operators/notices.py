@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderloom import fixed_values as fixed
 from tenderloom.functions import amounts, dates, names
-from tenderloom.functions.text import blank, contains_any, first_non_blank, strip
+from tenderloom.functions.text import blank, first_non_blank, strip
 from tenderloom.operators.ordered import row_numbers
 
 
@@ -336,8 +338,6 @@ def notice_markdown(df: DataFrame, vat: Column) -> DataFrame:
 
 def fill_template(template: str, fields: dict[str, Column]) -> Column:
     """A `{name}` template as one concatenation."""
-    import string
-
     parts = []
     for literal, name, _, _ in string.Formatter().parse(template):
         if literal:

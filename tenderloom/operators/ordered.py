@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tenderloom.session import setting
 
 _RANGE = "__range"
-GROUP_ROWS = 4_000_000
+GROUP_ROWS = 1_000_000
 
 
 def _largest_group(df: DataFrame, keys: Sequence[str]) -> int:

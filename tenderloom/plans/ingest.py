@@ -23,8 +23,11 @@ class Index:
 
 
 def chunk_table(parsed: DataFrame, title: Column, created_at: Column) -> DataFrame:
-    """Audited, flattened and cut documents as full chunk rows. `parsed`: doc_id, text."""
-    audited = audit.audit(parsed)
+    """Audited, flattened and cut documents as full chunk rows. `parsed`: doc_id, text.
+
+    The audited texts are written once: the flattening reads documents with and without tables apart.
+    """
+    audited = frozen(audit.audit(parsed))
     body = audited.select("doc_id", front_matter(F.col("text"))["body"].alias("text"))
     chunks = chunking.chunk_documents(tables.flatten_tables(body))
     titles = parsed.select("doc_id", title.alias("title"))

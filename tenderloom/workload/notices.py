@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderloom.functions import amounts, dates, names
+from tenderloom.functions import amounts, names
 from tenderloom.functions.text import nfkc
 from tenderloom.operators import notices as ops
 from tenderloom.operators import store

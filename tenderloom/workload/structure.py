@@ -6,13 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderloom.functions import markdown as md
-from tenderloom.functions import names
-from tenderloom.functions.text import nfkc
 from tenderloom.operators import audit, chunking, hierarchy, pdf_text, sparse, tables
 from tenderloom.operators.lines import explode_lines
 from tenderloom.operators.ordered import row_numbers
 from tenderloom.sources.tables import table
-from tenderloom.workload.derived import SQL, markdown_documents, with_sql
+from tenderloom.workload.derived import markdown_documents, with_sql
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
