@@ -130,10 +130,12 @@ def budget_evidence(text: Column) -> Column:
 # ---------------------------------------------------------------- intent
 def org_in_question(question: Column) -> Column:
     """Organisation named in a question: a known alias, else the first of the name endings that occurs."""
-    named = [
-        F.nullif(F.regexp_extract(question, f"([가-힣]+{ending})", 1), F.lit("")) for ending in fixed.ORG_NAME_ENDINGS
-    ]
-    return F.coalesce(F.when(contains_any(question, fixed.ORG_ALIASES), standard_org(question)), *named)
+    found = F.when(contains_any(question, fixed.ORG_ALIASES), standard_org(question))
+    for ending in fixed.ORG_NAME_ENDINGS:
+        # The plain search spares most questions the pattern.
+        present = F.contains(question, F.lit(ending)) & question.rlike(f"[가-힣]{ending}")
+        found = found.when(present, F.regexp_extract(question, f"([가-힣]+{ending})", 1))
+    return found
 
 
 def _category(q: Column) -> Column:
@@ -145,11 +147,12 @@ def _category(q: Column) -> Column:
 
 def intent(question: Column) -> Column:
     """Kind of question with its confidence: organisation, ranking, filter, category or search."""
-    return let(strip(F.lower(question)), lambda q: _intent(question, q))
+    return let(
+        org_in_question(question), lambda org: let(strip(F.lower(question)), lambda q: _intent(question, q, org))
+    )
 
 
-def _intent(question: Column, q: Column) -> Column:
-    org = org_in_question(question)
+def _intent(question: Column, q: Column, org: Column) -> Column:
     category = _category(q)
     extreme = contains_any(q, fixed.RANK_EXTREME_WORDS) & contains_any(q, fixed.RANK_CONTEXT_WORDS)
     ranking = (

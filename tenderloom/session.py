@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,23 +33,27 @@ def setting(spark: SparkSession, name: str, default: int) -> int:
     return int(spark.conf.get(f"spark.tenderloom.{name}", str(default)))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; fall back to a temporary one only for local runs."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not sc.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the cluster; a temporary one only for local runs that name none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="tenderloom-checkpoint-")
-    sc.setCheckpointDir(shared)
+        named = tempfile.mkdtemp(prefix="tenderloom-checkpoint-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def frozen(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared checkpoint folder, so that later stages cannot see another version."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows written once as a table in the shared folder and read back.
+
+    Later stages cannot see another version of them, a lost executor costs no recomputation, and the size of the
+    files tells Spark how to join them.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tenderloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
