@@ -334,6 +334,7 @@ DRAFT_STOP_TOKENS = [
     "문서", "기준", "관련", "질문", "답변", "다음", "있습니다", "합니다", "대한", "사업", "내용", "확인", "요약",
     "개요", "배경", "범위", "효과", "목표",
 ]
+BODY_CHECK_WORDS = ["본문", "원문", "조항", "근거", "페이지"]
 FINAL_ANSWER_TAGS = ["## 최종 답변:", "최종 답변:"]
 BRACKET_ONLY_PATTERN = r"^\[[^\]]+\]$"
 SOURCE_LABEL_PATTERN = r"(?i)^(근거|출처|source)\s*[:：]?$"

@@ -296,6 +296,11 @@ def follows_up(question: Column) -> Column:
     return contains_any(F.lower(question), fixed.FOLLOW_UP_WORDS)
 
 
+def wants_document_text(question: Column) -> Column:
+    """Summary questions that ask for the text of the document itself; short answers from tables do not serve them."""
+    return (answer_style(question) == "guide") & contains_any(question, fixed.BODY_CHECK_WORDS)
+
+
 def answer_style(question: Column, hint: Column | None = None) -> Column:
     given = F.lit("") if hint is None else F.lower(strip(F.coalesce(hint, F.lit(""))))
     q = strip(F.lower(F.coalesce(question, F.lit(""))))

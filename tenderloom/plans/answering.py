@@ -116,6 +116,32 @@ def org_overviews(notices: DataFrame) -> Stage:
     return answer
 
 
+def unless_text_is_wanted(stage: Stage, sure: Callable[[DataFrame], DataFrame] | None = None) -> Stage:
+    """A short-answer stage that passes over questions for the document text.
+
+    `sure` may name questions (query_id) whose table match is certain enough to answer them all the same.
+    """
+
+    def answer(asked: DataFrame) -> DataFrame:
+        wanted = questions.wants_document_text(F.col("question"))
+        if sure is None:
+            return stage(asked.filter(~wanted))
+        flagged = asked.join(sure(asked).select("query_id", F.lit(True).alias("__sure")), "query_id", "left")
+        return stage(flagged.filter(~wanted | F.col("__sure").isNotNull()).drop("__sure"))
+
+    return answer
+
+
+def to_search_again(asked: DataFrame, hits: DataFrame, enough: int) -> DataFrame:
+    """Questions whose search goes on: too few hits, or a question for an owner or a budget without evidence for it."""
+    found = hits.groupBy("query_id").agg(F.count("*").alias("n"))
+    rows = asked.join(found, "query_id", "left").join(rerank.evidence_flags(hits), "query_id", "left")
+    few = F.coalesce("n", F.lit(0)) < enough
+    owner = (F.col("query_kind") == "owner") & ~F.coalesce("has_owner", F.lit(False))
+    budget = questions.about_budget(F.col("q")) & ~F.coalesce("has_budget", F.lit(False))
+    return rows.filter(few | owner | budget).select(*asked.columns)
+
+
 def extracted_answers(hits: DataFrame) -> Stage:
     """Budget questions answered from the amount named in the best hit that names one. `hits`: query_id, rank, text."""
 

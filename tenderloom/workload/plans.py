@@ -11,6 +11,7 @@ from tenderloom.sources.tables import table
 from tenderloom.workload.derived import SQL, hits, markdown_documents, notices, questions, truth
 from tenderloom.workload.evaluation import K, results
 from tenderloom.workload.notices import _MERGED, _REGISTRY, registry_rows
+from tenderloom.workload.retrieval import _evidence_hits
 from tenderloom.workload.text import _BUDGET, _CATEGORY, _NO_CURRICULUM, _ORG_SQL, _RANKING, _any
 
 
@@ -85,6 +86,22 @@ EXPANDED_SQL = f"""WITH questions AS ({SQL['questions']}), t AS (SELECT query_id
     SELECT pass_no::INTEGER AS pass_no, count(*) AS n, count(DISTINCT CASE WHEN pass_no = 0 THEN question ELSE org || ' 사업 ' || pass_no::VARCHAR END) AS n_texts FROM u GROUP BY 1"""
 
 
+def search_again(spark, sf):
+    """Questions that need another search pass after the hits of their order."""
+    asked = answering.understood(questions(spark, sf))
+    return answering.to_search_again(asked, _evidence_hits(spark, sf), 3).select("query_id", "query_kind")
+
+
+_KIND = f"""CASE WHEN contains({_NO_CURRICULUM}, '비교') OR {_any(fixed.PLAN_COMPARE_WORDS)} OR (contains(q, '각각') AND {_any(fixed.PLAN_COMPARE_EACH_WORDS)}) THEN 'comparison'
+    WHEN {_any(fixed.PLAN_OWNER_WORDS)} THEN 'owner' WHEN {_any(fixed.PLAN_DEADLINE_WORDS)} THEN 'deadline' WHEN {_any(fixed.PLAN_NUMERIC_WORDS)} THEN 'fact_numeric'
+    WHEN {_any(fixed.PLAN_MULTI_WORDS)} OR regexp_matches(q, '{fixed.PLAN_MULTI_PATTERNS[0]}') OR regexp_matches(q, '{fixed.PLAN_MULTI_PATTERNS[1]}') THEN 'multi_doc' ELSE 'single_doc' END"""
+SEARCH_AGAIN_SQL = f"""WITH hits AS ({SQL['hits']}), questions AS ({SQL['questions']}),
+    h AS (SELECT query_id, count(*) AS n, bool_or(rank <= 12 AND chunk_index % 3 = 0) AS o, bool_or(rank <= 12 AND chunk_index % 3 = 1) AS b FROM hits GROUP BY query_id),
+    t AS (SELECT query_id, lower(question) AS q FROM questions), k AS (SELECT query_id, q, {_KIND} AS query_kind, {_BUDGET} AS budget FROM t)
+    SELECT k.query_id, query_kind FROM k LEFT JOIN h USING (query_id)
+    WHERE coalesce(n, 0) < 3 OR (query_kind = 'owner' AND NOT coalesce(o, false)) OR (budget AND NOT coalesce(b, false))"""
+
+
 def scoped_search(spark, sf):
     """Hits of one organisation first, filled up from all hits."""
     h = hits(spark, sf).withColumnRenamed("chunk_id", "id").select("query_id", "rank", "id", "source")
@@ -125,6 +142,7 @@ QUERIES = {
     "finished_answers": (finished_answers, None),
     "question_contexts": (question_contexts, CONTEXT_SQL),
     "expanded_questions": (expanded_questions, EXPANDED_SQL),
+    "search_again": (search_again, SEARCH_AGAIN_SQL),
     "scoped_search": (scoped_search, SCOPED_SQL),
     "ingested_index": (ingested_index, None),
     "evaluated_run": (evaluated_run, None),

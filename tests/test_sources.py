@@ -132,6 +132,14 @@ def test_answering_stages(spark):
     assert done.filter("query_id = 2").first()["confidence"] > 0.5
 
 
+def test_questions_for_the_text_pass_over_short_answers(spark):
+    asked = answering.understood(spark.createDataFrame([(1, "나공사 원문 근거 요약"), (2, "나공사 요약"), (3, "나공사 본문 설명")], "query_id int, question string"))
+    everything = lambda a: a.select("query_id", F.lit("x").alias("answer"), F.lit("csv").alias("source_type"), F.lit("e").alias("answer_mode"))
+    ids = lambda df: sorted(r["query_id"] for r in df.collect())
+    assert ids(answering.unless_text_is_wanted(everything)(asked)) == [2]
+    assert ids(answering.unless_text_is_wanted(everything, lambda a: a.filter("query_id = 3"))(asked)) == [2, 3]
+
+
 def test_conversation_stream_equals_windows(spark, tmp_path):
     source = exchanges(table(spark, FOLDER, "conversations"))
     folder = str(tmp_path / "in")
