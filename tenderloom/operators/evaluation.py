@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tenderloom import fixed_values as fixed
 from tenderloom.functions import names
 from tenderloom.functions.text import json_object, strip
+from tenderloom.operators.joins import spread_join
 
 
 # ---------------------------------------------------------------- matches
@@ -43,7 +44,7 @@ def matched_hits(truth_rows: DataFrame, hits: DataFrame) -> DataFrame:
         names.eval_stem_key(F.col("source")).alias("stem"),
         names.eval_extension(F.col("source")).alias("hit_ext"),
     ).filter("hit_name <> ''")
-    joined = truth_rows.join(keyed, ["query_id", "stem"])
+    joined = spread_join(keyed, truth_rows, ["query_id", "stem"], "inner")
     same = (F.col("hit_name") == F.col("truth")) | names.extensions_agree(F.col("truth_ext"), F.col("hit_ext"))
     return joined.filter(same)
 
@@ -147,7 +148,7 @@ def with_table_hit(hits: DataFrame, questions: DataFrame) -> DataFrame:
     wanted = questions.filter(F.col("from_table") & asks_table).select("query_id")
     present = hits.filter(names.hit_label(F.col("source")) == "data_list").select("query_id")
     added = wanted.join(present, "query_id", "left_anti")
-    moved = hits.join(added.withColumn("__shift", F.lit(1)), "query_id", "left")
+    moved = spread_join(hits, added.withColumn("__shift", F.lit(1)), ["query_id"], "left")
     shifted = moved.withColumn("rank", F.col("rank") + F.coalesce("__shift", F.lit(0))).drop("__shift")
     columns = {f.name: F.lit(None).cast(f.dataType) for f in hits.schema.fields}
     columns["query_id"] = F.col("query_id")

@@ -1,49 +1,46 @@
-"""Re-ranking, merging and checks of result lists. A result list is bounded by the top-k that made it."""
+"""Re-ranking, merging and checks of result lists."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom import fixed_values as fixed
 from tenderloom.functions.questions import budget_evidence, needs_original, owner_evidence
 from tenderloom.functions.text import let, strip
-from tenderloom.operators.ordered import top_per_group
+from tenderloom.operators.joins import spread_join
+from tenderloom.operators.ordered import row_numbers, top_per_group
 
 
 def diversify(hits: DataFrame, top_window: int = fixed.DEFAULT_TOP_K) -> DataFrame:
     """Interleave the two largest organisations at the top of each list; the rest keeps its order.
 
-    Needs query_id, rank, org, source; adds `new_rank`. Lists of two hits or with one organisation stay as they are.
+    Needs query_id, rank (1..n), org, source; adds `new_rank`. Lists of two hits or with one organisation stay as they
+    are. Only the picked hits of a list, at most `top_window`, are ever ordered together; where the others land
+    follows from their rank and the picked ranks behind it.
     """
+    window = max(2, top_window)
     key = F.coalesce(F.nullif(strip(F.coalesce("org", F.lit(""))), F.lit("")), strip(F.coalesce("source", F.lit(""))))
-    rows = hits.withColumn("__key", key)
-    of_query, of_key = Window.partitionBy("query_id"), Window.partitionBy("query_id", "__key")
-    rows = rows.select(
-        "*",
-        F.count("*").over(of_query).alias("__n"),
-        F.count("*").over(of_key).alias("__size"),
-        F.min("rank").over(of_key).alias("__first"),
-        F.row_number().over(of_key.orderBy("rank")).alias("__turn"),
+    rows = hits.select("query_id", "rank", key.alias("__key"))
+    sizes = rows.groupBy("query_id", "__key").agg(F.count("*").alias("__size"), F.min("rank").alias("__first"))
+    lists = sizes.groupBy("query_id").agg(F.sum("__size").alias("__n"), F.count("*").alias("__keys"))
+    largest = top_per_group(sizes, ["query_id"], [F.desc("__size"), F.asc("__first")], 2, "__place")
+    pools = largest.join(lists.filter((F.col("__n") > 2) & (F.col("__keys") >= 2)), "query_id").select(
+        "query_id", "__key", "__place", F.least(F.lit(window), F.col("__n")).alias("__limit")
     )
-    by_size = Window.partitionBy("query_id").orderBy(F.desc("__size"), F.asc("__first"))
-    rows = rows.withColumn("__place", F.dense_rank().over(by_size))
-    rows = rows.withColumn("__keys", F.max("__place").over(of_query))
-    pool = F.when(F.col("__place") <= 2, F.row_number().over(
-        Window.partitionBy("query_id", F.col("__place") <= 2).orderBy("__turn", "__place")
-    ))
-    rows = rows.withColumn("__pool", pool)
-    limit = F.least(F.lit(max(2, top_window)), F.col("__n"))
-    picked = (F.col("__n") > 2) & (F.col("__keys") >= 2) & (F.col("__pool") <= limit)
-    rows = rows.withColumn("__picked", F.coalesce(picked, F.lit(False)))
-    final = Window.partitionBy("query_id").orderBy(
-        F.desc("__picked"), F.asc(F.when(F.col("__picked"), F.col("__pool"))), F.asc("rank")
-    )
-    return rows.withColumn("new_rank", F.row_number().over(final)).drop(
-        "__key", "__n", "__size", "__first", "__turn", "__place", "__keys", "__pool", "__picked"
+    in_pool = spread_join(rows, pools, ["query_id", "__key"], "inner")
+    turns = top_per_group(in_pool, ["query_id", "__key"], [F.asc("rank")], window, "__turn")
+    picked = top_per_group(turns, ["query_id"], [F.asc("__turn"), F.asc("__place")], window, "__pick")
+    picks = picked.filter(F.col("__pick") <= F.col("__limit")).groupBy("query_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("__pick", "rank"))), lambda p: p["rank"]).alias("__picks")
     )
+    placed = spread_join(hits, picks, ["query_id"], "left")
+    at = F.array_position("__picks", F.col("rank"))
+    behind = F.size(F.filter("__picks", lambda p: p > F.col("rank")))
+    new_rank = F.when(F.col("__picks").isNull(), F.col("rank")).when(at > 0, at).otherwise(F.col("rank") + behind)
+    return placed.withColumn("new_rank", new_rank.cast("int")).drop("__picks")
 
 
 def _penalty(item: Column, other: Column) -> Column:
@@ -84,17 +81,17 @@ def spread_sources(hits: DataFrame, top_window: int = fixed.DEFAULT_TOP_K) -> Da
     window of a list, whose size is fixed, is folded as one array; what is behind it keeps the score order.
     """
     window = max(4, top_window)
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("rank"))
-    ordered = hits.select(
-        "*", F.row_number().over(by_score).alias("__place"), F.count("*").over(Window.partitionBy("query_id")).alias("__n")
-    )
+    minus = hits.withColumn("__minus", -F.col("score").cast("double"))
+    placed = row_numbers(minus, ["query_id"], ["__minus", "rank"], "__place").drop("__minus")
     # Lists of at most two hits come back in the order they had.
-    ordered = ordered.withColumn("__place", F.when(F.col("__n") > 2, F.col("__place")).otherwise(F.col("rank")))
+    longer = placed.filter("__place = 3").select("query_id", F.lit(True).alias("__long"))
+    ordered = spread_join(placed, longer, ["query_id"], "left").withColumn("__long", F.col("__long").isNotNull())
+    ordered = ordered.withColumn("__place", F.when(F.col("__long"), F.col("__place")).otherwise(F.col("rank")))
     item = F.struct(
         "__place", F.col("score").cast("double").alias("score"), F.coalesce("source_key", F.lit("")).alias("source_key"),
         F.col("chunk_index").cast("bigint").alias("chunk_index"), "rank",
     )
-    head = ordered.filter((F.col("__n") > 2) & (F.col("__place") <= window))
+    head = ordered.filter(F.col("__long") & (F.col("__place") <= window))
     picked = head.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("w"))
     # Without a repeated source there is no penalty and the score order stands.
     keys = F.filter(F.transform("w", lambda h: h["source_key"]), lambda k: k != "")
@@ -102,7 +99,7 @@ def spread_sources(hits: DataFrame, top_window: int = fixed.DEFAULT_TOP_K) -> Da
     moved = picked.select("query_id", F.posexplode(_picks(F.col("w"), window)).alias("p", "h"))
     places = moved.select("query_id", F.col("h.rank").alias("rank"), (F.col("p") + 1).alias("new_rank"))
     joined = ordered.join(places, ["query_id", "rank"], "left")
-    return joined.withColumn("new_rank", F.coalesce("new_rank", "__place")).drop("__place", "__n")
+    return joined.withColumn("new_rank", F.coalesce("new_rank", "__place").cast("int")).drop("__place", "__long")
 
 
 def merge(base: DataFrame, incoming: DataFrame, key: Sequence[str], top_k: int) -> DataFrame:

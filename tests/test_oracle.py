@@ -35,7 +35,7 @@ def test_runs_without_oracle(spark, name):
 
 @pytest.mark.parametrize("name", ["source_metrics", "history_last5", "follow_up", "run_anomaly_by_user", "run_anomaly", "running_history",
                                   "global_chunk_ids", "bid_table", "incremental_upsert", "items_by_project", "repair_counts", "knn_dense",
-                                  "label_scores", "answered_questions"])
+                                  "label_scores", "answered_questions", "diversify", "merge_dedupe", "table_short_circuit"])
 def test_matches_oracle_with_large_group_paths(small_groups, con, name):
     small_groups.conf.set("spark.tenderloom.group.rows", 40)
     assert compare(QUERIES[name](small_groups, FOLDER), con, ORACLES[name]) in ("", "both empty")
