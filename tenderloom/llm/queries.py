@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TOKEN_LIMIT = 2048
 
@@ -40,6 +41,15 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM p
 """
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from tenderloom.llm.common import bucket_of
+    from tenderloom.llm.toxicity import scored
+
+    held_out = bucket_of("doc_id", 5) == 0
+    found = scored(_table(spark, folder, "documents"), _table(spark, folder, "labels"), held_out)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     from tenderloom.llm.quality import judged
 
@@ -52,15 +62,64 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted(_table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"), TOKEN_LIMIT)
 
 
+def op7_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from tenderloom.llm.simhash import near_groups
+
+    return near_groups(_table(spark, folder, "documents"))
+
+
+def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """As many documents as there are, each source weighing the square root of its size."""
+    from tenderloom.llm.mixing import mixed
+
+    found = mixed(_table(spark, folder, "documents"), carry=["doc_id", "source"])
+    return found.select("doc_id", "source", F.col("_copy").alias("copy"), F.col("_copies").alias("copies"),
+                        F.col("_weight").alias("weight"), F.col("_order").alias("shuffle_key"))
+
+
+OP8_SQL = """
+WITH RECURSIVE sizes AS (
+  SELECT source, count(*) AS n FROM documents GROUP BY source
+), rates AS (
+  SELECT source, round(sqrt(n) / sum(sqrt(n)) OVER (), 12) AS weight,
+         round(sqrt(n) / sum(sqrt(n)) OVER () * sum(n) OVER () / n, 9) AS rate
+  FROM sizes
+), terms AS (
+  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
+  UNION ALL
+  SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM terms WHERE k < ceil(rate + sqrt(rate) * 12) + 24
+), drawn AS (
+  SELECT doc_id, source, ('0x' || substr(md5('mixture|' || doc_id || '|0'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents
+), counted AS (
+  SELECT d.doc_id, d.source, count(*) FILTER (WHERE t.c <= d.u) AS copies
+  FROM drawn d JOIN terms t ON d.source IS NOT DISTINCT FROM t.source GROUP BY d.doc_id, d.source
+), spread AS (
+  SELECT doc_id, source, copies, unnest(range(1, copies + 1)) AS copy FROM counted
+)
+SELECT s.doc_id, s.source, s.copy, s.copies, r.weight, md5('mixture|order|' || s.doc_id || '|' || s.copy) AS shuffle_key
+FROM spread s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source
+"""
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     from tenderloom.llm.packing import pack
 
     return pack(_table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), TOKEN_LIMIT)
 
 
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from tenderloom.llm.language import identified
+
+    return identified(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
+    "op2_toxicity": (op2_toxicity, None),
     "op3_quality_rules": (op3_quality_rules, None),
     "op4_token_counts": (op4_token_counts, None),
+    "op7_simhash_dedup": (op7_simhash_dedup, None),
+    "op8_mix_sources": (op8_mix_sources, OP8_SQL),
     "op9_packing": (op9_packing, None),
+    "op10_language_id": (op10_language_id, None),
 }
