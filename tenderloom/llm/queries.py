@@ -62,6 +62,57 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted(_table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"), TOKEN_LIMIT)
 
 
+def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    from tenderloom.llm.chat import read_back, rendered_turns
+
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return read_back(rendered_turns(turns.unionByName(added)))
+
+
+# The digests and the loss text follow from the table alone; the length of the formatted text from the template and its escapes.
+OP5_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), measured AS (
+  SELECT *,
+    len(regexp_extract_all(role || chr(0) || text, '<s>|</s>|\[ROLE\]|\[/ROLE\]|\[INST\]|\[/INST\]')) AS controls,
+    len(regexp_extract_all(role || chr(0) || text, '[\\<\[]')) AS marks,
+    contains(role, chr(92)) OR contains(text, chr(92)) AS slashes
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + length(text) + 24 + CASE WHEN slashes THEN marks ELSE controls END)::BIGINT AS formatted_chars
+FROM measured GROUP BY conv_id
+"""
+
+
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from tenderloom.llm.warc import archived, read_archives
+
+    found = read_archives(*archived(_table(spark, folder, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+  SELECT payload_digest, min(page_id) AS first_id FROM payloads WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+  CASE WHEN f.first_id IS NULL OR f.first_id = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN f.first_id <> p.page_id THEN f.first_id END AS refers_to
+FROM payloads p LEFT JOIN firsts f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
+"""
+
+
 def op7_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from tenderloom.llm.simhash import near_groups
 
@@ -118,6 +169,8 @@ QUERIES = {
     "op2_toxicity": (op2_toxicity, None),
     "op3_quality_rules": (op3_quality_rules, None),
     "op4_token_counts": (op4_token_counts, None),
+    "op5_chat_format": (op5_chat_format, OP5_SQL),
+    "op6_warc": (op6_warc, OP6_SQL),
     "op7_simhash_dedup": (op7_simhash_dedup, None),
     "op8_mix_sources": (op8_mix_sources, OP8_SQL),
     "op9_packing": (op9_packing, None),
