@@ -31,7 +31,7 @@ from tenderloom.session import frozen
 
 CAPACITY = 2048
 END_ID = 1
-RANK_ROWS = 100_000
+RANK_ROWS = 2_000
 MAX_CHUNKS = 600_000
 # A blank in the widest sense; a cut before a space is safe only after something that is certainly no blank.
 _DOUBTFUL = re.compile(r"\s ")
