@@ -56,6 +56,41 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged(_table(spark, folder, "documents"))
 
 
+OP3_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), split_up AS (
+  SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM texts
+), places AS (
+  SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM split_up WHERE len(w) > 5
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 4], ' ')) AS times FROM places
+), gaps AS (
+  SELECT doc_id, least(5, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), i - 5)) AS words FROM windows WHERE times > 1
+), repeats AS (
+  SELECT doc_id, sum(words)::BIGINT AS n FROM gaps GROUP BY doc_id
+), measured AS (
+  SELECT s.doc_id, s.w, s.lines, len(s.w)::BIGINT AS n_words,
+         length(regexp_replace(s.t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         length(s.t) - length(regexp_replace(s.t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         (len(s.lines) - len(list_distinct(s.lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM split_up s LEFT JOIN repeats r USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    n_symbols * 10 > n_words
+    OR (len(lines) - n_dup_lines) * 2 < len(lines)
+    OR word_chars * 2 < n_words * 5 OR word_chars > n_words * 15
+    OR len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) * 10 < n_words * 7
+    OR len(list_filter(lines, lambda x: regexp_matches(x, '^\s*[-•*‣]'))) * 10 > len(lines) * 9
+    OR len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) * 3 > len(lines) AS rejected
+  FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM judged
+"""
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from tenderloom.llm.token_counts import counted
 
@@ -167,7 +202,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
-    "op3_quality_rules": (op3_quality_rules, None),
+    "op3_quality_rules": (op3_quality_rules, OP3_SQL),
     "op4_token_counts": (op4_token_counts, None),
     "op5_chat_format": (op5_chat_format, OP5_SQL),
     "op6_warc": (op6_warc, OP6_SQL),
