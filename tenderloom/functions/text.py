@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -103,6 +104,17 @@ def nfkc(c: Column) -> Column:
     return F.coalesce(F.when(stable, text), _nfkc(F.when(~stable, text)))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfc_all(values: pd.Series) -> pd.Series:
+    return values.map(lambda texts: None if texts is None else [unicodedata.normalize("NFC", t) for t in texts])
+
+
+def nfc_all(texts: Column) -> Column:
+    """NFC form of every text of an array without nulls. Arrays that already have it reach Python only as nulls."""
+    stable = F.array_join(texts, " ").rlike(NFKC_STABLE)
+    return F.coalesce(F.when(stable, texts), _nfc_all(F.when(~stable, texts)), F.array().cast("array<string>"))
+
+
 def tokens(c: Column) -> Column:
     """Distinct lower-case word tokens of two characters or more."""
     return F.array_distinct(

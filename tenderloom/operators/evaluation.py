@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from tenderloom import fixed_values as fixed
 from tenderloom.functions import names
-from tenderloom.functions.text import json_object, strip
-from tenderloom.operators.joins import spread_join
+from tenderloom.functions.text import json_object, nfc_all, nfkc, strip
 
 
 # ---------------------------------------------------------------- matches
@@ -21,13 +20,15 @@ def truth_sources(truth: DataFrame, distinct: bool = True) -> DataFrame:
 
     With `distinct=False` a source listed twice counts twice, so such a question can never be complete.
     """
-    cleaned = F.filter(F.transform("sources", names.eval_name), lambda s: s != "")
+    # Names are compared in one Unicode form: a file system may give them decomposed.
+    composed = nfc_all(F.transform(F.array_compact("sources"), lambda s: s))
+    cleaned = F.filter(F.transform(composed, names.eval_name), lambda s: s != "")
     sources = F.array_distinct(cleaned)
     rows = truth.select(
         "query_id", (F.size(sources) if distinct else F.size(cleaned)).alias("n_truth"), F.explode(sources).alias("truth")
     )
     return rows.select(
-        "*", names.eval_stem_key(F.col("truth")).alias("stem"), names.eval_extension(F.col("truth")).alias("truth_ext")
+        "*", names.eval_stem_key(nfkc(F.col("truth"))).alias("stem"), names.eval_extension(F.col("truth")).alias("truth_ext")
     )
 
 
@@ -37,14 +38,16 @@ def matched_hits(truth_rows: DataFrame, hits: DataFrame) -> DataFrame:
     Equal names have equal stems, so the match is an equality join on question and stem with a check of the
     extensions behind it.
     """
-    keyed = hits.select(
+    kept = [c for c in hits.columns if c not in ("query_id", "source")]
+    composed = F.get(nfc_all(F.array_compact(F.array("source"))), F.lit(0))
+    keyed = hits.select("query_id", *kept, composed.alias("__source")).select(
         "query_id",
-        *[c for c in hits.columns if c not in ("query_id", "source")],
-        names.eval_name(F.col("source")).alias("hit_name"),
-        names.eval_stem_key(F.col("source")).alias("stem"),
-        names.eval_extension(F.col("source")).alias("hit_ext"),
+        *kept,
+        names.eval_name(F.col("__source")).alias("hit_name"),
+        names.eval_stem_key(nfkc(F.col("__source"))).alias("stem"),
+        names.eval_extension(F.col("__source")).alias("hit_ext"),
     ).filter("hit_name <> ''")
-    joined = spread_join(keyed, truth_rows, ["query_id", "stem"], "inner")
+    joined = keyed.join(truth_rows, ["query_id", "stem"], "inner")
     same = (F.col("hit_name") == F.col("truth")) | names.extensions_agree(F.col("truth_ext"), F.col("hit_ext"))
     return joined.filter(same)
 
@@ -148,7 +151,7 @@ def with_table_hit(hits: DataFrame, questions: DataFrame) -> DataFrame:
     wanted = questions.filter(F.col("from_table") & asks_table).select("query_id")
     present = hits.filter(names.hit_label(F.col("source")) == "data_list").select("query_id")
     added = wanted.join(present, "query_id", "left_anti")
-    moved = spread_join(hits, added.withColumn("__shift", F.lit(1)), ["query_id"], "left")
+    moved = hits.join(added.withColumn("__shift", F.lit(1)), ["query_id"], "left")
     shifted = moved.withColumn("rank", F.col("rank") + F.coalesce("__shift", F.lit(0))).drop("__shift")
     columns = {f.name: F.lit(None).cast(f.dataType) for f in hits.schema.fields}
     columns["query_id"] = F.col("query_id")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tenderloom import fixed_values as fixed
 from tenderloom.functions import names
 from tenderloom.functions.text import collapse_spaces, contains_any, pattern, strip, strip_chars
-from tenderloom.operators.joins import lookup
 from tenderloom.operators.ordered import top_per_group
 
 
@@ -30,16 +29,13 @@ def match_sources(wanted: DataFrame, index: DataFrame) -> DataFrame:
     open_keys = keyed.join(by_label.select("label").distinct(), "label", "left_anti").filter("key <> ''")
     by_key = open_keys.join(index.select("key", "raw"), "key").select("label", "raw", F.lit(2).alias("level"))
     open_parts = open_keys.join(by_key.select("label").distinct(), "label", "left_anti")
-    # File names have at most 255 characters, so there are at most 255 lengths.
-    lengths = [r[0] for r in open_parts.select(F.length("key")).distinct().limit(256).collect()]
-    size = F.length("key")
-
-    def parts_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
-        found = F.transform(starts, lambda i: F.substring(F.col("key"), i, F.lit(n)))
-        return F.when(size >= n, found).otherwise(F.array().cast("array<string>"))
-
-    pieces = F.array_distinct(F.concat(F.array().cast("array<string>"), *[parts_of(n) for n in lengths]))
+    # As many numbers as the longest label has characters, at most.
+    lengths = sorted(r[0] for r in open_parts.select(F.length("key")).distinct().collect())
+    sizes, key = F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), F.col("key")
+    fitting = F.filter(sizes, lambda n: n <= F.length(key))
+    pieces = F.array_distinct(F.flatten(F.transform(
+        fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length(key) - n + 1), lambda i: F.substring(key, i, n))
+    )))
     parts = index.select("raw", F.explode(pieces).alias("key"))
     contained = open_parts.join(parts, "key").select("label", "raw")
     by_part = top_per_group(contained, ["label"], [F.asc("raw")], 3).select("label", "raw", F.lit(3).alias("level"))
@@ -106,10 +102,12 @@ def acceptable(question: Column, query_type: Column, text: Column, parts: Column
 def score_candidates(items: DataFrame, chunks: DataFrame) -> DataFrame:
     """Every item with the chunks of its sources, scored.
 
-    `items`: item_id, source, question, answer (normalised), query_type. `chunks`: source, chunk_id, text (normalised).
+    `items`: item_id, source, question, answer (normalised), query_type, and label if a label stands for several stored
+    sources (else the source is the label). `chunks`: source, chunk_id, text (normalised).
     """
+    label = F.col("label") if "label" in items.columns else F.col("source")
     prepared = items.select(
-        "item_id", "source", "query_type", "question",
+        "item_id", label.alias("label"), "source", "query_type", "question",
         label_tokens(F.col("question")).alias("__q"), label_tokens(F.col("answer")).alias("__e"),
         label_numbers(F.col("answer")).alias("__n"), expected_phrases(F.col("answer")).alias("__p"),
     )
@@ -117,19 +115,22 @@ def score_candidates(items: DataFrame, chunks: DataFrame) -> DataFrame:
     read = chunks.select(
         "source", "chunk_id", "text", label_tokens(F.col("text")).alias("__t"), label_numbers(F.col("text")).alias("__tn")
     )
-    rows = lookup(read, prepared, ["source"], "inner")
+    rows = read.join(prepared, ["source"], "inner")
     scored = rows.withColumn("parts", candidate_score(*[F.col(c) for c in ("text", "__t", "__tn", "__q", "__e", "__n", "__p")]))
     fits = acceptable(F.col("question"), F.col("query_type"), F.col("text"), F.col("parts"), F.col("__n"))
-    return scored.select("item_id", "source", "chunk_id", "parts.*", fits.alias("acceptable"))
+    return scored.select("item_id", "label", "source", "chunk_id", "parts.*", fits.alias("acceptable"))
 
 
 def select_labels(scored: DataFrame, targets: DataFrame, min_score: float = fixed.LABEL_MIN_SCORE) -> DataFrame:
-    """Chunks chosen as new labels: the best of every source, then the best of the rest up to the target number.
+    """Chunks chosen as new labels: the best of every label, then the best of the rest up to the target number.
 
-    `targets`: item_id, target_n. Only the twenty best of a source are ever considered. Adds `pick`, the order.
+    `targets`: item_id, target_n. Only the twenty best of a label, over all its sources, are ever considered. Adds
+    `pick`, the order.
     """
     best_first = [F.desc("score"), F.asc("chunk_id")]
-    best = top_per_group(scored, ["item_id", "source"], best_first, fixed.LABEL_PER_SOURCE, "place")
+    if "label" not in scored.columns:
+        scored = scored.withColumn("label", F.col("source"))
+    best = top_per_group(scored, ["item_id", "label"], best_first, fixed.LABEL_PER_SOURCE, "place")
     usable = best.filter(F.col("acceptable") & (F.col("score") >= min_score) & (strip("chunk_id") != ""))
     # A chunk counts once, as the head of a source if it is one.
     tier = F.when(F.col("place") == 1, 0).otherwise(1)
@@ -138,7 +139,7 @@ def select_labels(scored: DataFrame, targets: DataFrame, min_score: float = fixe
     ).drop("__copy")
     order = Window.partitionBy("item_id").orderBy(F.asc("tier"), *best_first)
     ranked = once.withColumn("pick", F.row_number().over(order)).join(targets, "item_id")
-    return ranked.filter((F.col("tier") == 0) | (F.col("pick") <= F.col("target_n"))).drop("tier", "target_n", "place")
+    return ranked.filter((F.col("tier") == 0) | (F.col("pick") <= F.col("target_n"))).drop("tier", "target_n", "place", "label")
 
 
 def label_changes(items: DataFrame, selected: DataFrame) -> DataFrame:

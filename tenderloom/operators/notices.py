@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenderloom import fixed_values as fixed
@@ -107,8 +107,10 @@ def file_bid_table(files: DataFrame) -> DataFrame:
     )
 
 
-def first_usable_bid_table(registry: DataFrame | None, csv: DataFrame | None, files: DataFrame | None) -> DataFrame:
-    """The registry if it knows any budget or deadline, else the CSV rows, else the file names."""
+def first_usable_bid_table(
+    registry: DataFrame | None, csv: DataFrame | None, files: DataFrame | None, spark: SparkSession | None = None
+) -> DataFrame:
+    """The registry if it knows any budget or deadline, else the CSV rows, else the file names, else a table without rows."""
     if registry is not None:
         table = registry_bid_table(registry)
         if not table.filter(F.col("budget").isNotNull() | F.col("deadline").isNotNull()).isEmpty():
@@ -117,7 +119,8 @@ def first_usable_bid_table(registry: DataFrame | None, csv: DataFrame | None, fi
         return bid_table(csv)
     if files is not None:
         return file_bid_table(files)
-    raise ValueError("no source of notices")
+    session = spark or SparkSession.active()
+    return session.createDataFrame([], "notice_no string, project string, org string, budget bigint, deadline date")
 
 
 def with_days_left(df: DataFrame, today: Column) -> DataFrame:

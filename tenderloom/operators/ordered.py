@@ -1,46 +1,28 @@
 """Ordered operations over groups of any size.
 
-A window function sorts a whole group in one task. These forms first look whether any group is larger than
-`spark.tenderloom.group.rows`; only if so the rows are cut into ranges of the order, each range is handled by itself
-and the totals of the ranges before it are added. The result is the same for every cut.
+A window function sorts a whole group in one task. These forms cut the rows once into ranges of (keys, order), store
+them with their range numbers, work on each range by itself, and add the totals of the ranges before it. There is one
+form for every size, so the result does not depend on one; sums are added as decimals, so it does not depend on the cuts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenderloom.session import setting
+from tenderloom.session import frozen
 
 _RANGE = "__range"
-GROUP_ROWS = 1_000_000
+BLOCK_ROWS = 100_000
+# Sums of fractions: nine decimals, nineteen digits before them.
+_EXACT = "decimal(28,9)"
 
 
-def _largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n")) if keys else df.agg(F.count("*").alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
-
-
-def _with_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, bool]:
-    """Add the range number of each row; equal order values share a range. No cut while all groups are small."""
-    limit = setting(df.sparkSession, "group.rows", GROUP_ROWS)
-    largest = _largest_group(df, keys)
-    if largest <= limit:
-        return df.withColumn(_RANGE, F.lit(0)), False
-    ranges = min(512, -(-2 * largest // limit))
-    per_range = 32
-    # A bounded sample, the same on every run: the rows with the smallest hashes.
-    sample = sorted(
-        df.select(*order).dropna().orderBy(F.xxhash64(*order), *order).limit(ranges * per_range).collect()
-    )
-    cuts = sample[per_range::per_range]
-    position = F.struct(*[F.col(c) for c in order])
-    bounds = [F.struct(*[F.lit(v).alias(c) for c, v in zip(order, cut)]) for cut in cuts]
-    number = reduce(lambda total, b: total + (position >= b).cast("int"), bounds, F.lit(0))
-    return df.withColumn(_RANGE, number), True
+def _with_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The stored rows with the number of their range; a range ends where its task ends, within a group or not."""
+    return frozen(df.repartitionByRange(*keys, *order).withColumn(_RANGE, F.spark_partition_id()))
 
 
 def _totals_before(df: DataFrame, keys: Sequence[str], measures: dict[str, Column]) -> DataFrame:
@@ -57,10 +39,8 @@ def _on(keys: Sequence[str]) -> list[str]:
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
     """1-based number of each row in its group. The order columns must tell all rows of a group apart."""
-    ranged, cut = _with_ranges(df, keys, order)
+    ranged = _with_ranges(df, keys, order)
     inside = F.row_number().over(Window.partitionBy(*keys, _RANGE).orderBy(*order))
-    if not cut:
-        return ranged.withColumn(name, inside.cast("bigint")).drop(_RANGE)
     before = _totals_before(ranged, keys, {"__before": F.count("*")})
     numbered = ranged.withColumn(name, inside)
     return (
@@ -72,53 +52,40 @@ def running_before(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, count_name: str, sum_name: str
 ) -> DataFrame:
     """Number and sum of the non-null values in all rows before the current one."""
-    ranged, cut = _with_ranges(df.withColumn("__value", value), keys, order)
-    earlier = (
-        Window.partitionBy(*keys, _RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    out = ranged.withColumn(count_name, F.count("__value").over(earlier)).withColumn(
-        sum_name, F.coalesce(F.sum("__value").over(earlier), F.lit(0.0))
+    exact = value.cast(_EXACT)
+    ranged = _with_ranges(df.withColumn("__value", exact), keys, order)
+    earlier = Window.partitionBy(*keys, _RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast(_EXACT)
+    before = _totals_before(ranged, keys, {"__count": F.count("__value"), "__sum": F.coalesce(F.sum("__value"), zero)})
+    inside = ranged.withColumn("__n", F.count("__value").over(earlier)).withColumn("__s", F.coalesce(F.sum("__value").over(earlier), zero))
+    return (
+        inside.join(before, _on(keys))
+        .withColumn(count_name, F.col("__n") + F.col("__count"))
+        .withColumn(sum_name, (F.col("__s") + F.col("__sum")).cast("double"))
+        .drop(_RANGE, "__value", "__n", "__s", "__count", "__sum")
     )
-    if cut:
-        before = _totals_before(ranged, keys, {"__count": F.count("__value"), "__sum": F.sum("__value")})
-        out = (
-            out.join(before, _on(keys))
-            .withColumn(count_name, F.col(count_name) + F.col("__count"))
-            .withColumn(sum_name, F.col(sum_name) + F.col("__sum"))
-            .drop("__count", "__sum")
-        )
-    return out.drop(_RANGE, "__value")
 
 
 def carried(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], before: bool = False
 ) -> DataFrame:
     """The last non-null value at or before each row (with `before`: before it), for every named value."""
-    ranged, cut = _with_ranges(df, keys, order)
+    ranged = _with_ranges(df, keys, order)
     inside = Window.partitionBy(*keys, _RANGE).orderBy(*order)
     frame = inside.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     names = list(values)
     prepared = ranged.select("*", *[values[n].alias(f"__v_{n}") for n in names])
     out = prepared.select("*", *[F.last(f"__v_{n}", ignorenulls=True).over(frame).alias(f"__c_{n}") for n in names])
-    if cut:
-        place = F.struct(*[F.col(c) for c in order])
-        last_of_range = prepared.groupBy(*keys, _RANGE).agg(
-            *[
-                F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), place)).alias(f"__l_{n}")
-                for n in names
-            ]
-        )
-        earlier = Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
-        carried_in = last_of_range.select(
-            *keys, _RANGE, *[F.last(f"__l_{n}", ignorenulls=True).over(earlier).alias(f"__i_{n}") for n in names]
-        )
-        out = out.join(carried_in, _on(keys)).select(
-            "*", *[F.coalesce(f"__c_{n}", f"__i_{n}").alias(f"__r_{n}") for n in names]
-        )
-        out = out.drop(*[f"__{p}_{n}" for n in names for p in ("c", "i")])
-    else:
-        out = out.withColumnsRenamed({f"__c_{n}": f"__r_{n}" for n in names})
-    out = out.drop(_RANGE, *[f"__v_{n}" for n in names], *[n for n in names if n in df.columns])
+    place = F.struct(*[F.col(c) for c in order])
+    last_of_range = prepared.groupBy(*keys, _RANGE).agg(
+        *[F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), place)).alias(f"__l_{n}") for n in names]
+    )
+    earlier = Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    carried_in = last_of_range.select(
+        *keys, _RANGE, *[F.last(f"__l_{n}", ignorenulls=True).over(earlier).alias(f"__i_{n}") for n in names]
+    )
+    out = out.join(carried_in, _on(keys)).select("*", *[F.coalesce(f"__c_{n}", f"__i_{n}").alias(f"__r_{n}") for n in names])
+    out = out.drop(_RANGE, *[f"__{p}_{n}" for n in names for p in ("c", "i", "v")], *[n for n in names if n in df.columns])
     return out.withColumnsRenamed({f"__r_{n}": n for n in names})
 
 
@@ -127,14 +94,9 @@ def look_back(
 ) -> DataFrame:
     """For each named struct the array of its values in the `rows` rows before and the row itself, oldest first.
 
-    Groups beyond the limit are cut into blocks of consecutive rows; each block also receives the last rows of the
-    block before it.
+    Rows are cut into blocks of consecutive rows; each block also receives the last rows of the block before it.
     """
-    limit = setting(df.sparkSession, "group.rows", GROUP_ROWS)
-    if _largest_group(df, keys) <= limit:
-        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-rows, 0)
-        return df.select("*", *[F.collect_list(v).over(window).alias(n) for n, v in values.items()])
-    block = max(limit, rows)
+    block = max(BLOCK_ROWS, rows)
     placed = row_numbers(df, keys, order, "__row")
     number = F.floor((F.col("__row") - 1) / block)
     at_end = (F.col("__row") - 1) % block >= block - rows

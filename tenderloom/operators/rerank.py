@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tenderloom import fixed_values as fixed
 from tenderloom.functions.questions import budget_evidence, needs_original, owner_evidence
 from tenderloom.functions.text import let, strip
-from tenderloom.operators.joins import spread_join
 from tenderloom.operators.ordered import row_numbers, top_per_group
 
 
@@ -30,13 +29,13 @@ def diversify(hits: DataFrame, top_window: int = fixed.DEFAULT_TOP_K) -> DataFra
     pools = largest.join(lists.filter((F.col("__n") > 2) & (F.col("__keys") >= 2)), "query_id").select(
         "query_id", "__key", "__place", F.least(F.lit(window), F.col("__n")).alias("__limit")
     )
-    in_pool = spread_join(rows, pools, ["query_id", "__key"], "inner")
+    in_pool = rows.join(pools, ["query_id", "__key"], "inner")
     turns = top_per_group(in_pool, ["query_id", "__key"], [F.asc("rank")], window, "__turn")
     picked = top_per_group(turns, ["query_id"], [F.asc("__turn"), F.asc("__place")], window, "__pick")
     picks = picked.filter(F.col("__pick") <= F.col("__limit")).groupBy("query_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("__pick", "rank"))), lambda p: p["rank"]).alias("__picks")
     )
-    placed = spread_join(hits, picks, ["query_id"], "left")
+    placed = hits.join(picks, ["query_id"], "left")
     at = F.array_position("__picks", F.col("rank"))
     behind = F.size(F.filter("__picks", lambda p: p > F.col("rank")))
     new_rank = F.when(F.col("__picks").isNull(), F.col("rank")).when(at > 0, at).otherwise(F.col("rank") + behind)
@@ -85,7 +84,7 @@ def spread_sources(hits: DataFrame, top_window: int = fixed.DEFAULT_TOP_K) -> Da
     placed = row_numbers(minus, ["query_id"], ["__minus", "rank"], "__place").drop("__minus")
     # Lists of at most two hits come back in the order they had.
     longer = placed.filter("__place = 3").select("query_id", F.lit(True).alias("__long"))
-    ordered = spread_join(placed, longer, ["query_id"], "left").withColumn("__long", F.col("__long").isNotNull())
+    ordered = placed.join(longer, ["query_id"], "left").withColumn("__long", F.col("__long").isNotNull())
     ordered = ordered.withColumn("__place", F.when(F.col("__long"), F.col("__place")).otherwise(F.col("rank")))
     item = F.struct(
         "__place", F.col("score").cast("double").alias("score"), F.coalesce("source_key", F.lit("")).alias("source_key"),

@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from tenderloom import fixed_values as fixed
 from tenderloom.functions.questions import search_mode
 from tenderloom.functions.text import overlap_share, strip, tokens
-from tenderloom.operators.joins import lookup
 from tenderloom.operators.ordered import top_per_group
 from tenderloom.session import frozen, setting
 
@@ -79,6 +78,8 @@ def nearest(index: DataFrame, questions: DataFrame, k: int, index_id: str = "id"
     """
     spark = index.sparkSession
     limit = setting(spark, "query.block", QUERY_BLOCK)
+    # a row without a vector is near nothing
+    questions = questions.filter(F.col("vector").isNotNull())
     head = questions.select("query_id", "vector").limit(limit + 1).toArrow()
     schema = T.StructType(
         [
@@ -87,7 +88,7 @@ def nearest(index: DataFrame, questions: DataFrame, k: int, index_id: str = "id"
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    rows = index.select(F.col(index_id).alias("id"), "vector")
+    rows = index.filter(F.col("vector").isNotNull()).select(F.col(index_id).alias("id"), "vector")
     if head.num_rows <= limit:
         found = _with_all_questions(rows, head, k, schema)
     else:
@@ -137,12 +138,13 @@ def _by_blocks(index: DataFrame, questions: DataFrame, k: int, query_block: int,
     index_block = setting(index.sparkSession, "index.block", INDEX_BLOCK)
     n_index = max(1, -(-index.count() // index_block))
     n_query = max(1, -(-questions.count() // query_block))
-    left = index.withColumn("ib", F.pmod(F.xxhash64("id"), F.lit(n_index))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1)))
-    )
-    right = questions.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_query))).withColumn(
-        "ib", F.explode(F.sequence(F.lit(0), F.lit(n_index - 1)))
-    )
+
+    def numbers(n: int) -> Column:
+        # of the type of a remainder: grouped sides meet only if their keys have one type
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    left = index.withColumn("ib", F.pmod(F.xxhash64("id"), F.lit(n_index).cast("long"))).withColumn("qb", numbers(n_query))
+    right = questions.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_query).cast("long"))).withColumn("ib", numbers(n_index))
     names = ["query_id", "id", "distance"]
 
     def search(block: pa.Table, asked: pa.Table) -> pa.Table:
@@ -183,8 +185,8 @@ def search(
     chosen = search_mode(F.col("question"), hard_threshold) if mode == "dynamic" else F.lit(mode)
     asked = questions.select("query_id", tokens(F.col("question")).alias("__q"), chosen.alias("mode"))
     docs = index.select("id", "text", "source")
-    rows = lookup(docs, candidates, ["id"], "inner")
-    rows = lookup(rows, asked, ["query_id"], "inner")
+    rows = docs.join(candidates, ["id"], "inner")
+    rows = rows.join(asked, ["query_id"], "inner")
     scored = rows.withColumn("dense_score", dense_score(F.col("distance"))).withColumn(
         "lexical_score", lexical_score(F.col("__q"), tokens(F.col("text")), tokens(F.col("source")))
     )

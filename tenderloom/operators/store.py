@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from tenderloom import fixed_values as fixed
 from tenderloom.functions import names
 from tenderloom.functions.text import first_non_blank, match_key, strip
-from tenderloom.operators.joins import lookup, spread_join
 from tenderloom.operators.ordered import running_before
 
 
@@ -17,16 +16,16 @@ from tenderloom.operators.ordered import running_before
 def upserted(stored: DataFrame, fresh: DataFrame, key: str = "doc_id") -> DataFrame:
     """The stored rows without the documents that come anew, plus the new rows. Running it twice changes nothing."""
     again = fresh.select(key).distinct()
-    return spread_join(stored, again, [key], "left_anti").unionByName(fresh, allowMissingColumns=True)
+    return stored.join(again, [key], "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
 def without_document(stored: DataFrame, removed: DataFrame, key: str = "doc_id") -> DataFrame:
-    return spread_join(stored, removed.select(key).distinct(), [key], "left_anti")
+    return stored.join(removed.select(key).distinct(), [key], "left_anti")
 
 
 def cascade_delete(items: DataFrame, deleted_projects: DataFrame, key: str = "project_id") -> DataFrame:
     """Items whose project is not deleted; items without a project stay."""
-    return spread_join(items, deleted_projects.select(key).distinct(), [key], "left_anti")
+    return items.join(deleted_projects.select(key).distinct(), [key], "left_anti")
 
 
 # ---------------------------------------------------------------- repair
@@ -52,8 +51,8 @@ def inferred_sources(metadata: DataFrame, index: DataFrame) -> DataFrame:
     by_stem = index.groupBy(F.col("stem").alias("__stem")).agg(F.min_by("ext", "line_no").alias("__by_stem"))
     by_key = index.groupBy(match_key(F.col("stem")).alias("__key")).agg(F.min_by("ext", "line_no").alias("__by_key"))
     rows = rows.withColumn("__stem", F.lower("source_norm")).withColumn("__key", match_key(F.col("source_norm")))
-    rows = lookup(rows, by_stem, ["__stem"])
-    rows = lookup(rows, by_key.filter("__key <> ''"), ["__key"])
+    rows = rows.join(by_stem, ["__stem"], "left")
+    rows = rows.join(by_key.filter("__key <> ''"), ["__key"], "left")
     return rows.withColumn("inferred_ext", F.coalesce("__suffix", "__by_stem", "__by_key", F.lit(""))).drop(
         "__suffix", "__stem", "__key", "__by_stem", "__by_key"
     )

@@ -16,7 +16,6 @@ from tenderloom.functions import amounts, answer_format, answers, dates, questio
 from tenderloom.functions.text import blank, contains_any, nfkc, strip
 from tenderloom.operators import notices as notice_ops
 from tenderloom.operators import rerank
-from tenderloom.operators.joins import lookup
 from tenderloom.operators.ordered import top_per_group
 from tenderloom.session import frozen
 
@@ -56,7 +55,7 @@ def ranking_answers(registry: DataFrame, top_n: int = fixed.DEFAULT_TOP_N) -> St
             ordered = F.reverse(listed) if way == "desc" else listed
             lists.append(top.agg(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("answer")).select(F.lit(way).alias("way"), "answer"))
         wanted = asked.filter("query_type = 'ranking'").withColumn("way", F.when(F.col("rank_order") == "asc", "asc").otherwise("desc"))
-        return _answer(lookup(wanted, lists[0].unionByName(lists[1]), ["way"], "inner"), F.col("answer"), "csv", "extractive")
+        return _answer(wanted.join(lists[0].unionByName(lists[1]), ["way"], "inner"), F.col("answer"), "csv", "extractive")
 
     return answer
 
@@ -72,7 +71,7 @@ def category_answers(notices: DataFrame, top_n: int = fixed.DEFAULT_TOP_N) -> St
             one = found.agg(F.array_join(F.transform(listed, lambda r: r["line"]), "\n").alias("answer")).select(F.lit(name).alias("category"), "answer")
             lists = one if lists is None else lists.unionByName(one)
         wanted = asked.filter("query_type = 'category'")
-        return _answer(lookup(wanted, lists.filter("answer <> ''"), ["category"], "inner"), F.col("answer"), "csv", "extractive")
+        return _answer(wanted.join(lists.filter("answer <> ''"), ["category"], "inner"), F.col("answer"), "csv", "extractive")
 
     return answer
 
@@ -89,7 +88,7 @@ def notice_answers(notices: DataFrame) -> Stage:
         first = notices.groupBy("org").agg(
             *[F.min_by(F.struct("project", "amount", "bid_end"), F.when(known, F.col("row_num"))).alias(slot) for slot, known in value.items()]
         )
-        rows = lookup(wanted, first, ["org"], "inner")
+        rows = wanted.join(first, ["org"], "inner")
         text = F.when(
             F.col("slot") == "budget",
             F.concat(F.col("budget.project"), F.lit("의 사업 금액은 "), amounts.answer_amount(F.col("budget.amount")), F.lit("입니다.")),
@@ -111,7 +110,7 @@ def org_overviews(notices: DataFrame) -> Stage:
             F.col("org"), F.lit("은(는) 공고 "), F.col("n").cast("string"), F.lit("건, 확인된 사업 금액 합계 "),
             F.coalesce(amounts.won(F.col("total")), F.lit("미확인")), F.lit("입니다."),
         )
-        return _answer(lookup(wanted, per_org, ["org"], "inner"), text, "csv", "extractive")
+        return _answer(wanted.join(per_org, ["org"], "inner"), text, "csv", "extractive")
 
     return answer
 

@@ -16,20 +16,25 @@ def truth_of(items: DataFrame) -> DataFrame:
     """Ground truth of evaluation items in the form the metrics read."""
     gt = F.col("ground_truth")
     none = F.array().cast("array<string>")
+    uids = F.transform(F.coalesce(gt["chunk_uids"], none), ev.chunk_label)
+    # Numbers listed as orders may be written as uids, so these are told apart once more.
+    mixed = ev.split_chunk_labels(F.coalesce(gt["chunk_orders"].cast("array<string>"), none))
     return items.select(
         F.col("id").alias("query_id"),
         F.coalesce(gt["sources"], none).alias("sources"),
-        F.transform(F.coalesce(gt["chunk_uids"], none), ev.chunk_label).alias("uids"),
-        F.transform(F.coalesce(gt["chunk_orders"], F.array().cast("array<int>")), ev.chunk_label).alias("orders"),
+        F.array_distinct(F.concat(F.filter(uids, lambda u: u != ""), mixed["uids"])).alias("uids"),
+        mixed["orders"].alias("orders"),
     )
 
 
 def judged(items: DataFrame, produced: DataFrame, judge: Callable[[], Model]) -> DataFrame:
-    """Judge scores per question; an unreadable or failed reply gives zeros. `produced`: query_id, answer, context."""
+    """Judge scores and reasons per question; an unreadable or failed reply gives zeros. `produced`: query_id, answer, context."""
     rows = items.select(F.col("id").alias("query_id"), "question", "expected_answer").join(produced, "query_id")
     prompt = judge_prompt(F.col("question"), F.col("expected_answer"), F.col("answer"), F.col("context"))
     scored = with_replies(rows.select("query_id", prompt.alias("__p")), F.col("__p"), judge).withColumn("j", ev.judge_scores(F.col("reply")))
-    return scored.select("query_id", *[F.coalesce(F.col("j")[c]["score"], F.lit(0)).alias(c) for c in fixed.JUDGE_CRITERIA])
+    told = [F.coalesce(F.col("j")[c]["score"], F.lit(0)).alias(c) for c in fixed.JUDGE_CRITERIA]
+    reasons = [F.coalesce(F.col("j")[c]["reason"], F.lit("")).alias(f"{c}_reason") for c in fixed.JUDGE_CRITERIA]
+    return scored.select("query_id", *told, *reasons)
 
 
 def results(items: DataFrame, hits: DataFrame, scores: DataFrame, runs: DataFrame, top_k: int) -> DataFrame:

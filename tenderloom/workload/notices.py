@@ -9,7 +9,6 @@ from tenderloom.functions import amounts, names
 from tenderloom.functions.text import nfkc
 from tenderloom.operators import notices as ops
 from tenderloom.operators import store
-from tenderloom.operators.joins import spread_join
 from tenderloom.operators.ordered import row_numbers
 from tenderloom.sources.tables import table
 from tenderloom.workload.derived import TODAY, bids, notices, org_name, sql_org_name, with_sql
@@ -128,10 +127,10 @@ SORT_SQL = with_sql(["bids"], f"""
 
 def sorted_by_budget(spark, sf):
     days = ops.with_days_left(bids(spark, sf), _today())
-    return ops.sorted_notices(days, "budget").select("notice_no", "budget").limit(50)
+    return ops.sorted_notices(days, "budget").select("notice_no", "budget")
 
 
-SORTED_BUDGET_SQL = with_sql(["bids"], "SELECT notice_no, budget FROM bids ORDER BY budget DESC NULLS LAST, notice_no LIMIT 50")
+SORTED_BUDGET_SQL = with_sql(["bids"], "SELECT notice_no, budget FROM bids ORDER BY budget DESC NULLS LAST, notice_no")
 
 
 def urgency_class(spark, sf):
@@ -377,7 +376,7 @@ def items_by_project(spark, sf):
     """Saved items with their project, joined so that a project with very many items is spread over tasks."""
     items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("project_id"), "l_quantity")
     projects = table(spark, sf, "orders").select(F.col("o_orderkey").alias("project_id"), "o_orderpriority")
-    joined = spread_join(items, projects, ["project_id"], "inner")
+    joined = items.join(projects, ["project_id"], "inner")
     return joined.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"))
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tenderloom import fixed_values as fixed
 from tenderloom.functions.text import nfkc, overlap_coefficient, tokens
 from tenderloom.operators import rerank, search
-from tenderloom.operators.joins import lookup
 from tenderloom.sources.tables import table
 from tenderloom.workload.derived import hits, questions, with_sql
 
@@ -45,7 +44,7 @@ def knn_class_share(spark, sf):
     """Share of the nearest vectors that belong to the class of the question."""
     index = vector_index(spark, sf)
     found = search.nearest(index, label_questions(spark, sf), fixed.DEFAULT_TOP_K)
-    joined = lookup(index.select("id", "label"), found, ["id"], "inner")
+    joined = index.select("id", "label").join(found, ["id"], "inner")
     return joined.groupBy("query_id").agg(F.round(F.avg((F.col("label") == F.col("query_id")).cast("int")), 6).alias("share"))
 
 

@@ -19,13 +19,15 @@ def spark():
 
 @pytest.fixture
 def small_groups(spark):
-    """Limits so low that the paths for large groups, hot keys and many questions are taken."""
-    limits = {"group.rows": 7, "hot.rows": 5, "broadcast.rows": 3, "query.block": 3, "index.block": 50}
+    """Limits so low that the path for many questions is taken, and ranges so many that every group is cut."""
+    limits = {"query.block": 3, "index.block": 50}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     for name, value in limits.items():
         spark.conf.set(f"spark.tenderloom.{name}", value)
     yield spark
     for name in limits:
         spark.conf.unset(f"spark.tenderloom.{name}")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 @pytest.fixture

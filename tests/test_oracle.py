@@ -37,5 +37,4 @@ def test_runs_without_oracle(spark, name):
                                   "global_chunk_ids", "bid_table", "incremental_upsert", "items_by_project", "repair_counts", "knn_dense",
                                   "label_scores", "answered_questions", "diversify", "merge_dedupe", "table_short_circuit"])
 def test_matches_oracle_with_large_group_paths(small_groups, con, name):
-    small_groups.conf.set("spark.tenderloom.group.rows", 40)
     assert compare(QUERIES[name](small_groups, FOLDER), con, ORACLES[name]) in ("", "both empty")
