@@ -402,3 +402,7 @@ RUN_SUMMARY_COLUMNS = [
     "file", "status", "duration_sec", "chunk_count", "sparse_count", "dense_count", "hierarchy_count",
     "reindexed", "error",
 ]
+
+# Diversity search: candidates per question, weight of the similarity to the question.
+DIVERSE_FETCH = 20
+DIVERSE_WEIGHT = 0.5

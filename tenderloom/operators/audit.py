@@ -123,8 +123,12 @@ def document_text(lines: DataFrame) -> DataFrame:
     return join_lines(pages.withColumn("line", marked), ("doc_id",), ("page_no",))
 
 
+def table_lines(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"(?md)^\|"))
+
+
 def table_line_count(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.select("doc_id", F.regexp_count(text, F.lit(r"(?md)^\|")).alias("table_lines"))
+    return docs.select("doc_id", table_lines(F.col(text)).alias("table_lines"))
 
 
 def audit(docs: DataFrame, text: str = "text") -> DataFrame:

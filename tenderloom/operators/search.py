@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,6 +161,33 @@ def _by_blocks(index: DataFrame, questions: DataFrame, k: int, query_block: int,
     return left.groupBy("ib", "qb").cogroup(right.groupBy("ib", "qb")).applyInArrow(search, schema)
 
 
+def diverse(index: DataFrame, questions: DataFrame, k: int, fetch_k: int = fixed.DIVERSE_FETCH, weight: float = fixed.DIVERSE_WEIGHT) -> DataFrame:
+    """k vectors per question by maximal marginal relevance among its `fetch_k` nearest: query_id, id, distance, position.
+
+    Each pick has the largest weight * similarity to the question - (1 - weight) * largest similarity to a vector picked
+    before. Similarities have six decimals, ties go to the nearer vector, then to the smaller id. A group has `fetch_k`
+    rows at most.
+    """
+    near = frozen(nearest(index, questions, fetch_k))
+    rows = near.join(index.filter(F.col("vector").isNotNull()).select("id", "vector"), "id")
+    schema = T.StructType([*[near.schema[c] for c in ("query_id", "id", "distance")], T.StructField("position", T.IntegerType())])
+
+    def pick(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["distance", "id"]).drop_duplicates("id").reset_index(drop=True)
+        vectors = np.array(group["vector"].tolist(), dtype=np.float64)
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+        likeness, own = np.round(vectors @ vectors.T, 6), 1 - group["distance"].to_numpy()
+        picked: list[int] = []
+        while len(picked) < min(k, len(group)):
+            penalty = likeness[:, picked].max(axis=1) if picked else np.zeros(len(group))
+            gain = np.round(weight * own - (1 - weight) * penalty, 6)
+            gain[picked] = -np.inf
+            picked.append(int(np.argmax(gain)))
+        return group.loc[picked, ["query_id", "id", "distance"]].assign(position=np.arange(1, len(picked) + 1, dtype=np.int32))
+
+    return rows.select("query_id", "id", "distance", "vector").groupBy("query_id").applyInPandas(pick, schema)
+
+
 # ---------------------------------------------------------------- search
 def candidate_count(top_k: int, candidate_k: int | None = None) -> int:
     return max(top_k, candidate_k or max(top_k * 4, 40))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tenderloom import fixed_values as fixed
 from tenderloom.functions import amounts, answer_format, answers, dates, questions
+from tenderloom.functions.names import trailing_index
 from tenderloom.functions.text import blank, contains_any, nfkc, strip
 from tenderloom.operators import notices as notice_ops
 from tenderloom.operators import rerank
@@ -153,23 +154,59 @@ def extracted_answers(hits: DataFrame) -> Stage:
     return answer
 
 
+def with_institution(question: Column, institution: Column) -> Column:
+    """The question with the institution of its filter before it, unless it names it already."""
+    named = strip(F.coalesce(institution, F.lit("")))
+    return F.when((named == "") | F.contains(question, named), question).otherwise(F.concat(named, F.lit(" "), question))
+
+
+def adapted_hits(raw: DataFrame) -> DataFrame:
+    """Search results of any origin in the form of the metrics: query_id, rank, source, page, score, content, chunk_id, chunk_index.
+
+    `raw`: query_id, rank, and what is there of source, page, score, content or text, chunk_id, uid or id, chunk_index or
+    chunk_order, and a metadata map with the same names. The first name with a value counts, the hit before its metadata.
+    """
+    metadata = F.col("metadata") if "metadata" in raw.columns else F.lit(None).cast("map<string,string>")
+
+    def first(*names: str) -> Column:
+        own = [F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in raw.columns]
+        return F.coalesce(*own, *[F.nullif(F.try_element_at(metadata, F.lit(n)), F.lit("")) for n in names], F.lit(None).cast("string"))
+
+    chunk = strip(first("chunk_id", "uid", "id"))
+    chunk = F.nullif(chunk, F.lit(""))
+    place = F.coalesce(first("chunk_index", "chunk_order").try_cast("int"), trailing_index(chunk).cast("int"))
+    return raw.select(
+        "query_id", "rank", F.coalesce(first("source", "source_file", "filename"), F.lit("unknown")).alias("source"), first("page").try_cast("int").alias("page"),
+        F.coalesce(first("score").try_cast("double"), F.lit(0.0)).alias("score"), F.coalesce(first("content", "text"), F.lit("")).alias("content"),
+        chunk.alias("chunk_id"), place.alias("chunk_index"),
+    )
+
+
 def not_found(asked: DataFrame) -> DataFrame:
     named = F.concat(F.lit("'"), F.col("org"), F.lit("' 관련 정보를 찾을 수 없습니다."))
     return _answer(asked, F.when(F.col("org") != "", named).otherwise(F.lit("관련 정보를 찾을 수 없습니다.")), "none", "fixed")
 
 
-def first_answers(asked: DataFrame, stages: Sequence[Stage]) -> DataFrame:
-    """Run the stages in order, each only on the questions that are still open.
+def first_answers(asked: DataFrame, stages: Sequence[Stage], costly: Sequence[Stage] = ()) -> DataFrame:
+    """The answer of the first stage that has one, for every question.
 
-    Questions and the answers of each stage are written to the checkpoint folder, so that no stage is computed twice
-    and a costly late stage sees nothing but the open questions.
+    Cheap stages all see all questions, and one rank per question picks the first answer: one pass, nothing is written.
+    A costly stage, one that calls a model, sees only what the stages before it left open; their answers are written first.
     """
-    still_open, answered = frozen(asked), None
-    for stage in stages:
-        found = frozen(stage(still_open).select(*ANSWER))
-        answered = found if answered is None else answered.unionByName(found)
-        still_open = still_open.join(found.select("query_id"), "query_id", "left_anti")
-    return answered
+    still_open, answered, tried = asked, None, None
+
+    def first_of(found: DataFrame) -> DataFrame:
+        return top_per_group(found, ["query_id"], [F.asc("__stage"), F.asc("answer")], 1, "__place").select(*ANSWER)
+
+    for number, stage in enumerate(stages):
+        if any(stage is c for c in costly) and tried is not None:
+            done = frozen(first_of(tried))
+            answered = done if answered is None else answered.unionByName(done)
+            still_open, tried = frozen(still_open.join(done.select("query_id"), "query_id", "left_anti")), None
+        found = stage(still_open).select(*ANSWER, F.lit(number).alias("__stage"))
+        tried = found if tried is None else tried.unionByName(found)
+    last = first_of(tried)
+    return last if answered is None else answered.unionByName(last)
 
 
 def contexts(hits: DataFrame, results: int = fixed.CONTEXT_RESULTS, chars: int = fixed.CONTEXT_CHARS) -> DataFrame:

@@ -54,10 +54,11 @@ def update_index(stored: DataFrame, fresh: DataFrame, folder: str) -> int:
 
     The result is frozen before it is written, because it reads the folder it replaces.
     """
-    touched = [r[0] for r in fresh.select(stores.bucket_of("doc_id")).distinct().collect()]
-    nearby = stored.filter(F.col("bucket").isin(touched)).drop("bucket")
+    buckets = stores.index_buckets(stored.sparkSession, stored)
+    touched = fresh.select(stores.bucket_of("doc_id", buckets).alias("bucket")).distinct()
+    nearby = stored.join(touched, "bucket", "left_semi").drop("bucket", "buckets")
     merged = frozen(store.upserted(nearby, fresh))
-    stores.write_index(merged, folder)
+    stores.write_index(merged, folder, buckets=buckets)
     return merged.count()
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderloom import fixed_values as fixed
+from tenderloom.session import setting
 
 EVAL_SCHEMA = (
     "id string, question string, expected_answer string,"
@@ -60,23 +61,29 @@ def write_workspace(projects: DataFrame, items: DataFrame, folder: str) -> None:
 
 
 # ---------------------------------------------------------------- results
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunks as JSON lines, one folder per document."""
-    chunks.write.mode("overwrite").partitionBy("doc_id").json(path)
+def write_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> None:
+    """Chunks as JSON lines, in folders by a bucket of the document id."""
+    chunks.withColumn("bucket", bucket_of("doc_id", buckets)).write.mode("overwrite").partitionBy("bucket").json(path)
 
 
-def write_index(rows: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write an index table partitioned by a bucket of its key; only buckets that occur in the rows are replaced."""
-    spark = rows.sparkSession
-    bucketed = rows.withColumn("bucket", bucket_of(key))
-    if spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static").lower() != "dynamic":
-        writer = bucketed.write.option("partitionOverwriteMode", "dynamic")
-    else:
-        writer = bucketed.write
-    writer.mode("overwrite").partitionBy("bucket").parquet(path)
+def write_index(rows: DataFrame, path: str, key: str = "doc_id", buckets: int | None = None) -> None:
+    """Write an index table partitioned by a bucket of its key; only buckets that occur in the rows are replaced.
 
+    The number of buckets is a property of the table: name it when the table is first written, as many as an update
+    touches documents, so that an update does not touch every bucket. It is kept with every row.
+    """
+    n = buckets or index_buckets(rows.sparkSession)
+    bucketed = rows.withColumn("buckets", F.lit(n)).withColumn("bucket", bucket_of(key, n))
+    bucketed.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").parquet(path)
 
-def bucket_of(key: str, buckets: int = 64) -> Column:
+
+def index_buckets(spark: SparkSession, stored: DataFrame | None = None) -> int:
+    """The number of buckets a stored table has, or the setting for new ones."""
+    known = stored.select("buckets").head() if stored is not None and "buckets" in stored.columns else None
+    return known[0] if known else setting(spark, "index.buckets", 1024)
+
+
+def bucket_of(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
 
 

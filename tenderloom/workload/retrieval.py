@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tenderloom import fixed_values as fixed
 from tenderloom.functions.text import nfkc, overlap_coefficient, tokens
 from tenderloom.operators import rerank, search
+from tenderloom.plans.answering import adapted_hits, with_institution
 from tenderloom.sources.tables import table
-from tenderloom.workload.derived import hits, questions, with_sql
+from tenderloom.workload.derived import hits, notices, questions, with_sql
 
 
 def label_questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,6 +202,40 @@ METRICS_SQL = with_sql(["hits"], """
     FROM hits GROUP BY query_id""")
 
 
+def diverse_search(spark, sf):
+    """Five diverse vectors for every relevance class."""
+    return search.diverse(vector_index(spark, sf), label_questions(spark, sf), 5).select("query_id", "id", "position")
+
+
+def asked_with_institution(spark, sf):
+    rows = notices(spark, sf)
+    question = F.concat(F.col("project"), F.when(F.col("row_num") % 3 == 0, F.concat(F.lit(" "), F.col("org"))).otherwise(F.lit("")))
+    return rows.select("row_num", with_institution(question, F.col("org")).alias("question"))
+
+
+INSTITUTION_SQL = with_sql(["notices"], """
+    SELECT row_num, CASE WHEN trim(coalesce(org, '')) = '' OR contains(project || CASE WHEN row_num % 3 = 0 THEN ' ' || org ELSE '' END, trim(org))
+           THEN project || CASE WHEN row_num % 3 = 0 THEN ' ' || org ELSE '' END ELSE trim(org) || ' ' || project END AS question FROM notices""")
+
+
+def hits_of_any_form(spark, sf):
+    """The hits as three kinds of retrievers give them, brought into one form."""
+    h = hits(spark, sf)
+    kind = F.col("query_id") % 3
+    text = F.col("chunk_id")
+    raw = h.select(
+        "query_id", "rank", F.when(kind == 0, F.col("source")).alias("source"), "score",
+        F.when(kind == 1, text).when(kind == 0, F.lit(" ")).alias("uid"), F.when(kind == 0, F.col("chunk_index").cast("string")).alias("chunk_order"),
+        F.when(kind == 2, F.create_map(F.lit("source_file"), F.col("source"), F.lit("chunk_id"), text, F.lit("page"), F.col("page").cast("string"))).alias("metadata"),
+    )
+    return adapted_hits(raw).drop("content")
+
+
+ADAPTED_SQL = with_sql(["hits"], """
+    SELECT query_id, rank, CASE WHEN query_id % 3 = 1 THEN 'unknown' ELSE source END AS source, CASE WHEN query_id % 3 = 2 THEN page END AS page, score,
+           CASE WHEN query_id % 3 <> 0 THEN chunk_id END AS chunk_id, chunk_index FROM hits""")
+
+
 QUERIES = {
     "knn_dense": (knn_dense, KNN_SQL),
     "knn_class_share": (knn_class_share, CLASS_SHARE_SQL),
@@ -213,5 +248,8 @@ QUERIES = {
     "evidence_flags": (evidence_flags, EVIDENCE_SQL),
     "original_fallback": (original_fallback, FALLBACK_SQL),
     "unique_sources": (unique_sources, UNIQUE_SQL),
+    "diverse_search": (diverse_search, None),
+    "asked_with_institution": (asked_with_institution, INSTITUTION_SQL),
+    "hits_of_any_form": (hits_of_any_form, ADAPTED_SQL),
     "retrieval_metrics": (retrieval_metrics, METRICS_SQL),
 }

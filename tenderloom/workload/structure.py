@@ -153,8 +153,7 @@ def inserted_headings(spark, sf):
 
 def audited_documents(spark, sf):
     rows = audit.audit(markdown_documents(spark, sf))
-    counts = audit.table_line_count(rows)
-    return rows.join(counts, "doc_id").select("doc_id", F.length("text").alias("chars"), F.md5("text").alias("text_md5"), "table_lines")
+    return rows.select("doc_id", F.length("text").alias("chars"), F.md5("text").alias("text_md5"), audit.table_lines(F.col("text")).alias("table_lines"))
 
 
 # ---------------------------------------------------------------- tables

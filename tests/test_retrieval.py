@@ -150,3 +150,18 @@ def test_unreadable_judge_reply(column_of):
     good = '{"correctness": {"score": 9, "reason": "r"}, "answer_coverage": {"score": 3}}'
     scores = column_of([good, "{bad"], lambda c: ev.judge_scores(c))
     assert (scores[0]["correctness"]["score"], scores[0]["answer_coverage"]["score"], scores[0]["faithfulness"]["score"]) == (5, 3, 0)
+
+
+def test_diverse_picks(spark):
+    index, asked = _vectors(120, 3), _vectors(6, 4)
+    frame = spark.createDataFrame(index, "id long, vector array<double>").repartition(4)
+    got = search.diverse(frame, spark.createDataFrame(asked, "query_id long, vector array<double>"), 4, 15).collect()
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in index}
+    for q, v in asked:
+        v = np.array(v) / np.linalg.norm(v)
+        left, picked = sorted((round(1 - float(v @ unit[i]), 6), i) for i in unit)[:15], []
+        while len(picked) < 4:
+            best = max(left, key=lambda x: (round(0.5 * (1 - x[0]) - 0.5 * max([round(float(unit[x[1]] @ unit[j]), 6) for j in picked], default=0.0), 6), -x[0], -x[1]))
+            left.remove(best)
+            picked.append(best[1])
+        assert [r["id"] for r in sorted(got, key=lambda r: r["position"]) if r["query_id"] == q] == picked

@@ -71,6 +71,10 @@ def test_index_table_is_updated_by_document(spark, tmp_path):
     got = {r["doc_id"]: r["t"] for r in spark.read.parquet(folder).collect()}
     assert len(got) == 51 and got[3] == "new" and got[4] == "old4" and got[99] == "added"
     assert stores.written_rows_match(spark, folder, 51)
+    few = str(tmp_path / "few")
+    stores.write_index(rows([(i, "old") for i in range(50)]), few, buckets=3)
+    ingest.update_index(spark.read.parquet(few), rows([(3, "new")]), few)
+    assert stores.index_buckets(spark, spark.read.parquet(few)) == 3 and spark.read.parquet(few).where("bucket > 2").count() == 0
 
 
 def test_models(spark):
