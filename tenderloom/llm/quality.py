@@ -92,8 +92,10 @@ def standard_rules() -> dict:
         "word_length": lambda t: let(
             F.char_length(F.regexp_replace(t, BLANK, "")), lambda n: let(word_count(t), lambda k: (n * 2 < k * 5) | (n > k * 15))
         ),
-        # under 70 % of the words have a letter
-        "letters": lambda t: let(words_of(t), lambda w: F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))) * 10 < F.size(w) * 7),
+        # under 40 % of the words have a letter
+        "letters": lambda t: let(words_of(t), lambda w: F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))) * 10 < F.size(w) * 4),
+        # over 30 % of the words are the word before them again
+        "stutters": lambda t: let(words_of(t), lambda w: F.size(F.filter(w, lambda x, i: x.eqNullSafe(F.get(w, i - 1)))) * 10 > F.size(w) * 3),
         # nine in ten lines are list items
         "bullets": lambda t: let(filled_lines(t), lambda lines: F.size(F.filter(lines, lambda x: x.rlike(r"^\s*[-•*‣]"))) * 10 > F.size(lines) * 9),
         # a third of the lines end in an ellipsis

@@ -82,7 +82,8 @@ WITH texts AS (
     n_symbols * 10 > n_words
     OR (len(lines) - n_dup_lines) * 2 < len(lines)
     OR word_chars * 2 < n_words * 5 OR word_chars > n_words * 15
-    OR len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) * 10 < n_words * 7
+    OR len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) * 10 < n_words * 4
+    OR len(list_filter(range(2, n_words + 1), lambda i: w[i] = w[i - 1])) * 10 > n_words * 3
     OR len(list_filter(lines, lambda x: regexp_matches(x, '^\s*[-•*‣]'))) * 10 > len(lines) * 9
     OR len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) * 3 > len(lines) AS rejected
   FROM measured

@@ -59,7 +59,7 @@ def test_verdict_is_the_same_in_any_order(spark):
 def test_rules_reject_what_they_name(spark):
     junk = {
         "symbols": "one# two$ three% four& five six seven eight nine ten", "duplicate_lines": "\n".join(["the same line again"] * 5),
-        "word_length": "a b c d e f g h i j k l", "letters": "12 34 56 78 90 12 34 word 56 78 90",
+        "word_length": "a b c d e f g h i j k l", "letters": "12 34 56 78 90 12 34 word 56 78 90", "stutters": "of of the the word word again again and on",
         "bullets": "- one thing\n- two things\n* three things", "ellipses": "to be continued...\nand so on…\nthe end",
     }
     rules = quality.standard_rules()
