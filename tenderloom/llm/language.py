@@ -198,5 +198,5 @@ def identified(docs: DataFrame, buckets: int = 3, held_bucket: int = 1, id_colum
 def accepted(docs: DataFrame, min_score: float = 0.4, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """The documents whose language is known with at least `min_score`, with all their columns."""
     model = fit(docs, id_column=id_column, text_column=text_column, lang_column=lang_column)
-    rows = docs.withColumn("_language", model.predict(F.col(text_column).cast("string")))
-    return rows.where((F.col("_language.lang") != UNKNOWN) & (F.col("_language.score") >= min_score)).drop("_language")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), model.predict(F.col(text_column).cast("string")).alias("p"))
+    return rows.where((F.col("p.lang") != UNKNOWN) & (F.col("p.score") >= min_score)).select("row.*")

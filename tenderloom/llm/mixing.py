@@ -72,17 +72,18 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: str = SEED,
-          id_column: str = "doc_id", source_column: str = "source", carry: list[str] | None = None) -> DataFrame:
-    """The mixture: the carried columns (by default all) of every copy, with _copy (from 1), _copies, _weight and _order.
+          id_column: str = "doc_id", source_column: str = "source", carry: list[str] | None = None, tell: bool = True) -> DataFrame:
+    """The mixture: the carried columns (by default all) of every copy and, with `tell`, _copy (from 1), _copies, _weight, _order.
 
-    Partitions are ranges of _order, each sorted, so the rows as they are stored are shuffled globally.
+    Partitions are ranges of the order, each sorted, so the rows as they are stored are shuffled globally.
     """
     rates = source_rates(docs, weights, total, source_column=source_column)
     rates = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), F.col("weight").alias("_weight"))
     key = F.coalesce(F.col(id_column).cast("string"), F.lit("\\N"))
-    drawn = docs.select(*(carry or docs.columns), key.alias("_key"), F.col(source_column).alias("_own"))
+    # the carried columns travel as one struct, so that none can clash with those added here
+    drawn = docs.select(F.struct(*(carry or docs.columns)).alias("_row"), key.alias("_key"), F.col(source_column).alias("_own"))
     drawn = drawn.join(rates, F.col("_own").eqNullSafe(F.col("_source"))).withColumn("_copies", poisson_count(F.col("_rate"), F.col("_key"), seed))
     copies = drawn.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     order = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col("_key"), F.col("_copy").cast("string")).cast("binary"))
-    out = copies.withColumn("_order", order).select(*(carry or docs.columns), "_copy", "_copies", "_weight", "_order")
-    return out.repartitionByRange("_order").sortWithinPartitions("_order")
+    out = copies.select("_row", "_copy", "_copies", "_weight", order.alias("_order")).repartitionByRange("_order").sortWithinPartitions("_order")
+    return out.select("_row.*", *(["_copy", "_copies", "_weight", "_order"] if tell else []))

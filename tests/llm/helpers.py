@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, prefix string, n long, fp string, rate double"
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, prefix string, n long, fp string, _row double"
 
 
 def documents(spark, rows):
