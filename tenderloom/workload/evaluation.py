@@ -169,7 +169,8 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
     l, d = table(spark, sf, "labels"), table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
     e = table(spark, sf, "events")
     stage = F.when(F.col("event_type").isin("view", "click"), "analyze_query").when(F.col("event_type") == "error", "retrieve").otherwise("generate")
-    times = e.select((F.col("event_id") % 977).alias("doc_id"), stage.alias("stage"), "value").groupBy("doc_id").pivot("stage", fixed.LATENCY_STAGES).agg(F.sum("value"))
+    size = d.agg(F.count("*")).scalar()
+    times = e.select((F.col("event_id") % size).alias("doc_id"), stage.alias("stage"), "value").groupBy("doc_id").pivot("stage", fixed.LATENCY_STAGES).agg(F.sum("value"))
     rows = l.join(d, "doc_id").join(times, "doc_id", "left")
     entries = F.filter(F.array(*[F.struct(F.lit(s).alias("k"), F.col(s).alias("v")) for s in fixed.LATENCY_STAGES]), lambda x: x["v"].isNotNull())
     n = F.col("n_chars")
@@ -188,7 +189,7 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_RESULTS = """WITH tm AS (SELECT event_id % 977 AS doc_id, sum(value) FILTER (event_type IN ('view', 'click')) AS analyze_query, sum(value) FILTER (event_type = 'error') AS retrieve,
+_RESULTS = """WITH tm AS (SELECT event_id % (SELECT count(*) FROM documents) AS doc_id, sum(value) FILTER (event_type IN ('view', 'click')) AS analyze_query, sum(value) FILTER (event_type = 'error') AS retrieve,
                   sum(value) FILTER (event_type NOT IN ('view', 'click', 'error')) AS generate FROM events GROUP BY 1),
     res AS (SELECT l.doc_id AS query_id, CASE lang WHEN 'en' THEN 'single_doc' WHEN 'fr' THEN 'multi_doc' ELSE 'csv_match' END AS query_type,
                    least(5, quality * 3 + n_chars % 3) AS correctness, least(5, quality * 2 + n_chars % 4) AS answer_coverage, 5 - toxic * 3 - n_chars % 2 AS faithfulness,
