@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from tenderloom.session import frozen
 
 EXAMPLES = 4000
-VOCABULARY = 3000
+VOCABULARY = 2000
 MIN_ROWS = 4
 MIN_CHI2 = 22.0
 NEIGHBOURS = 15
 PRIOR_VOTES = 1.0
 STARTS = (4, 5)
 LEVELS = (2, 3)
-BLOCK = 64
+BLOCK = 256
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -65,42 +65,52 @@ def terms(text: str | None) -> dict[str, int]:
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors in blocks, with the largest weight of every term in every block."""
+    """Postings of unit vectors in blocks, with the largest weight of every term in every block.
+
+    The postings of a block lie in one run, sorted by term: `starts` has where those of a term begin.
+    """
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], vocabulary: int, block: int = BLOCK):
         self.block, self.size = block, len(rows)
         # rows that share their heaviest term stand together, so that few blocks have high maxima for a query
-        heads = [(int(t[np.argmax(w)]), k) for k, (t, w) in enumerate(rows)]
-        self.order = np.array([k for _, k in sorted(heads)], dtype=np.int64)
+        self.order = np.array(sorted(range(len(rows)), key=lambda k: (int(rows[k][0][np.argmax(rows[k][1])]), k)), dtype=np.int64)
         blocks = -(-len(rows) // block)
-        self.maxima = np.zeros((vocabulary, blocks), np.float64)
-        postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for place, k in enumerate(self.order.tolist()):
-            b = place // block
-            for t, w in zip(rows[k][0].tolist(), rows[k][1].tolist()):
-                postings.setdefault((t, b), []).append((place - b * block, w))
-                self.maxima[t, b] = max(self.maxima[t, b], w)
-        self.postings = {key: (np.array([p for p, _ in x]), np.array([w for _, w in x])) for key, x in postings.items()}
+        self.maxima = np.zeros((vocabulary, blocks), np.float32)
+        self.blocks = []
+        for b in range(blocks):
+            own = self.order[b * block:(b + 1) * block]
+            term = np.concatenate([rows[k][0] for k in own])
+            weight = np.concatenate([rows[k][1] for k in own])
+            place = np.repeat(np.arange(len(own)), [len(rows[k][0]) for k in own])
+            by_term = np.argsort(term, kind="stable")
+            # rounded up, as the maxima are bounds
+            np.maximum.at(self.maxima[:, b], term, np.nextafter(weight.astype(np.float32), np.float32(2)))
+            self.blocks.append((np.searchsorted(term[by_term], np.arange(vocabulary + 1)).astype(np.int32), place[by_term].astype(np.int32), weight[by_term]))
+
+    def _scores(self, b: int, found: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        starts, places, values = self.blocks[b]
+        low, sizes = starts[found], starts[found + 1] - starts[found]
+        at = np.repeat(low - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+        return np.round(np.bincount(places[at], weights=values[at] * np.repeat(weights, sizes), minlength=self.block), 12)
 
     def nearest(self, found: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k largest cosines above zero with their row numbers, ties by row number."""
         if not self.size or not len(found):
             return []
         bounds = weights @ self.maxima[found]
-        best: list[tuple[float, int]] = []
+        best, ids = np.zeros(0), np.zeros(0, np.int64)
         for b in np.argsort(-bounds, kind="stable").tolist():
             # the small allowance keeps rounding from closing a block that holds a tie
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < best[-1][0] - 1e-9):
+            if bounds[b] <= 0 or (len(best) == k and bounds[b] < best[-1] - 1e-9):
                 break
-            scores = np.zeros(self.block)
-            for t, w in zip(found.tolist(), weights.tolist()):
-                if (t, b) in self.postings:
-                    places, values = self.postings[t, b]
-                    scores[places] += w * values
-            hit = np.flatnonzero(scores > 0)
-            best += [(round(float(scores[p]), 12), int(self.order[b * self.block + p])) for p in hit.tolist()]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+            scores = self._scores(b, found, weights)
+            hit = np.flatnonzero(scores >= (best[-1] if len(best) == k else 1e-12))
+            if len(hit) > k:
+                hit = hit[scores[hit] >= np.partition(scores[hit], len(hit) - k)[len(hit) - k]]
+            best, ids = np.concatenate((best, scores[hit])), np.concatenate((ids, self.order[b * self.block + hit]))
+            order = np.lexsort((ids, -best))[:k]
+            best, ids = best[order], ids[order]
+        return list(zip(best.tolist(), ids.tolist()))
 
 
 @dataclass
