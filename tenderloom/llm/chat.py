@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenderloom.llm.common import bounded_batches
+
 CONTROL = ["<s>", "</s>", "[ROLE]", "[/ROLE]", "[INST]", "[/INST]"]
 TRAINED_ROLE = "assistant"
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
@@ -104,6 +106,7 @@ def render(role: str, text: str) -> str:
 
 def rendered_turns(turns: DataFrame, conv_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text") -> DataFrame:
     """conv_id, turn, role, rendered, trained (whether the text is under the loss mask), one row per turn, unshuffled."""
+    bounded_batches(turns.sparkSession)
     kinds = [turns.schema[c].dataType.simpleString() for c in (conv_column, turn_column)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

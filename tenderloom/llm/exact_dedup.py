@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.llm.common import BLANK, text_of
+from tenderloom.llm.common import BLANK, parted, text_of
 from tenderloom.session import frozen
 
 PREFIX_CHARS = 64
@@ -81,10 +81,14 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns. Repeated rows of one document become one row."""
+    """The documents that stay, with all their columns. Repeated rows of one document become one row.
+
+    Only rows with the id of a document that goes, or of one with repeated rows, are joined; the others pass as they are.
+    """
     found = frozen(exact_groups(docs, id_column, text_column))
+    clear, touched = parted(docs, id_column, found.where("NOT kept OR copies > 1").select("doc_id"))
     key = ["_dedup_id", "_dedup_text"]
-    keyed = docs.select("*", F.col(id_column).alias(key[0]), text_digest(text_column).alias(key[1]))
+    keyed = touched.select(F.struct(*touched.columns).alias("row"), F.col(id_column).alias(key[0]), text_digest(text_column).alias(key[1]))
     dropped, repeated = (
         found.where(which).select(F.col("doc_id").alias("r_id"), F.col("text_sha256").alias("r_text")).distinct()
         for which in ("NOT kept", "kept AND copies > 1")
@@ -97,4 +101,4 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     if not repeated.isEmpty():
         once = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates(key)
         kept = kept.join(repeated, same(repeated), "left_anti").unionByName(once)
-    return kept.drop(*key)
+    return clear.unionByName(kept.select("row.*"))

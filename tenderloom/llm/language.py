@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenderloom.llm.common import bucket_of
+from tenderloom.llm.common import bounded_batches, bucket_of
 from tenderloom.session import frozen
 
 DIMENSIONS = 1 << 15
@@ -135,6 +135,7 @@ def fitted_temperature(logits: np.ndarray, classes: np.ndarray) -> float:
 def fit(docs: DataFrame, held_out: Column | None = None, fit_rows: int = FIT_ROWS, id_column: str = "doc_id",
         text_column: str = "text", lang_column: str = "lang") -> Model:
     """A model from the rows that have text, language and id and are not held out."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
     training = F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull()
     if held_out is not None:

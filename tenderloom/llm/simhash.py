@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenderloom.llm.common import bounded_batches, parted
 from tenderloom.llm.components import Forest, components
 from tenderloom.session import frozen
 
@@ -66,6 +67,7 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
     kind = docs.schema[id_column].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,13 +195,21 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns: of every group the one with the smallest id, repeated rows once."""
+    """The documents that stay, with all their columns: of every group the one with the smallest id, repeated rows once.
+
+    Only rows with an id that goes, or that several rows have, are joined; the others pass as they are.
+    """
     groups = frozen(near_groups(docs, id_column, text_column))
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    kept = frozen(kept.select(F.col("doc_id").alias("_kept_id"), "rows"))
-    again = kept.where("rows > 1").select("_kept_id")
-    staying = docs.join(kept.select("_kept_id"), docs[id_column].eqNullSafe(kept["_kept_id"]), "left_semi")
-    if again.isEmpty():
-        return staying
-    once = staying.join(again, staying[id_column].eqNullSafe(again["_kept_id"]), "left_semi").dropDuplicates([id_column, text_column])
-    return staying.join(again, staying[id_column].eqNullSafe(again["_kept_id"]), "left_anti").unionByName(once)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    by_id = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(stays).alias("stays")).where("rows > 1 OR NOT stays")
+    marked = frozen(by_id.select(F.col("doc_id").alias("_marked_id"), "stays"))
+    clear, touched = parted(docs, id_column, marked.select("_marked_id"))
+
+    def of(which: str, how: str) -> DataFrame:
+        ids = marked.where(which).select("_marked_id")
+        return touched.join(ids, touched[id_column].eqNullSafe(ids["_marked_id"]), how)
+
+    passed = clear.unionByName(of("true", "left_anti"))
+    if marked.where("stays").isEmpty():
+        return passed
+    return passed.unionByName(of("stays", "left_semi").dropDuplicates([id_column, text_column]))

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenderloom.llm.common import bounded_batches
 from tenderloom.session import frozen, shared_folder
 
 MIN_PAYLOAD = 100
@@ -159,6 +160,7 @@ def _opened(address: str):
 
 def with_references(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """page_id, url, html, digest, refers_to (null for responses)."""
+    bounded_batches(pages.sparkSession)
     html = F.coalesce(F.col(html_column).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).cast("string").alias("url"), html.alias("html"),
                         F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).alias("size"))

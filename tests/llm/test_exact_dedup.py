@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from tenderloom.llm.common import parted
 from tenderloom.llm.exact_dedup import deduplicated, exact_groups
 from tests.llm.helpers import AWKWARD, documents
 
@@ -55,3 +56,14 @@ def test_empty_table(spark):
     docs = documents(spark, ROWS).where("false")
     assert exact_groups(docs, all_rows=True).count() == 0
     assert deduplicated(docs).count() == 0
+
+
+def test_parting_by_marks(spark):
+    rows = spark.createDataFrame([(i, "x") for i in range(3000)] + [(None, "y"), (5, "again")], "doc_id long, _place string").repartition(3)
+    marked = spark.createDataFrame([(i,) for i in range(0, 3000, 3)] + [(None,), (9_999,)], "k long")
+    clear, touched = parted(rows, "doc_id", marked)
+    assert clear.columns == touched.columns == rows.columns
+    assert sorted(map(str, clear.collect() + touched.collect())) == sorted(map(str, rows.collect()))
+    ids = {r["doc_id"] for r in touched.collect()}
+    assert ids >= {None, *range(0, 3000, 3)} and len(ids) < 1010
+    assert parted(rows, "doc_id", marked.where("false"))[1].count() == 0
