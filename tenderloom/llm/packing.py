@@ -16,7 +16,9 @@ are broken by their place in the stored pieces, an empty table gives no pieces,
 
 from __future__ import annotations
 
+import gc
 import heapq
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenderloom.llm.common import worker_store
+from tenderloom.llm.common import bounded_batches, worker_store
 from tenderloom.session import frozen
 
 CAPACITY = 2048
@@ -36,6 +38,7 @@ MAX_CHUNKS = 600_000
 # A blank in the widest sense; a cut before a space is safe only after something that is certainly no blank.
 _DOUBTFUL = re.compile(r"\s ")
 _LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[,.;:!?|#$%&*]"
+_WORD = re.compile(f" ?{_LETTERS}")
 _PLAIN = re.compile(f" ?{_LETTERS}{_MARKS}*(?:\n{_LETTERS}{_MARKS}*)*")
 _PARTS = re.compile(f" ?{_LETTERS}|{_MARKS}+|\n")
 
@@ -93,18 +96,22 @@ class ChunkIds(dict):
         return found
 
     def learn(self, chunks: set[str]) -> None:
-        new = chunks - self.keys()
+        new = set(itertools.filterfalse(self.__contains__, chunks))
         if len(self) + len(new) > MAX_CHUNKS:
             self.clear()
-            new = chunks
+            new = set(chunks)
+        words = {chunk for chunk in new if _WORD.fullmatch(chunk)}
+        new -= words
         plain = [(chunk, _PARTS.findall(chunk)) for chunk in new if _PLAIN.fullmatch(chunk)]
-        parts = {part for _, found in plain for part in found} - self.keys()
-        words = [part for part in parts if part[-1].isalpha()]
-        self._learn_words(words)
-        other = [*parts.difference(words), *new.difference([chunk for chunk, _ in plain])]
+        parts = set(itertools.filterfalse(self.__contains__, itertools.chain.from_iterable(found for _, found in plain)))
+        marks = {part for part in parts if not part[-1].isalpha()}
+        self._learn_words([*words, *(parts - marks - words)])
+        other = [*marks, *new.difference([chunk for chunk, _ in plain])]
         self.update(zip(other, self.whole(other)))
         known = self.__getitem__
         self.update([(chunk, b"".join(map(known, found))) for chunk, found in plain])
+        # what was learned stays; the garbage collector need not walk over it again and again
+        gc.freeze()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = []
@@ -136,6 +143,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, id_co
     """doc_id, start, length, ids_crc32, doc_tokens: each document cut into pieces of at most `capacity` ids."""
     kind = docs.schema[id_column].dataType.simpleString()
     end = np.array([END_ID], dtype="<u4").tobytes()
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = chunk_ids(tokenizer_file)

@@ -19,6 +19,7 @@ anew at `MAX_WORDS`.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.llm.common import worker_store
+from tenderloom.llm.common import bounded_batches, worker_store
 
 MAX_WORDS = 600_000
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
@@ -70,7 +71,7 @@ class WordCounts(dict):
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> None:
-        new = words - self.keys()
+        new = set(itertools.filterfalse(self.__contains__, words))
         if len(self) + len(new) > MAX_WORDS:
             self.clear()
             self.parts = {"": 0}
@@ -79,8 +80,8 @@ class WordCounts(dict):
         found = [(word, _SIMPLE.fullmatch(word)) for word in new]
         simple = [(word, m[1].lower(), m[2]) for word, m in found if m]
         other = [word for word, m in found if not m]
-        self._count_parts(list(({a for _, a, _ in simple} | {b for _, _, b in simple}) - self.parts.keys()))
         parts = self.parts
+        self._count_parts(list(set(itertools.filterfalse(parts.__contains__, (part for _, a, b in simple for part in (a, b))))))
         self.update([(word, parts[a] + parts[b]) for word, a, b in simple])
         self.update(zip(other, self.whole(other)))
 
@@ -130,6 +131,7 @@ def counted(docs: DataFrame, tokenizer_file: str, budget: int, id_column: str =
     With `store_prefixes` also prefix_tokens: the count after each word, for later questions about other budgets.
     """
     schema = "doc_id {}, n_bytes long, n_tokens long, over_limit boolean, words_within long".format(docs.schema[id_column].dataType.simpleString())
+    bounded_batches(docs.sparkSession)
     schema += ", prefix_tokens array<int>" if store_prefixes else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
