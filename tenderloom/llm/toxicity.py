@@ -1,7 +1,7 @@
 """Toxicity from the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and the first four and five characters of longer words, in lower case (see `terms`). Examples are labelled rows: at
-most `EXAMPLES` of each label, those with the smallest hash of their id. On them a chi-squared test picks the vocabulary,
+most `EXAMPLES` of each label, those with the smallest hash of their id, and one of those that are copies of each other. On them a chi-squared test picks the vocabulary,
 the terms that depend on the label; inverse document frequencies are then counted over all documents. A document's vector
 is (1 + ln tf) * idf with unit length over that vocabulary, taken from its whole text.
 
@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenderloom.functions.text import let
+from tenderloom.llm.common import bounded_batches, words_of
 from tenderloom.session import frozen
 
 EXAMPLES = 4000
@@ -158,6 +160,20 @@ def fitted_curve(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) ->
     return float(max(beta[0], 0.0)), float(beta[1])
 
 
+def _unlike(sample: DataFrame) -> DataFrame:
+    """One row of those that share label and smallest shingle hash, as copies and nearly all near copies do.
+
+    Otherwise the words of one text that stands in the sample many times would look as if they depended on the label.
+    """
+    def sketch(words: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0)))
+        return F.array_min(F.transform(places, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
+
+    row = F.struct("h", "doc_id", "text")
+    kept = sample.groupBy("toxic", let(words_of(F.coalesce("text", F.lit(""))), sketch).alias("sketch")).agg(F.min(row).alias("row"))
+    return kept.select("row.doc_id", "row.text", "toxic", "row.h")
+
+
 def _vocabulary(sample: DataFrame, rows: dict[int, int]) -> list[str]:
     """The terms with the largest chi-squared statistic between term and label."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +229,7 @@ def _vectors(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
 def scored(docs: DataFrame, labels: DataFrame, held_out: Column, examples: int = EXAMPLES, id_column: str = "doc_id", text_column: str = "text",
            label_column: str = "toxic") -> DataFrame:
     """doc_id, score, predicted, evidence. `held_out` is an expression over doc_id; such labels are never learned from."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     known = labels.select(F.col(id_column).alias("doc_id"), F.col(label_column).alias("toxic"))
     known = known.where(~F.coalesce(held_out, F.lit(True)) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -220,7 +237,7 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: Column, examples: int =
     of_label = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     hashed = known.withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
     chosen = frozen(hashed.where("toxic = 0").orderBy("h", "doc_id").limit(examples).unionByName(hashed.where("toxic = 1").orderBy("h", "doc_id").limit(examples)))
-    sample = frozen(docs.join(F.broadcast(chosen.select("doc_id", "toxic", "h")), "doc_id"))  # at most 2 * examples ids
+    sample = frozen(_unlike(docs.join(F.broadcast(chosen.select("doc_id", "toxic", "h")), "doc_id")))  # at most 2 * examples ids
     rows = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     vocabulary = {t: k for k, t in enumerate(_vocabulary(sample, rows))}
 
@@ -229,7 +246,7 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: Column, examples: int =
     for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():  # vocabulary rows
         frequency[r["t"]] = r["n"]
     judge = Judge(vocabulary, np.log((1 + everything) / (1 + frequency)) + 1)
-    own = _vectors(sample, vocabulary).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "h", "terms", "counts").collect()
+    own = _vectors(sample, vocabulary).join(F.broadcast(sample.select("doc_id", "toxic", "h").distinct()), "doc_id").collect()
     _teach(judge, sorted(own, key=lambda r: (r["h"], r["doc_id"], r["terms"], r["counts"])), of_label)
 
     kind = docs.schema["doc_id"].dataType
@@ -245,7 +262,9 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: Column, examples: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, kind)],
                                              names=["doc_id", "score", "predicted", "evidence"])
 
-    return vectors.mapInArrow(run, f"doc_id {kind.simpleString()}, score double, predicted int, evidence array<struct<example_id: string, toxic: int, cosine: double>>")
+    # few bytes but much work in a row: as many tasks as a shuffle has, whatever the size of the files
+    spread = vectors.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("doc_id", "terms"))
+    return spread.mapInArrow(run, f"doc_id {kind.simpleString()}, score double, predicted int, evidence array<struct<example_id: string, toxic: int, cosine: double>>")
 
 
 def _teach(judge: Judge, examples: list, of_label: dict[int, int]) -> None:
