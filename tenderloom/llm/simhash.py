@@ -24,7 +24,7 @@ columns are ignored.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -194,12 +194,14 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return prints.join(by_print, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+                groups_of: Callable[[DataFrame, str, str], DataFrame] = near_groups) -> DataFrame:
     """The documents that stay, with all their columns: of every group the one with the smallest id, repeated rows once.
 
+    `groups_of` gives the doc_id and component_id of every row.
     Only rows with an id that goes, or that several rows have, are joined; the others pass as they are.
     """
-    groups = frozen(near_groups(docs, id_column, text_column))
+    groups = frozen(groups_of(docs, id_column, text_column).select("doc_id", "component_id"))
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     by_id = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(stays).alias("stays")).where("rows > 1 OR NOT stays")
     marked = frozen(by_id.select(F.col("doc_id").alias("_marked_id"), "stays"))
