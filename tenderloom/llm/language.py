@@ -3,8 +3,8 @@
 Features are the one- to three-character n-grams of the lower-case text, hashed to `DIMENSIONS` buckets and weighted by
 (1 + ln tf) * idf with unit length. Document frequencies cover all training rows; each task adds up its own rows before
 anything is shuffled. The regression is trained by follow-the-regularised-leader (per-coordinate steps, elastic-net
-penalties) on at most `FIT_ROWS` rows of each language, those with the smallest hash of their id; a fifth of them is kept
-back to fit the softmax temperature. The model has at most `DIMENSIONS` times the number of languages weights, so it can
+penalties) on at most `FIT_ROWS` rows of each language, those with the smallest hash of their id; a fifth of those of each
+language is kept back to fit the softmax temperature. The model has at most `DIMENSIONS` times the number of languages weights, so it can
 travel with the tasks, and a text is scored where it is read: whole, without a shuffle.
 
 A null text and a text without a letter are `und` with score 0, and so is every text if there is nothing to learn from.
@@ -179,8 +179,10 @@ def fit(docs: DataFrame, held_out: Column | None = None, fit_rows: int = FIT_ROW
     for r in sample:
         found = np.frombuffer(r["buckets"], "<u4").astype(np.int64)
         vectors.append((found, model.vector(found, np.frombuffer(r["counts"], "<u4")), number[r["lang"]]))
-    kept_back = vectors[::5] if len(vectors) >= 50 else []
-    model.weights = follow_the_leader([v for k, v in enumerate(vectors) if not kept_back or k % 5], max(len(languages), 1))
+    # every fifth place within each language, as places begin anew with every language
+    back = [len(sample) >= 50 and r["place"] % 5 == 0 for r in sample]
+    kept_back = [v for v, kept in zip(vectors, back) if kept]
+    model.weights = follow_the_leader([v for v, kept in zip(vectors, back) if not kept], max(len(languages), 1))
     if kept_back:
         logits = np.array([x @ model.weights[found] for found, x, _ in kept_back])
         model.temperature = fitted_temperature(logits, np.array([y for _, _, y in kept_back]))

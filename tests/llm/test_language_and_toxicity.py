@@ -43,6 +43,19 @@ def test_language_of_nothing_to_learn_from(spark):
     assert language.accepted(docs).count() == 0
 
 
+def test_five_languages_of_equal_size(spark):
+    """Every language is trained on, whatever the number of languages."""
+    rng, langs = random.Random(6), ["aa", "bb", "cc", "dd", "ee"]
+    pools = {lang: ["".join(rng.choice(letters) for _ in range(5)) for _ in range(60)] for lang, letters in zip(langs, ["abcde", "fghij", "klmno", "pqrst", "uvwxy"])}
+    made = [(5 * i + k, " ".join(rng.choices(pools[lang], k=20)), lang) for i in range(40) for k, lang in enumerate(langs)]
+    docs = documents(spark, made)
+    model = language.fit(docs)
+    assert model.temperature < 19
+    got = docs.select("lang", model.predict(F.col("text")).alias("p")).select("lang", "p.*").collect()
+    assert all(r[0] == r[1] and r["score"] >= 0.4 for r in got)
+    assert language.accepted(docs).count() == len(made)
+
+
 def test_long_texts_are_counted_in_pieces():
     text = "".join(chr(97 + i % 7) for i in range(2_500_000))
     found, counts = language.sparse_counts(text)
