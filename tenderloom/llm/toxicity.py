@@ -1,7 +1,8 @@
 """Toxicity from the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and the first four and five characters of longer words, in lower case (see `terms`). Examples are labelled rows: at
-most `EXAMPLES` of each label, those with the smallest hash of their id, and one of those that are copies of each other. On them a chi-squared test picks the vocabulary,
+Terms are words and the first four and five characters of longer words, in lower case (see `terms`). Examples are labelled rows,
+one of each group of near copies (`near_copies`), and of these at most `EXAMPLES` of each label, those with the smallest hash of
+their id. On them a chi-squared test picks the vocabulary,
 the terms that depend on the label; inverse document frequencies are then counted over all documents. A document's vector
 is (1 + ln tf) * idf with unit length over that vocabulary, taken from its whole text.
 
@@ -29,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.functions.text import let
-from tenderloom.llm.common import bounded_batches, words_of
+from tenderloom.llm.common import bounded_batches, parted
+from tenderloom.llm.near_copies import near_groups
 from tenderloom.session import frozen
 
 EXAMPLES = 4000
@@ -160,18 +161,18 @@ def fitted_curve(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) ->
     return float(max(beta[0], 0.0)), float(beta[1])
 
 
-def _unlike(sample: DataFrame) -> DataFrame:
-    """One row of those that share label and smallest shingle hash, as copies and nearly all near copies do.
+def _unlike(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, text_hash, toxic, h: of known labels (doc_id, toxic, h) one text for each label of every group of near copies.
 
-    Otherwise the words of one text that stands in the sample many times would look as if they depended on the label.
+    Groups are those of `near_copies`: nothing goes that is not alike in shingle Jaccard. Otherwise the words of one text
+    that stands in the examples many times would look as if they depended on the label.
     """
-    def sketch(words: Column) -> Column:
-        places = F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0)))
-        return F.array_min(F.transform(places, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
-
-    row = F.struct("h", "doc_id", "text")
-    kept = sample.groupBy("toxic", let(words_of(F.coalesce("text", F.lit(""))), sketch).alias("sketch")).agg(F.min(row).alias("row"))
-    return kept.select("row.doc_id", "row.text", "toxic", "row.h")
+    _, touched = parted(docs, "doc_id", known.select("doc_id"))
+    row = F.struct(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
+    groups = near_groups(touched.select(row.alias("row"), "text"), id_column="row").select("doc_id.*", F.col("component_id").alias("group"))
+    met = groups.join(known.select("doc_id", "toxic"), "doc_id")
+    kept = met.groupBy("toxic", "group").agg(F.min(F.struct("h", "doc_id", "text_hash")).alias("row"))
+    return kept.select("row.doc_id", "row.text_hash", "toxic", "row.h")
 
 
 def _vocabulary(sample: DataFrame, rows: dict[int, int]) -> list[str]:
@@ -236,8 +237,11 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: Column, examples: int =
     known = frozen(known.join(docs.select("doc_id"), "doc_id", "left_semi"))
     of_label = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     hashed = known.withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
-    chosen = frozen(hashed.where("toxic = 0").orderBy("h", "doc_id").limit(examples).unionByName(hashed.where("toxic = 1").orderBy("h", "doc_id").limit(examples)))
-    sample = frozen(_unlike(docs.join(F.broadcast(chosen.select("doc_id", "toxic", "h")), "doc_id")))  # at most 2 * examples ids
+    unlike, order = frozen(_unlike(docs, hashed)), ("h", "doc_id", "text_hash")
+    chosen = frozen(unlike.where("toxic = 0").orderBy(*order).limit(examples).unionByName(unlike.where("toxic = 1").orderBy(*order).limit(examples)))
+    # at most 2 * examples rows
+    sample = docs.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "text_hash"])
+    sample = frozen(sample.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text", "toxic", "h"))
     rows = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     vocabulary = {t: k for k, t in enumerate(_vocabulary(sample, rows))}
 

@@ -128,3 +128,14 @@ def test_toxicity_of_awkward_tables(spark):
     assert toxicity.scored(docs.where("false"), labels, held_out).count() == 0
     one_label = toxicity.scored(docs, labels.where("toxic = 0"), held_out).collect()
     assert {r["predicted"] for r in one_label} == {0}
+
+
+def test_examples_that_share_a_passage_are_no_copies(spark):
+    rng = random.Random(12)
+    passage = " ".join(f"same{k}" for k in range(30))
+    rows = [(i, passage + " " + " ".join(f"w{rng.randrange(9000)}" for _ in range(40))) for i in range(60)]
+    rows += [(100 + i, rows[i][1].upper()) for i in range(20)] + [(200 + i, rows[i][1] + " end") for i in range(10)]
+    docs = documents(spark, rows).select("doc_id", "text")
+    known = spark.createDataFrame([(i, int(i % 100 % 2 == 0)) for i, _ in rows], "doc_id long, toxic int").withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
+    kept = toxicity._unlike(docs, known).collect()
+    assert sorted(r["doc_id"] % 100 for r in kept) == list(range(60))
