@@ -200,6 +200,83 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identified(_table(spark, folder, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    from tenderloom.llm.conversation_repair import damaged, repaired, reported
+
+    turns = _table(spark, folder, "conversations")
+    return reported(repaired(damaged(turns), turns))
+
+
+# DuckDB has no crc32: its table and the loop over the bytes are spelled out. The walk keeps the cheapest and least edits
+# (cost, audit, repaired rows) for every state of the grammar: z nothing yet, s, u, a the last role.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab
+  FROM range(256) r(i)
+)"""
+_CRC = "xor(4294967295, list_reduce(list_concat([4294967295]::BIGINT[], {bytes}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))"
+
+
+def _went(state: str, cost: str, letter: str, row: str = "") -> str:
+    added = f" || {row}" if row else ""
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || {letter}, 'r': {state}.r{added}}}"
+
+
+_INSERT_USER, _INSERT_ASSISTANT = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+_TO_USER, _TO_ASSISTANT = (
+    [_went(f"w.{state}", f"CASE WHEN faulty THEN 1000000000 WHEN initial = '{role[0]}' THEN t ELSE t + 3 END", f"CASE initial WHEN '{role[0]}' THEN 'K' ELSE 'R' END",
+           f"chr(10) || CASE initial WHEN '{role[0]}' THEN role ELSE '{role}' END || ':' || text") for state in states]
+    for role, states in (("user", "zsa"), ("assistant", "u")))
+OP11_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE}, keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+  FROM conversations
+), hashed AS (
+  SELECT keyed.*, {_CRC.format(bytes="list_transform(string_split(k, ''), lambda x: ord(x)::BIGINT)")} % 20 AS kind FROM keyed, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS time
+  FROM hashed
+), placed AS (
+  SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), time) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, time) > 1 AS again,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut_off
+  FROM damaged
+), judged AS (
+  SELECT *, blank OR again AS faulty, CASE WHEN cut_off THEN 3 ELSE 0 END AS t,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS clash
+  FROM placed
+), counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate,
+         count(*) FILTER (WHERE cut_off AND NOT faulty) AS truncated, count(*) FILTER (WHERE clash) AS illegal
+  FROM judged GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS z, {{'c': 1000000000::BIGINT, 'a': '', 'r': ''}} AS s,
+         {{'c': 3::BIGINT, 'a': 'I', 'r': {_INSERT_USER}}} AS u, {{'c': 6::BIGINT, 'a': 'II', 'r': {_INSERT_USER} || {_INSERT_ASSISTANT}}} AS a
+  FROM counted
+  UNION ALL
+  SELECT conv_id, i, z, s, u, list_min([a, {_went("u", "3", "'I'", _INSERT_ASSISTANT)}]) AS a
+  FROM (
+    SELECT conv_id, i, z, s, a, list_min([u, {_went("z", "3", "'I'", _INSERT_USER)}, {_went("s", "3", "'I'", _INSERT_USER)}, {_went("a", "3", "'I'", _INSERT_USER)}]) AS u
+    FROM (
+      SELECT j.conv_id, j.i, {_went("w.z", "4", "'D'")} AS z,
+        list_min([{_went("w.s", "4", "'D'")}, {_went("w.z", "CASE WHEN faulty OR initial <> 's' THEN 1000000000 ELSE t END", "'K'", "chr(10) || role || ':' || text")}]) AS s,
+        list_min([{_went("w.u", "4", "'D'")}, {", ".join(_TO_USER)}]) AS u,
+        list_min([{_went("w.a", "4", "'D'")}, {", ".join(_TO_ASSISTANT)}]) AS a
+      FROM walk w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1
+    )
+  )
+), ends AS (
+  SELECT c.*, list_min([w.z, w.a]) AS best FROM counted c JOIN walk w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.n
+)
+SELECT k.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
+
+
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
@@ -211,4 +288,5 @@ QUERIES = {
     "op8_mix_sources": (op8_mix_sources, OP8_SQL),
     "op9_packing": (op9_packing, None),
     "op10_language_id": (op10_language_id, None),
+    "op11_conversation_repair": (op11_conversation_repair, OP11_SQL),
 }
