@@ -277,6 +277,51 @@ FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN ends e ON e.conv_i
 """
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    from tenderloom.llm.spelling import variants
+
+    return variants(_table(spark, folder, "documents"))
+
+
+# Neighbours by words without one letter: two words of one length that agree without their i-th letters, or a word that
+# is another without one. Characters of the runs have one byte, or 195 and the code point less 64.
+_RUN_BYTES = "flatten(list_transform(string_split({text}, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [195::BIGINT, ord(x)::BIGINT - 64] END))"
+OP12_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE}, runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
+), distinct_runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, run, count(*) AS times FROM runs GROUP BY 1, 2
+), hashed AS (
+  SELECT run, times, {_CRC.format(bytes=_RUN_BYTES.format(text="id || ':' || run"))} AS h FROM distinct_runs, crc_table
+), hurt AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, times FROM hashed
+), words AS (
+  SELECT word, sum(times)::BIGINT AS n FROM hurt WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5
+), shorter AS (
+  SELECT DISTINCT ON (word, part, i) word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS part FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other FROM shorter a JOIN shorter b ON a.i = b.i AND a.part = b.part AND a.word <> b.word
+  UNION SELECT s.word, w.word FROM shorter s JOIN words w ON w.word = s.part
+  UNION SELECT w.word, s.word FROM shorter s JOIN words w ON w.word = s.part
+), counted AS (
+  SELECT x.word, count(*) AS n_near, list_min(list({{'minus': -w.n, 'word': w.word}})) AS best FROM near x JOIN words w ON w.word = x.other GROUP BY x.word
+), formed AS (
+  SELECT w.word, w.n, coalesce(c.n_near, 0) AS n_near, CASE WHEN -c.best.minus >= 5 * w.n THEN c.best.word END AS form, CASE WHEN -c.best.minus >= 5 * w.n THEN -c.best.minus END AS form_n
+  FROM words w LEFT JOIN counted c USING (word)
+), led AS (
+  SELECT word, word AS root, 0 AS steps FROM formed
+  UNION ALL SELECT l.word, f.form, l.steps + 1 FROM led l JOIN formed f ON f.word = l.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, l.root, f.n, f.n_near, f.form_n FROM formed f JOIN (SELECT word, arg_max(root, steps) AS root FROM led GROUP BY word) l USING (word)
+"""
+
+
+def op13_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    from tenderloom.llm.html_text import extracted
+
+    return extracted(_table(spark, folder, "pages"))
+
+
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
@@ -289,4 +334,6 @@ QUERIES = {
     "op9_packing": (op9_packing, None),
     "op10_language_id": (op10_language_id, None),
     "op11_conversation_repair": (op11_conversation_repair, OP11_SQL),
+    "op12_spelling_variants": (op12_spelling_variants, OP12_SQL),
+    "op13_html_text": (op13_html_text, None),
 }

@@ -147,9 +147,8 @@ def test_query_with_damage(spark):
 def test_edits_in_order(spark):
     rows = [(1, 0, "system", "Be kind."), (1, 1, "assistant", "Hello."), (1, 2, "assistant", "More"), (1, 3, "user", "Bye.")]
     edits = repaired(table(spark, rows)).collect()
-    assert [(r["edit"], r["role"], r["text"]) for r in edits] == [("K", "system", "Be kind."), ("I", "user", ""), ("K", "assistant", "Hello."), ("D", None, None),
-                                                                  ("K", "user", "Bye."), ("I", "assistant", "")]
-    assert [r["fault"] for r in edits] == [None, None, None, "truncated", None, None]
+    assert [(r["edit"], r["role"], r["text"], r["fault"]) for r in edits] == [
+        ("K", "system", "Be kind.", None), ("R", "user", "Hello.", None), ("K", "assistant", "More", "truncated"), ("K", "user", "Bye.", None), ("I", "assistant", "", None)]
 
 
 def test_empty_table(spark):
