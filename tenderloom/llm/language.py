@@ -28,6 +28,7 @@ from tenderloom.session import frozen
 
 DIMENSIONS = 1 << 15
 FIT_ROWS = 1200
+RANK_PARTS = 64
 EPOCHS = 3
 UNKNOWN = "und"
 
@@ -158,8 +159,12 @@ def fit(docs: DataFrame, held_out: Column | None = None, fit_rows: int = FIT_ROW
     for bucket, n in frequency.items():
         idf[bucket] = np.log((1 + everything) / (1 + n)) + 1
 
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id"))
-    chosen = frozen(rows.select("id", "lang").distinct().withColumn("place", place).where(F.col("place") <= fit_rows).select("id", "lang", "place"))
+    # ranked within parts of a language first, so that no task gets all ids of one; the first of all are among the first of a part
+    key = F.xxhash64(F.col("id").cast("string"))
+    ids = rows.select("id", "lang").distinct().withColumns({"key": key, "part": F.pmod(key, F.lit(RANK_PARTS))})
+    for keys in (["lang", "part"], ["lang"]):
+        ids = ids.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("key", "id"))).where(F.col("place") <= fit_rows)
+    chosen = frozen(ids.select("id", "lang", "place"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

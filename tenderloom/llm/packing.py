@@ -74,6 +74,8 @@ class ChunkIds(dict):
         return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
     def _learn_words(self, words: list[str]) -> None:
+        if not words:
+            return
         if not self.checked:
             first = words[:300]
             if self._merged(first) != self.whole(first):
@@ -95,11 +97,12 @@ class ChunkIds(dict):
             start = end + 4
         return found
 
-    def learn(self, chunks: set[str]) -> None:
-        new = set(itertools.filterfalse(self.__contains__, chunks))
+    def learn(self, texts: list[list[str]]) -> None:
+        """All chunks of the texts that are not known yet."""
+        new = set(itertools.filterfalse(self.__contains__, itertools.chain.from_iterable(texts)))
         if len(self) + len(new) > MAX_CHUNKS:
             self.clear()
-            new = set(chunks)
+            new = set(itertools.chain.from_iterable(texts))
         words = {chunk for chunk in new if _WORD.fullmatch(chunk)}
         new -= words
         plain = [(chunk, _PARTS.findall(chunk)) for chunk in new if _PLAIN.fullmatch(chunk)]
@@ -120,7 +123,7 @@ class ChunkIds(dict):
                 cut.append(None)
             else:
                 cut.append(text.replace(" ", "\0 ").split("\0") if "\0" not in text else None)
-        self.learn(set().union(*[c for c in cut if c]))
+        self.learn([c for c in cut if c])
         whole = iter(self.whole([t for t, c in zip(texts, cut) if c is None]))
         return [next(whole) if c is None else b"".join(map(self.__getitem__, c)) for c in cut]
 
