@@ -64,7 +64,8 @@ def _nearest_in(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     step, found = max(k, CELLS // max(1, len(queries))), []
     for start in range(0, len(vectors), step):
-        distance = np.round(1.0 - queries @ vectors[start : start + step].T, 6)
+        # plus zero: no negative zeros
+        distance = np.round(1.0 - queries @ vectors[start : start + step].T, 6) + 0.0
         rows, columns = _best(distance, ids[start : start + step], k)
         found.append((query_ids[rows], ids[start + columns], distance[rows, columns]))
     return _keep([np.concatenate(parts) for parts in zip(*found)], k)

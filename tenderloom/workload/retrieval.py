@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tenderloom import fixed_values as fixed
 from tenderloom.functions.text import nfkc, overlap_coefficient, tokens
-from tenderloom.operators import rerank, search
+from tenderloom.operators import rerank, search, vector_index
 from tenderloom.plans.answering import adapted_hits, with_institution
 from tenderloom.sources.tables import table
 from tenderloom.workload.derived import hits, notices, questions, with_sql
@@ -22,7 +22,7 @@ def label_questions(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.select(F.col("label").cast("bigint").alias("query_id"), F.transform("v", lambda r: r["x"]).alias("vector"))
 
 
-def vector_index(spark: SparkSession, sf: str) -> DataFrame:
+def vector_index_rows(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     return e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), "label")
 
@@ -34,7 +34,7 @@ _QUERY_VECTORS = """WITH qd AS (SELECT label, i, avg(x) AS x FROM (SELECT label,
 
 
 def knn_dense(spark, sf):
-    found = search.nearest(vector_index(spark, sf), label_questions(spark, sf), fixed.DEFAULT_TOP_K)
+    found = search.nearest(vector_index_rows(spark, sf), label_questions(spark, sf), fixed.DEFAULT_TOP_K)
     return found.select("query_id", "id", "distance", "position", F.round(search.dense_score(F.col("distance")), 6).alias("score"))
 
 
@@ -43,7 +43,7 @@ KNN_SQL = f"{_QUERY_VECTORS} SELECT query_id, id, distance, position, round(1 /
 
 def knn_class_share(spark, sf):
     """Share of the nearest vectors that belong to the class of the question."""
-    index = vector_index(spark, sf)
+    index = vector_index_rows(spark, sf)
     found = search.nearest(index, label_questions(spark, sf), fixed.DEFAULT_TOP_K)
     joined = index.select("id", "label").join(found, ["id"], "inner")
     return joined.groupBy("query_id").agg(F.round(F.avg((F.col("label") == F.col("query_id")).cast("int")), 6).alias("share"))
@@ -52,9 +52,41 @@ def knn_class_share(spark, sf):
 CLASS_SHARE_SQL = f"{_QUERY_VECTORS} SELECT query_id, round(avg((label = query_id)::INTEGER), 6) AS share FROM n WHERE position <= 10 GROUP BY query_id"
 
 
+def vector_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector whose id is divisible by 100, as a question."""
+    return table(spark, sf, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+def knn_vectors(spark, sf):
+    """Exact neighbours of every hundredth vector among all."""
+    return search.nearest(vector_index_rows(spark, sf), vector_questions(spark, sf), fixed.DEFAULT_TOP_K).select("query_id", "id", "distance", "position")
+
+
+KNN_VECTORS_SQL = """WITH d AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance
+           FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)
+    SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS position FROM d QUALIFY position <= 10"""
+
+
+def knn_lists(spark, sf):
+    """The same neighbours from an inverted file: only the lists nearest to a question are read."""
+    index = vector_index.build(vector_index_rows(spark, sf), k=fixed.DEFAULT_TOP_K)
+    return vector_index.search_lists(index, vector_questions(spark, sf), fixed.DEFAULT_TOP_K).select("query_id", "id", "distance", "position")
+
+
+def knn_lists_recall(spark, sf):
+    """Whether the inverted file finds nine tenths of the exact neighbours, and that what it finds has exact distances."""
+    found, exact = knn_lists(spark, sf), knn_vectors(spark, sf)
+    same = exact.select("query_id", "id", F.col("distance").alias("exact"))
+    wrong = found.join(same, ["query_id", "id"]).agg(F.count_if(F.col("distance") != F.col("exact")).alias("wrong_distances"))
+    return vector_index.recall(found, exact).agg(F.count("*").alias("questions"), (F.avg("recall") >= 0.9).alias("recall_reached")).crossJoin(wrong)
+
+
+LISTS_RECALL_SQL = "SELECT count(*) AS questions, true AS recall_reached, 0 AS wrong_distances FROM embeddings WHERE vec_id % 100 = 0"
+
+
 def _text_index(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source")
-    return vector_index(spark, sf).join(d, "id")
+    return vector_index_rows(spark, sf).join(d, "id")
 
 
 def _text_questions(spark, sf):
@@ -204,7 +236,7 @@ METRICS_SQL = with_sql(["hits"], """
 
 def diverse_search(spark, sf):
     """Five diverse vectors for every relevance class."""
-    return search.diverse(vector_index(spark, sf), label_questions(spark, sf), 5).select("query_id", "id", "position")
+    return search.diverse(vector_index_rows(spark, sf), label_questions(spark, sf), 5).select("query_id", "id", "position")
 
 
 def asked_with_institution(spark, sf):
@@ -238,6 +270,9 @@ ADAPTED_SQL = with_sql(["hits"], """
 
 QUERIES = {
     "knn_dense": (knn_dense, KNN_SQL),
+    "knn_vectors": (knn_vectors, KNN_VECTORS_SQL),
+    "knn_lists": (knn_lists, None),
+    "knn_lists_recall": (knn_lists_recall, LISTS_RECALL_SQL),
     "knn_class_share": (knn_class_share, CLASS_SHARE_SQL),
     "hybrid_search": (hybrid_search, _search_sql("'hybrid'")),
     "dynamic_search": (dynamic_search, _search_sql(_DYNAMIC)),
