@@ -330,9 +330,12 @@ LABEL_SCORES_SQL = f"{_LABEL_BASE} SELECT item_id, place, chunk_id, score, num_h
 
 
 def _selected(spark, sf):
-    scored = labels.score_candidates(_label_items(spark, sf), _label_chunks(spark, sf)).withColumn("score", F.round("score", 6))
-    targets = table(spark, sf, "benchmark").select("item_id", (F.col("item_id") % 3 + 1).cast("int").alias("target_n"))
-    return labels.select_labels(scored, targets)
+    scored = labels.score_candidates(_label_items(spark, sf), _label_chunks(spark, sf), fixed.LABEL_MIN_SCORE - 1e-6).withColumn("score", F.round("score", 6))
+    return labels.select_labels(scored, _targets(spark, sf))
+
+
+def _targets(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", (F.col("item_id") % 3 + 1).cast("int").alias("target_n"))
 
 
 def label_sync(spark, sf):
@@ -345,6 +348,13 @@ LABEL_SYNC_SQL = f"""{_LABEL_BASE},
     SELECT item_id, pick, chunk_id, score FROM pk WHERE tier = 0 OR pick <= item_id % 3 + 1"""
 
 
+def label_sync_by_name(spark, sf):
+    """The same labels for items whose sources are named otherwise than they are stored: found by label, key or part of a key."""
+    number = F.regexp_extract("source", "[0-9]+", 0)
+    items = _label_items(spark, sf).withColumn("label", F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("src"), number)).otherwise(F.concat(F.lit("src_"), number))).drop("source")
+    return labels.synchronised(items, _label_chunks(spark, sf), _targets(spark, sf)).select("item_id", "pick", "chunk_id", "score")
+
+
 def label_changes(spark, sf):
     b = table(spark, sf, "benchmark")
     items = b.select("item_id", F.array(F.lit("0_0")).alias("chunk_uids"), F.array(F.lit(0).cast("bigint")).alias("chunk_orders"))
@@ -403,6 +413,7 @@ QUERIES = {
     "judge_scores": (judge_scores, JUDGE_SQL),
     "label_scores": (label_scores, LABEL_SCORES_SQL),
     "label_sync": (label_sync, LABEL_SYNC_SQL),
+    "label_sync_by_name": (label_sync_by_name, LABEL_SYNC_SQL),
     "label_changes": (label_changes, LABEL_CHANGES_SQL),
     "label_lookup_cascade": (label_lookup_cascade, LOOKUP_SQL),
 }
