@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tenderloom.plans.ingest import update_index
+from tenderloom.plans.ingest import Index, update_index
 from tenderloom.sources.notices_csv import exists
 from tenderloom.sources.stores import write_index
+from tenderloom.sources.versions import COMPACT_AFTER, VersionedIndex
 
 
 def index_stream(documents: DataFrame, to_chunks: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:
@@ -29,3 +30,20 @@ def index_stream(documents: DataFrame, to_chunks: Callable[[DataFrame], DataFram
     return (
         documents.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def versioned_stream(documents: DataFrame, to_index: Callable[[DataFrame], Index], folder: str, checkpoint: str, name: str = "documents") -> StreamingQuery:
+    """Keeps chunks, hierarchy and sparse weights in step: each micro-batch is one version of all three.
+
+    A batch that is repeated after a failure is known by its number, so every document counts once.
+    """
+    index = VersionedIndex(folder)
+
+    def commit(batch: DataFrame, number: int) -> None:
+        made = to_index(batch)
+        tables = {"chunks": made.chunks, "hierarchy": made.hierarchy, "sparse": made.sparse}
+        index.commit(tables, batch.select("doc_id"), name, number)
+        if len(index.version(batch.sparkSession).batches) > COMPACT_AFTER:
+            index.compacted(batch.sparkSession)
+
+    return documents.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

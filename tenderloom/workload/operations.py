@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tenderloom.operators import report, sampling, store
 from tenderloom.operators.ordered import row_numbers, running_before
+from tenderloom.session import shared_folder
 from tenderloom.sources.tables import table
+from tenderloom.sources.versions import VersionedIndex
 from tenderloom.workload.derived import hits, notices, with_sql
 
 
@@ -26,6 +30,35 @@ UPSERT_SQL = with_sql(["hits"], """
     SELECT doc_id, count(*) AS n, max(source) AS last_source FROM u GROUP BY doc_id""")
 
 
+def versioned_upsert(spark, sf):
+    """Three tables of all documents in two batches, the second twice: some documents come anew, some are removed."""
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    again = d.filter("doc_id % 10 = 0").withColumn("text", F.concat(F.lit("v2 "), "text"))
+
+    def tables(rows):
+        lines = F.split("text", "\n", -1)
+        return {
+            "chunks": rows.select("doc_id", F.posexplode(lines).alias("line_no", "line")),
+            "hierarchy": rows.select("doc_id", F.size(lines).alias("n_lines")),
+            "sparse": rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars")),
+        }
+
+    index = VersionedIndex(f"{shared_folder(spark)}/tenderloom/index-{uuid.uuid4().hex}")
+    index.commit(tables(d), d, "documents", 0)
+    for _ in range(2):
+        index.commit(tables(again), d.filter("doc_id % 5 = 0"), "documents", 1)
+    version = index.version(spark)
+    chunks = index.table(spark, "chunks", version).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.min("line").alias("least_line"))
+    return (chunks.join(index.table(spark, "hierarchy", version), "doc_id", "full").join(index.table(spark, "sparse", version), "doc_id", "full")
+            .withColumn("version", F.lit(version.number)))
+
+
+VERSIONED_SQL = """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'v2 ' ELSE '' END || coalesce(text, '') AS text FROM documents WHERE doc_id % 10 <> 5),
+    c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+    SELECT doc_id, count(*) AS n_chunks, min(line) AS least_line, count(*) AS n_lines, any_value(n_chars) AS n_chars, 2 AS version
+    FROM c JOIN (SELECT doc_id, length(text) AS n_chars FROM d) USING (doc_id) GROUP BY doc_id"""
+
+
 def _metadata(spark, sf):
     k = F.col("l_orderkey") + F.col("l_partkey")
     name = F.concat(F.lit("Supplier "), (F.col("l_suppkey") % 60).cast("string"))
@@ -176,6 +209,7 @@ def eval_set_pairs(spark, sf):
 
 QUERIES = {
     "incremental_upsert": (incremental_upsert, UPSERT_SQL),
+    "versioned_upsert": (versioned_upsert, VERSIONED_SQL),
     "repair_counts": (repair_counts, REPAIR_COUNTS_SQL),
     "repair_diff": (repair_diff, REPAIR_DIFF_SQL),
     "stored_metadata": (stored_metadata, STORED_SQL),
