@@ -114,8 +114,37 @@ def section_at(positions: DataFrame, headings: DataFrame) -> DataFrame:
     return both.filter("kind = 1").drop("kind")
 
 
+def _aligned_blocks(start: Column, end: Column) -> Column:
+    """The range start..end as few aligned blocks of power-of-two size: array of (size: its exponent, block: its number).
+
+    Going up the sizes, what is left of the range begins at the next block and ends before the last; of either side a block
+    with an odd number (or before one) is not part of a larger one and is taken.
+    """
+    def shifted(value: Column, bits: Column) -> Column:
+        return F.call_function("shiftright", value, bits)
+
+    def of_size(k: Column) -> Column:
+        low = shifted(start + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k)
+        high = shifted(end + 1, k)
+        at = lambda block: F.struct(k.alias("size"), block.alias("block"))
+        taken = F.array(F.when((low < high) & (F.pmod(low, F.lit(2)) == 1), at(low)), F.when((low < high) & (F.pmod(high, F.lit(2)) == 1), at(high - 1)))
+        return F.array_compact(taken)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(F.log2(end - start + 1)).cast("int")), of_size))
+
+
 def chunks_of_sections(entries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Every section with the chunks in its range; the document is an equality key of the range join."""
-    c = chunks.select("doc_id", "chunk_order", F.col("uid").alias("chunk_uid"))
-    joined = entries.select("doc_id", "uid", "level", "start_order", "end_order").join(c, "doc_id")
-    return joined.filter(F.col("chunk_order").between(F.col("start_order"), F.col("end_order")))
+    """Every section with the chunks in its range: an interval join on equal keys alone.
+
+    A range is cut into aligned blocks, a chunk lies in one block of every size; the two meet on (document, size, block) once
+    for every pair of the result and never otherwise. A range without a start or an end has no chunks.
+    """
+    start, end = F.col("start_order").cast("long"), F.col("end_order").cast("long")
+    cut = entries.select("doc_id", "uid", "level", "start_order", "end_order").filter(start <= end).select(
+        "*", F.inline(_aligned_blocks(start, end)))
+    # at most one number for every power of two
+    sizes = sorted(r[0] for r in cut.select("size").distinct().collect())
+    order = F.col("chunk_order").cast("long")
+    own = chunks.select("doc_id", "chunk_order", F.col("uid").alias("chunk_uid"), F.explode(F.array(*[F.lit(n) for n in sizes]).cast("array<int>")).alias("size"))
+    own = own.withColumn("block", F.call_function("shiftright", order, F.col("size")))
+    return cut.join(own, ["doc_id", "size", "block"]).select("doc_id", "uid", "level", "start_order", "end_order", "chunk_order", "chunk_uid")
