@@ -227,6 +227,18 @@ def _vectors(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, terms array<int>, counts array<int>")
 
 
+def _frequencies(vectors: DataFrame, vocabulary: int) -> DataFrame:
+    """term, n: the number of rows with each term, counted in one array per task; only its entries leave the task."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(vocabulary, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=vocabulary)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], names=["term", "n"])
+
+    return vectors.select("terms").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def scored(docs: DataFrame, labels: DataFrame, held_out: Column, examples: int = EXAMPLES, id_column: str = "doc_id", text_column: str = "text",
            label_column: str = "toxic") -> DataFrame:
     """doc_id, score, predicted, evidence. `held_out` is an expression over doc_id; such labels are never learned from."""
@@ -247,8 +259,8 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: Column, examples: int =
 
     vectors = frozen(_vectors(docs, vocabulary))
     everything, frequency = vectors.count(), np.zeros(len(vocabulary))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():  # vocabulary rows
-        frequency[r["t"]] = r["n"]
+    for r in _frequencies(vectors, len(vocabulary)).collect():  # vocabulary rows
+        frequency[r["term"]] = r["n"]
     judge = Judge(vocabulary, np.log((1 + everything) / (1 + frequency)) + 1)
     own = _vectors(sample, vocabulary).join(F.broadcast(sample.select("doc_id", "toxic", "h").distinct()), "doc_id").collect()
     _teach(judge, sorted(own, key=lambda r: (r["h"], r["doc_id"], r["terms"], r["counts"])), of_label)
