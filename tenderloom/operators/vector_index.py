@@ -100,7 +100,7 @@ def build(index: DataFrame, lists: int | None = None, rounds: int = ROUNDS, k: i
     # ids only, at most SAMPLE_PER_LIST * MOST_LISTS of them
     sample = frozen(rows.join(F.broadcast(chosen), "id", "left_semi"))
     first = sample.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(lists).toArrow()
-    centroids = _vectors(first.column("vector").combine_chunks()) if first.num_rows else np.zeros((1, 1))
+    centroids = _vectors(first.column("vector").combine_chunks()) if first.num_rows else np.zeros((0, 1))
     for _ in range(rounds if first.num_rows else 0):
         means = _means(sample.select("vector"), centroids)
         if np.array_equal(means, centroids):
@@ -143,7 +143,8 @@ def probed_lists(index: VectorIndex, questions: DataFrame, probes: int | None =
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
+            # an empty index has no lists
+            if batch.num_rows and len(centroids):
                 found = _lists_of(_vectors(batch.column(1)), centroids, n)
                 again = pa.array(np.repeat(np.arange(batch.num_rows), found.shape[1]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(again), batch.column(1).take(again), pa.array(found.ravel(), pa.int32())],
