@@ -2,20 +2,23 @@
 
 Terms are words and the first four and five characters of longer words, in lower case (see `terms`). Examples are labelled rows,
 one of each group of near copies (`near_copies`), and of these at most `EXAMPLES` of each label, those with the smallest hash of
-their id. On them a chi-squared test picks the vocabulary,
-the terms that depend on the label; inverse document frequencies are then counted over all documents. A document's vector
-is (1 + ln tf) * idf with unit length over that vocabulary, taken from its whole text.
-
-The index holds four fifths of the examples in blocks of `BLOCK` and keeps, per term and block, the postings and their
-largest weight. For a text the block maxima give every block an upper bound; blocks are opened from the highest bound
-down until no bound reaches the k-th best cosine found. That is the exact result of a full scan. The k neighbours vote
-with their cosine, each label weighted back to its share of all labelled rows, and a logistic curve fitted on the
-remaining fifth turns the vote into a probability. A text without a vocabulary term, or without a neighbour, gets the
-smoothed share of toxic rows among such examples. The neighbours with their labels and cosines are the evidence.
+their id. Every term of every example is in the index. Inverse document frequencies are counted over all documents. A
+document's vector is (1 + ln tf) * idf * w with unit length, taken from its whole text; w is 1 for terms that depend on the label
+(in `MIN_ROWS` examples and a chi-squared statistic of `MIN_CHI2` or more) and `OTHERS` for all others, so that these
+decide only where a text has none of the first kind.
+
+The index keeps the examples in blocks of `BLOCK` and, per term and block, the postings and their largest weight. For a
+text the block maxima give every block an upper bound; blocks are opened from the highest bound down until no bound reaches
+the k-th best cosine found. That is the exact result of a full scan. The k neighbours vote with their cosine, each label
+weighted back to its share of all labelled rows, and a logistic curve turns the vote into a probability. It is fitted on a
+fifth of the examples asked against the other four; the index that judges holds all of them, so a copy of any example finds
+it with cosine 1. A text without a term of any example gets the smoothed share of toxic rows among such examples. The nearest
+examples with their labels and cosines are the evidence.
 
 Null and empty texts have no terms and are scored by that share. Rows that repeat an id get a score each. An id that is
 labelled more than once counts as toxic if any label says so; null labels and labels without a document count for
-nothing. Without labelled examples every score is 0. Equal cosines go to the smaller id. Extra columns are never read.
+nothing. Without labelled examples every score is 0. Equal cosines go to the smaller id. Very long texts are read whole, in
+memory that grows with one text. Empty tables give no rows. Extra columns are never read.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +40,19 @@ from tenderloom.llm.near_copies import near_groups
 from tenderloom.session import frozen
 
 EXAMPLES = 4000
-VOCABULARY = 2000
 MIN_ROWS = 4
 MIN_CHI2 = 22.0
+OTHERS = 0.003
 NEIGHBOURS = 15
+EVIDENCE = 3
 PRIOR_VOTES = 1.0
 STARTS = (4, 5)
 LEVELS = (2, 3)
 BLOCK = 256
+SLICE = 16_384
+ENTRIES, POSTINGS = 1 << 15, 1 << 20
+KNOWN_WORDS = 1 << 18
+COSINE_STEPS = 1e12
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -67,6 +77,63 @@ def terms(text: str | None) -> dict[str, int]:
     return found
 
 
+class TermCounter:
+    """Counts the terms of a vocabulary in many texts at once; words already met cost one look-up."""
+
+    def __init__(self, vocabulary: list[str]):
+        self.places = {t: k for k, t in enumerate(vocabulary)}
+        self.levels = [(level, np.full(len(vocabulary), -1, np.int64)) for level in LEVELS]
+        for t, k in self.places.items():
+            if t[0] == "+":
+                level, start = t[1:].split(" ")
+                self.levels[LEVELS.index(int(level))][1][self.places[start]] = k
+        self.known: dict[str, int] = {}
+        self.table = np.full((KNOWN_WORDS, 1 + len(STARTS)), -1, np.int64)
+
+    def _number(self, word: str) -> int:
+        k = self.known[word] = len(self.known)
+        self.table[k] = [self.places.get("=" + word, -1), *(self.places.get(word[:size], -1) if len(word) > size else -1 for size in STARTS)]
+        return k
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """The terms of every word, one row a word, -1 for none."""
+        found = []
+        for at in range(0, len(words), KNOWN_WORDS // 2):
+            if len(self.known) > KNOWN_WORDS // 2:
+                self.known.clear()
+            get, number = self.known.get, self._number
+            codes = [number(w) if (k := get(w)) is None else k for w in words[at:at + KNOWN_WORDS // 2]]
+            found.append(self.table[codes])
+        return np.concatenate(found) if found else self.table[:0]
+
+    def counted(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each text's entries begin (and the last end), and the entries: terms in ascending order, occurrences."""
+        size, words, lengths = max(len(self.places), 1), [], []
+        for text in texts:
+            own = _LETTERS.findall((text or "").lower())
+            words += own
+            lengths.append(len(own))
+        numbers = self._numbers(words)
+        row = np.repeat(np.arange(len(texts), dtype=np.int64), lengths)
+        keys = np.concatenate([row[(has := numbers[:, c] >= 0)] * size + numbers[has, c] for c in range(numbers.shape[1])])
+        keys, counts = np.unique(keys, return_counts=True)
+        more = [(keys, counts)]
+        for level, terms_of in self.levels:
+            up = terms_of[keys % size] if len(keys) else keys
+            has = (counts >= level) & (up >= 0)
+            more.append((keys[has] // size * size + up[has], counts[has]))
+        keys, counts = np.concatenate([k for k, _ in more]), np.concatenate([n for _, n in more])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        return np.searchsorted(keys, np.arange(len(texts) + 1, dtype=np.int64) * size), keys % size, counts
+
+
+def _ranges(low: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges low .. low + size, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(low - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class BlockMaxIndex:
     """Postings of unit vectors in blocks, with the largest weight of every term in every block.
 
@@ -75,14 +142,16 @@ class BlockMaxIndex:
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], vocabulary: int, block: int = BLOCK):
         self.block, self.size = block, len(rows)
-        # rows that share their heaviest term stand together, so that few blocks have high maxima for a query
-        self.order = np.array(sorted(range(len(rows)), key=lambda k: (int(rows[k][0][np.argmax(rows[k][1])]), k)), dtype=np.int64)
+        frequency = np.bincount(np.concatenate([t for t, _ in rows]).astype(np.int64), minlength=vocabulary) if rows else np.zeros(vocabulary)
+        # rows that share a heavy and frequent term stand together, so that few blocks have high maxima for a query
+        leading = [int(t[np.argmax(x * frequency[t])]) if len(t) else -1 for t, x in rows]
+        self.order = np.array(sorted(range(len(rows)), key=lambda k: (leading[k], k)), dtype=np.int64)
         blocks = -(-len(rows) // block)
         self.maxima = np.zeros((vocabulary, blocks), np.float32)
         self.blocks = []
         for b in range(blocks):
             own = self.order[b * block:(b + 1) * block]
-            term = np.concatenate([rows[k][0] for k in own])
+            term = np.concatenate([rows[k][0] for k in own]).astype(np.int64)
             weight = np.concatenate([rows[k][1] for k in own])
             place = np.repeat(np.arange(len(own)), [len(rows[k][0]) for k in own])
             by_term = np.argsort(term, kind="stable")
@@ -90,62 +159,109 @@ class BlockMaxIndex:
             np.maximum.at(self.maxima[:, b], term, np.nextafter(weight.astype(np.float32), np.float32(2)))
             self.blocks.append((np.searchsorted(term[by_term], np.arange(vocabulary + 1)).astype(np.int32), place[by_term].astype(np.int32), weight[by_term]))
 
-    def _scores(self, b: int, found: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    def _opened(self, b: int, row: np.ndarray, terms: np.ndarray, weights: np.ndarray, rows: int) -> np.ndarray:
+        """A sortable number for every query row and example of a block: cosine first, then the smaller example; -1 below any cosine."""
         starts, places, values = self.blocks[b]
-        low, sizes = starts[found], starts[found + 1] - starts[found]
-        at = np.repeat(low - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-        return np.round(np.bincount(places[at], weights=values[at] * np.repeat(weights, sizes), minlength=self.block), 12)
-
-    def nearest(self, found: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k largest cosines above zero with their row numbers, ties by row number."""
-        if not self.size or not len(found):
-            return []
-        bounds = weights @ self.maxima[found]
-        best, ids = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bounds, kind="stable").tolist():
+        low, sizes = starts[terms].astype(np.int64), (starts[terms + 1] - starts[terms]).astype(np.int64)
+        met = np.flatnonzero(sizes)
+        row, low, sizes, weights = row[met], low[met], sizes[met], weights[met]
+        total, ends = np.zeros(rows * self.block), np.cumsum(sizes)
+        at = 0
+        while at < len(sizes):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + POSTINGS)))
+            n, p = sizes[at:end], _ranges(low[at:end], sizes[at:end])
+            total += np.bincount(np.repeat(row[at:end] * self.block, n) + places[p], weights=values[p] * np.repeat(weights[at:end], n), minlength=len(total))
+            at = end
+        steps = np.rint(total.reshape(rows, self.block) * COSINE_STEPS).astype(np.int64)
+        own = np.zeros(self.block, np.int64)
+        own[:len(self.order[b * self.block:(b + 1) * self.block])] = self.order[b * self.block:(b + 1) * self.block]
+        return np.where(steps > 0, steps * self.size + (self.size - 1 - own), -1)
+
+    def _group(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+        rows, sizes = len(starts) - 1, np.diff(starts)
+        bounds, filled = np.zeros((rows, len(self.blocks))), sizes > 0
+        if filled.any():
+            bounds[filled] = np.add.reduceat(weights[:, None] * self.maxima[terms], starts[:-1][filled], axis=0)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        best, active = np.full((rows, k), -1, np.int64), np.arange(rows)
+        for turn in range(len(self.blocks)):
+            block, least = order[active, turn], best[active].min(axis=1)
+            bound = bounds[active, block]
             # the small allowance keeps rounding from closing a block that holds a tie
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < best[-1] - 1e-9):
+            more = (bound > 0) & ((least < 0) | (bound >= least // self.size / COSINE_STEPS - 1e-9))
+            active, block = active[more], block[more]
+            if not len(active):
                 break
-            scores = self._scores(b, found, weights)
-            hit = np.flatnonzero(scores >= (best[-1] if len(best) == k else 1e-12))
-            if len(hit) > k:
-                hit = hit[scores[hit] >= np.partition(scores[hit], len(hit) - k)[len(hit) - k]]
-            best, ids = np.concatenate((best, scores[hit])), np.concatenate((ids, self.order[b * self.block + hit]))
-            order = np.lexsort((ids, -best))[:k]
-            best, ids = best[order], ids[order]
-        return list(zip(best.tolist(), ids.tolist()))
+            for b in np.unique(block).tolist():
+                own = active[block == b]
+                entries = _ranges(starts[own], sizes[own])
+                found = self._opened(b, np.repeat(np.arange(len(own)), sizes[own]), terms[entries], weights[entries], len(own))
+                best[own] = np.partition(np.concatenate((best[own], found), axis=1), -k, axis=1)[:, -k:]
+        return -np.sort(-best, axis=1)
+
+    def nearest_of(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """For every query row the k largest cosines above zero and their row numbers, ties by row number; 0 and -1 behind the last."""
+        found, at = [np.full((0, k), -1, np.int64)], 0
+        while at < len(starts) - 1:
+            end = max(at + 1, int(np.searchsorted(starts, starts[at] + ENTRIES, side="right")) - 1)
+            low, high = starts[at], starts[end]
+            found.append(self._group(starts[at:end + 1] - low, terms[low:high], weights[low:high], k) if self.size else np.full((end - at, k), -1, np.int64))
+            at = end
+        keys = np.concatenate(found)
+        size = max(self.size, 1)
+        return np.where(keys < 0, 0.0, keys // size / COSINE_STEPS), np.where(keys < 0, -1, size - 1 - keys % size)
+
+    def nearest(self, found: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The same for one query."""
+        scores, ids = self.nearest_of(np.array([0, len(found)]), found, weights, k)
+        return [(s, n) for s, n in zip(scores[0].tolist(), ids[0].tolist()) if n >= 0]
 
 
 @dataclass
 class Judge:
-    """All that is needed to score a vector; of bounded size."""
+    """All that is needed to score a text; of bounded size. The index is built where it is first used."""
 
-    vocabulary: dict[str, int] = field(default_factory=dict)
-    idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    index: BlockMaxIndex | None = None
+    vocabulary: list[str] = field(default_factory=list)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    examples: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     ids: list = field(default_factory=list)
-    labels: list[int] = field(default_factory=list)
-    label_weights: tuple[float, float] = (1.0, 1.0)
+    labels: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    label_weights: np.ndarray = field(default_factory=lambda: np.ones(2))
     slope: float = 8.0
     offset: float = -4.0
     base: float = 0.0
     without_terms: float = 0.0
     neighbours: int = NEIGHBOURS
 
-    def vector(self, found: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = (1 + np.log(counts)) * self.idf[found]
-        return found, x / np.sqrt(x @ x) if len(x) else x
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("index", "counter")}
 
-    def vote(self, near: list[tuple[float, int]]) -> float:
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        return BlockMaxIndex(self.examples, len(self.vocabulary))
+
+    @cached_property
+    def counter(self) -> TermCounter:
+        return TermCounter(self.vocabulary)
+
+    def units(self, starts: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The weights of the entries; those of a text have unit length."""
+        x = (1 + np.log(counts)) * self.weights[terms]
+        row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        return x / np.sqrt(np.bincount(row, weights=x * x, minlength=len(starts) - 1))[row]
+
+    def votes(self, cosines: np.ndarray, near: np.ndarray, labels: np.ndarray) -> np.ndarray:
         """The toxic share of the neighbours' cosines, drawn to the base rate where the neighbours are few or far."""
-        parts = [(s * self.label_weights[self.labels[k]], self.labels[k]) for s, k in near]
-        return (sum(s for s, y in parts if y) + PRIOR_VOTES * self.base) / (sum(s for s, _ in parts) + PRIOR_VOTES)
+        own = np.where(near < 0, 0, labels[near]) if len(labels) else np.zeros(near.shape, np.int64)
+        parts = cosines * self.label_weights[own]
+        return ((parts * own).sum(axis=1) + PRIOR_VOTES * self.base) / (parts.sum(axis=1) + PRIOR_VOTES)
 
-    def judge(self, found: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(*self.vector(found, counts), self.neighbours) if self.index and len(found) else []
-        if not near:
-            return self.without_terms, []
-        return float(1 / (1 + np.exp(-(self.slope * self.vote(near) + self.offset)))), near
+    def judged(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of the texts, and their nearest examples as cosines and row numbers."""
+        starts, terms_of, counts = self.counter.counted(texts)
+        cosines, near = self.index.nearest_of(starts, terms_of, self.units(starts, terms_of, counts), self.neighbours)
+        curve = 1 / (1 + np.exp(-(self.slope * self.votes(cosines, near, self.labels) + self.offset)))
+        return np.where(near[:, 0] < 0, self.without_terms, curve), cosines, near
 
 
 def fitted_curve(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -175,68 +291,52 @@ def _unlike(docs: DataFrame, known: DataFrame) -> DataFrame:
     return kept.select("row.doc_id", "row.text_hash", "toxic", "row.h")
 
 
-def _vocabulary(sample: DataFrame, rows: dict[int, int]) -> list[str]:
-    """The terms with the largest chi-squared statistic between term and label."""
+def _vocabulary(sample: DataFrame, rows: dict[int, int]) -> tuple[list[str], np.ndarray]:
+    """All terms of the examples in order, and what each weighs by its chi-squared statistic between term and label."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = pa.array(list(terms(text)), pa.string())
-                yield pa.RecordBatch.from_arrays([found, pa.array([toxic] * len(found), pa.int32())], names=["term", "toxic"])
-
-    counted = sample.select("text", "toxic").mapInArrow(each, "term string, toxic int").groupBy("term").agg(
-        F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
+                found[toxic].update(terms(text).keys())
+        own = sorted(found[0] | found[1])
+        columns = [pa.array(own, pa.string()), *(pa.array([found[y][t] for t in own], pa.int64()) for y in (1, 0))]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "a", "b"])
+
+    counted = sample.select("text", "toxic").mapInArrow(each, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+    counted = counted.take(np.argsort(np.array(counted.column("term").to_pylist(), dtype=object), kind="stable"))
+    a, b = (counted.column(c).to_numpy().astype(np.float64) for c in "ab")
     n1, n0 = float(rows.get(1, 0)), float(rows.get(0, 0))
-    c, d = n1 - F.col("a"), n0 - F.col("b")
-    cross = F.col("a") * d - F.col("b") * c
-    chi2 = cross * cross * (n1 + n0) / (F.greatest(F.col("a") + F.col("b"), F.lit(1.0)) * F.greatest(c + d, F.lit(1.0)) * max(n1 * n0, 1.0))
-    best = counted.where(F.col("a") + F.col("b") >= MIN_ROWS).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
-    return [r["term"] for r in best.orderBy(F.col("chi2").desc(), "term").limit(VOCABULARY).collect()]
-
-
-def _vectors(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """doc_id, terms, counts over the vocabulary, for every row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    whole = {t[1:]: k for t, k in vocabulary.items() if t[0] == "="}
-    # every beginning with the numbers of its terms: one for any count, one for each level
-    starts: dict[str, list[tuple[int, int]]] = {}
-    for t, k in vocabulary.items():
-        if t[0] == "+":
-            level, start = t[1:].split(" ")
-            starts.setdefault(start, []).append((int(level), k))
-        elif t[0] != "=":
-            starts.setdefault(t, []).append((1, k))
+    c, d = n1 - a, n0 - b
+    chi2 = (a * d - b * c) ** 2 * (n1 + n0) / (np.maximum(a + b, 1.0) * np.maximum(c + d, 1.0) * max(n1 * n0, 1.0))
+    return counted.column("term").to_pylist(), np.where((a + b >= MIN_ROWS) & (chi2 >= MIN_CHI2), 1.0, OTHERS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, counts = [], []
-            for text in batch.column(1).to_pylist():
-                own: dict[int, int] = {}
-                begun: dict[str, int] = {}
-                for word, n in Counter(_LETTERS.findall((text or "").lower())).items():
-                    if word in whole:
-                        own[whole[word]] = n
-                    for size in STARTS:
-                        if word[:size] in starts and len(word) > size:
-                            begun[word[:size]] = begun.get(word[:size], 0) + n
-                own.update((k, n) for start, n in begun.items() for level, k in starts[start] if n >= level)
-                found.append(sorted(own))
-                counts.append([own[k] for k in found[-1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
-                                             names=["doc_id", "terms", "counts"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, terms array<int>, counts array<int>")
-
-
-def _frequencies(vectors: DataFrame, vocabulary: int) -> DataFrame:
-    """term, n: the number of rows with each term, counted in one array per task; only its entries leave the task."""
+
+def _frequencies(docs: DataFrame, shared: Broadcast) -> tuple[int, np.ndarray]:
+    """The number of rows, and of rows with each term.
+
+    Every task counts in one array and sends it in slices of `SLICE` terms, which are added up slice by slice: what is
+    shuffled is a few bytes a term and task, whatever the number of documents.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary, np.int64)
+        judge, rows = shared.value, 0
+        total = np.zeros(len(judge.vocabulary), np.int64)
+        for batch in batches:
+            rows += batch.num_rows
+            total += np.bincount(judge.counter.counted(batch.column(0).to_pylist())[1], minlength=len(total))
+        parts = [np.array([rows])] + [total[at:at + SLICE] for at in range(0, len(total), SLICE)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.astype(np.int64).tobytes() for p in parts], pa.binary())], names=["slice", "counts"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
         for batch in batches:
-            total += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=vocabulary)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], names=["term", "n"])
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found[k] = found.get(k, 0) + np.frombuffer(counts, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int32()), pa.array([v.tobytes() for v in found.values()], pa.binary())], names=["slice", "counts"])
 
-    return vectors.select("terms").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    kind = "slice int, counts binary"
+    summed = docs.select("text").mapInArrow(count, kind).repartition("slice").mapInArrow(added, kind).orderBy("slice").collect()  # vocabulary / SLICE rows
+    parts = [np.frombuffer(r["counts"], np.int64) for r in summed]
+    return (int(parts[0][0]) if parts else 0), np.concatenate([np.zeros(0, np.int64), *parts[1:]])
 
 
 def scored(docs: DataFrame, labels: DataFrame, held_out: Column, examples: int = EXAMPLES, id_column: str = "doc_id", text_column: str = "text",
@@ -255,55 +355,64 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: Column, examples: int =
     sample = docs.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "text_hash"])
     sample = frozen(sample.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text", "toxic", "h"))
     rows = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    vocabulary = {t: k for k, t in enumerate(_vocabulary(sample, rows))}
-
-    vectors = frozen(_vectors(docs, vocabulary))
-    everything, frequency = vectors.count(), np.zeros(len(vocabulary))
-    for r in _frequencies(vectors, len(vocabulary)).collect():  # vocabulary rows
-        frequency[r["term"]] = r["n"]
-    judge = Judge(vocabulary, np.log((1 + everything) / (1 + frequency)) + 1)
-    own = _vectors(sample, vocabulary).join(F.broadcast(sample.select("doc_id", "toxic", "h").distinct()), "doc_id").collect()
-    _teach(judge, sorted(own, key=lambda r: (r["h"], r["doc_id"], r["terms"], r["counts"])), of_label)
-
+    judge = Judge(*_vocabulary(sample, rows))
+    context = docs.sparkSession.sparkContext
+    everything, frequency = _frequencies(docs, context.broadcast(judge))
+    if len(frequency):
+        judge.weights = judge.weights * (np.log((1 + everything) / (1 + frequency)) + 1)
+    _teach(judge, sample, of_label)
+    shared = context.broadcast(judge)
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge, examples = shared.value, pa.array([str(i) for i in shared.value.ids], pa.string())
         for batch in batches:
-            scores, evidence = [], []
-            for found, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                score, near = judge.judge(np.array(found, dtype=np.int64), np.array(counts, dtype=np.float64)) if found else (judge.without_terms, [])
-                scores.append(score)
-                evidence.append([{"example_id": str(judge.ids[k]), "toxic": judge.labels[k], "cosine": s} for s, k in near[:3]])
-            kind = pa.list_(pa.struct([("example_id", pa.string()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, kind)],
-                                             names=["doc_id", "score", "predicted", "evidence"])
-
-    # few bytes but much work in a row: as many tasks as a shuffle has, whatever the size of the files
-    spread = vectors.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("doc_id", "terms"))
-    return spread.mapInArrow(run, f"doc_id {kind.simpleString()}, score double, predicted int, evidence array<struct<example_id: string, toxic: int, cosine: double>>")
-
-
-def _teach(judge: Judge, examples: list, of_label: dict[int, int]) -> None:
-    """Builds the index from four fifths of the examples and fits the curve on the rest."""
-    if not examples:
+            scores, cosines, near = judge.judged(batch.column(1).to_pylist())
+            told = near[:, :EVIDENCE] >= 0
+            own = near[:, :EVIDENCE][told]
+            each = pa.StructArray.from_arrays([examples.take(pa.array(own)), pa.array(judge.labels[own], pa.int32()), pa.array(cosines[:, :EVIDENCE][told])], names=["example_id", "toxic", "cosine"])
+            evidence = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(told.sum(axis=1)))), pa.int32()), each)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), evidence], names=["doc_id", "score", "predicted", "evidence"])
+
+    return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, score double, predicted int, evidence array<struct<example_id: string, toxic: int, cosine: double>>")
+
+
+def _teach(judge: Judge, sample: DataFrame, of_label: dict[int, int]) -> None:
+    """Gives the judge its examples, all of them, and the curve fitted on a fifth of them asked against the others."""
+    lone = Judge(judge.vocabulary, judge.weights)
+    shared = sample.sparkSession.sparkContext.broadcast(lone)
+    kind = sample.schema["doc_id"].dataType.simpleString()
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, terms_of, counts = shared.value.counter.counted(batch.column(3).to_pylist())
+            units = shared.value.units(starts, terms_of, counts)
+            lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(v)) for v in (terms_of.astype(np.int32), units)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *lists], names=["doc_id", "toxic", "h", "terms", "units"])
+
+    # at most 2 * examples rows
+    found = sample.select("doc_id", "toxic", "h", "text").mapInArrow(vectors, f"doc_id {kind}, toxic int, h long, terms array<int>, units array<double>").toArrow()
+    if not found.num_rows:
         return
-    rows = Counter(r["toxic"] for r in examples)
-    scale = sum(of_label.values()) / len(examples)
-    judge.label_weights = tuple(of_label.get(y, 0) / max(rows[y], 1) / scale for y in (0, 1))
-    shares = [sum(judge.label_weights[y] for r in examples if not r["terms"] and r["toxic"] == y) for y in (0, 1)]
+    ids, toxic = found.column("doc_id").to_pylist(), found.column("toxic").to_numpy()
+    told, units = (found.column(c).combine_chunks() for c in ("terms", "units"))
+    rows = [(told[k].values.to_numpy(), units[k].values.to_numpy()) for k in range(len(ids))]
+    rank = sorted(range(len(ids)), key=dict(enumerate(zip(found.column("h").to_pylist(), ids, toxic.tolist()))).get)
+    n = np.bincount(toxic, minlength=2)
+    judge.label_weights = np.array([of_label.get(y, 0) / max(n[y], 1) for y in (0, 1)]) * len(ids) / sum(of_label.values())
+    shares = [sum(judge.label_weights[y] for k in rank if toxic[k] == y and not len(rows[k][0])) for y in (0, 1)]
     judge.base = (of_label.get(1, 0) + 1) / (sum(of_label.values()) + 2)
-    judge.without_terms = (shares[1] + judge.base) / (sum(shares) + 1)
-    told = [(r, judge.vector(np.array(r["terms"], dtype=np.int64), np.array(r["counts"], dtype=np.float64))) for r in examples if r["terms"]]
-    inside = [x for k, x in enumerate(told) if k % 5 or len(told) < 25]
-    inside.sort(key=lambda x: x[0]["doc_id"])
-    judge.ids, judge.labels = [r["doc_id"] for r, _ in inside], [r["toxic"] for r, _ in inside]
-    judge.index = BlockMaxIndex([v for _, v in inside], len(judge.vocabulary))
-    votes = []
-    for k, (r, v) in enumerate(told):
-        if k % 5 == 0 and len(told) >= 25:
-            near = judge.index.nearest(*v, judge.neighbours)
-            if near:
-                votes.append((judge.vote(near), r["toxic"], judge.label_weights[r["toxic"]]))
-    if votes:
-        x, y, w = map(np.array, zip(*votes))
-        judge.slope, judge.offset = fitted_curve(x.astype(float), y, w.astype(float))
+    judge.without_terms = float((shares[1] + judge.base) / (sum(shares) + 1))
+    rank = [k for k in rank if len(rows[k][0])]
+    asked = rank[::5] if len(rank) >= 25 else []
+    if asked:
+        inside = sorted(set(rank) - set(asked), key=lambda k: ids[k])
+        trial = BlockMaxIndex([rows[k] for k in inside], len(judge.vocabulary))
+        starts = np.concatenate(([0], np.cumsum([len(rows[k][0]) for k in asked])))
+        cosines, near = trial.nearest_of(starts, *(np.concatenate([rows[k][c] for k in asked]) for c in (0, 1)), judge.neighbours)
+        met = near[:, 0] >= 0
+        if met.any():
+            y = toxic[asked][met]
+            judge.slope, judge.offset = fitted_curve(judge.votes(cosines, near, toxic[inside])[met], y, judge.label_weights[y])
+    inside = sorted(rank, key=lambda k: (ids[k], k))
+    judge.examples, judge.ids, judge.labels = [rows[k] for k in inside], [ids[k] for k in inside], toxic[inside].astype(np.int64)

@@ -139,3 +139,84 @@ def test_examples_that_share_a_passage_are_no_copies(spark):
     known = spark.createDataFrame([(i, int(i % 100 % 2 == 0)) for i, _ in rows], "doc_id long, toxic int").withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
     kept = toxicity._unlike(docs, known).collect()
     assert sorted(r["doc_id"] % 100 for r in kept) == list(range(60))
+
+
+def test_terms_counted_for_many_texts_are_those_of_each():
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 80))) for _ in range(60)] + [None, "", "12 !", "ABCDE abcdef Abcdx äöüßé " * 3]
+    vocabulary = sorted({t for text in texts[::2] for t in toxicity.terms(text)})
+    counter = toxicity.TermCounter(vocabulary)
+    for part in (texts, texts[::-1], []):
+        starts, found, counts = counter.counted(part)
+        got = [dict(zip((vocabulary[t] for t in found[a:b]), counts[a:b].tolist())) for a, b in zip(starts, starts[1:])]
+        assert got == [{t: n for t, n in toxicity.terms(text).items() if t in counter.places} for text in part]
+
+
+def test_word_cache_may_overflow(monkeypatch):
+    monkeypatch.setattr(toxicity, "KNOWN_WORDS", 8)
+    texts = [f"word{chr(97 + i)} wordy other{chr(97 + i)}" for i in range(20)]
+    vocabulary = sorted({t for text in texts for t in toxicity.terms(text)})
+    starts, found, counts = toxicity.TermCounter(vocabulary).counted(texts)
+    got = [dict(zip((vocabulary[t] for t in found[a:b]), counts[a:b].tolist())) for a, b in zip(starts, starts[1:])]
+    assert got == [toxicity.terms(text) for text in texts]
+
+
+def _made_for_toxicity():
+    rng = random.Random(31)
+    plain = [f"plain{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)]
+    rows = [(i, " ".join(rng.choices(plain, k=25) + (["horrid", "awful"] if i % 4 == 0 else []))) for i in range(160)]
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 160, 7)] + [(2000, None), (2001, ""), (2002, "unmet words only")]
+    return rows, [(i, int(i % 4 == 0)) for i in range(160)]
+
+
+def test_whole_toxicity_query_against_brute_force(spark):
+    rows, labelled = _made_for_toxicity()
+    docs, labels = documents(spark, rows), spark.createDataFrame(labelled, "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.scored(docs, labels, bucket_of("doc_id", 5) == 0).collect()}
+    text, y = dict(rows), dict(labelled)
+    known = [i for i in y if zlib.crc32(str(i).encode()) % 5]
+    rank = [r["i"] for r in spark.createDataFrame([(i,) for i in known], "i long").orderBy(F.xxhash64(F.col("i").cast("string")), "i").collect()]
+    counts = {i: toxicity.terms(t) for i, t in text.items()}
+    n = {v: sum(y[i] == v for i in known) for v in (0, 1)}
+    weight = {}
+    for t in {t for i in known for t in counts[i]}:
+        a, b = (sum(t in counts[i] for i in known if y[i] == v) for v in (1, 0))
+        c, d = n[1] - a, n[0] - b
+        chi2 = (a * d - b * c) ** 2 * len(known) / (max(a + b, 1) * max(c + d, 1) * n[0] * n[1])
+        idf = np.log((1 + len(rows)) / (1 + sum(t in c for c in counts.values()))) + 1
+        weight[t] = idf * (1 if a + b >= toxicity.MIN_ROWS and chi2 >= toxicity.MIN_CHI2 else toxicity.OTHERS)
+    assert {w for w in weight.values() if w >= 0.1} and {w for w in weight.values() if w < 0.1}
+
+    def unit(i):
+        x = {t: (1 + np.log(k)) * weight[t] for t, k in counts[i].items() if t in weight}
+        length = sum(v * v for v in x.values()) ** 0.5
+        return {t: v / length for t, v in x.items()}
+
+    units = {i: unit(i) for i in text}
+    base = (n[1] + 1) / (len(known) + 2)
+
+    def near(i, among):
+        cosines = [(round(sum(v * units[j].get(t, 0.0) for t, v in units[i].items()), 12), j) for j in among]
+        return sorted(((s, j) for s, j in cosines if s > 0), key=lambda x: (-x[0], x[1]))[:toxicity.NEIGHBOURS]
+
+    def vote(found):
+        return (sum(s for s, j in found if y[j]) + toxicity.PRIOR_VOTES * base) / (sum(s for s, _ in found) + toxicity.PRIOR_VOTES)
+
+    asked, inside = rank[::5], [i for k, i in enumerate(rank) if k % 5]
+    slope, offset = toxicity.fitted_curve(np.array([vote(near(i, inside)) for i in asked]), np.array([y[i] for i in asked]), np.ones(len(asked)))
+    for i, r in got.items():
+        found = near(i, known)
+        expected = 1 / (1 + np.exp(-(slope * vote(found) + offset))) if found else base
+        assert abs(r["score"] - expected) < 1e-6 and r["predicted"] == int(r["score"] >= 0.5)
+        assert [round(e["cosine"], 9) for e in r["evidence"]] == [round(s, 9) for s, _ in found[:toxicity.EVIDENCE]]
+
+
+def test_a_copy_of_any_example_finds_it(spark):
+    rows, labelled = _made_for_toxicity()
+    rows += [(3000 + i, text) for i, text in rows[:160]]
+    docs, labels = documents(spark, rows), spark.createDataFrame(labelled, "doc_id long, toxic int")
+    got = {r["doc_id"]: r["evidence"] for r in toxicity.scored(docs, labels, bucket_of("doc_id", 5) == 0).collect()}
+    for i, _ in labelled:
+        if zlib.crc32(str(i).encode()) % 5:
+            assert got[3000 + i][0]["example_id"] == str(i) and abs(got[3000 + i][0]["cosine"] - 1) < 1e-9
