@@ -51,6 +51,7 @@ LEVELS = (2, 3)
 BLOCK = 256
 SLICE = 16_384
 ENTRIES, POSTINGS = 1 << 15, 1 << 20
+CHARACTERS = 1 << 17
 KNOWN_WORDS = 1 << 18
 COSINE_STEPS = 1e12
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -108,6 +109,21 @@ class TermCounter:
 
     def counted(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each text's entries begin (and the last end), and the entries: terms in ascending order, occurrences."""
+        parts, at = [], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end] or "") <= CHARACTERS):
+                size += len(texts[end] or "")
+                end += 1
+            parts.append(self._counted(texts[at:end]))
+            at = end
+        if len(parts) == 1:
+            return parts[0]
+        begins = np.cumsum([0] + [len(t) for _, t, _ in parts])
+        starts = [s[:-1] + b for (s, _, _), b in zip(parts, begins)] + [begins[-1:]]
+        return np.concatenate(starts), *(np.concatenate([np.zeros(0, np.int64), *(p[c] for p in parts)]) for c in (1, 2))
+
+    def _counted(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size, words, lengths = max(len(self.places), 1), [], []
         for text in texts:
             own = _LETTERS.findall((text or "").lower())
@@ -238,7 +254,9 @@ class Judge:
 
     @cached_property
     def index(self) -> BlockMaxIndex:
-        return BlockMaxIndex(self.examples, len(self.vocabulary))
+        built = BlockMaxIndex(self.examples, len(self.vocabulary))
+        self.examples = []  # they are in the index now
+        return built
 
     @cached_property
     def counter(self) -> TermCounter:
