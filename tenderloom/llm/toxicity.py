@@ -50,7 +50,8 @@ STARTS = (4, 5)
 LEVELS = (2, 3)
 BLOCK = 256
 SLICE = 16_384
-ENTRIES, POSTINGS = 1 << 15, 1 << 20
+FREQUENT = 16
+ROWS, ENTRIES, POSTINGS = 512, 1 << 18, 1 << 20
 CHARACTERS = 1 << 17
 KNOWN_WORDS = 1 << 18
 COSINE_STEPS = 1e12
@@ -153,7 +154,8 @@ def _ranges(low: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Postings of unit vectors in blocks, with the largest weight of every term in every block.
 
-    The postings of a block lie in one run, sorted by term: `starts` has where those of a term begin.
+    The postings of a block lie in one run, sorted by term: `starts` has where those of a term begin. Terms in at least one of
+    `FREQUENT` rows are rows of a matrix instead, which takes at most `FREQUENT` times the room of their postings.
     """
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], vocabulary: int, block: int = BLOCK):
@@ -163,6 +165,10 @@ class BlockMaxIndex:
         leading = [int(t[np.argmax(x * frequency[t])]) if len(t) else -1 for t, x in rows]
         self.order = np.array(sorted(range(len(rows)), key=lambda k: (leading[k], k)), dtype=np.int64)
         blocks = -(-len(rows) // block)
+        frequent = np.flatnonzero((frequency > 1) & (frequency * FREQUENT >= len(rows)))
+        self.column = np.full(vocabulary, -1, np.int32)
+        self.column[frequent] = np.arange(len(frequent))
+        self.frequent = len(frequent)
         self.maxima = np.zeros((vocabulary, blocks), np.float32)
         self.blocks = []
         for b in range(blocks):
@@ -170,18 +176,27 @@ class BlockMaxIndex:
             term = np.concatenate([rows[k][0] for k in own]).astype(np.int64)
             weight = np.concatenate([rows[k][1] for k in own])
             place = np.repeat(np.arange(len(own)), [len(rows[k][0]) for k in own])
-            by_term = np.argsort(term, kind="stable")
             # rounded up, as the maxima are bounds
             np.maximum.at(self.maxima[:, b], term, np.nextafter(weight.astype(np.float32), np.float32(2)))
-            self.blocks.append((np.searchsorted(term[by_term], np.arange(vocabulary + 1)).astype(np.int32), place[by_term].astype(np.int32), weight[by_term]))
-
-    def _opened(self, b: int, row: np.ndarray, terms: np.ndarray, weights: np.ndarray, rows: int) -> np.ndarray:
-        """A sortable number for every query row and example of a block: cosine first, then the smaller example; -1 below any cosine."""
-        starts, places, values = self.blocks[b]
+            column = self.column[term]
+            matrix = np.zeros((len(frequent), block))
+            matrix[column[column >= 0], place[column >= 0]] = weight[column >= 0]
+            rest = np.flatnonzero(column < 0)
+            rest = rest[np.argsort(term[rest], kind="stable")]
+            starts = np.searchsorted(term[rest], np.arange(vocabulary + 1)).astype(np.int32)
+            self.blocks.append((starts, place[rest].astype(np.int32), weight[rest], matrix))
+
+    def _opened(self, b: int, row: np.ndarray, terms: np.ndarray, weights: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+        """A sortable number for every query row and example of a block: cosine first, then the smaller example; -1 below any cosine.
+
+        `frequent` has a row per query with its weights of the frequent terms, the entries are those of all other terms.
+        """
+        starts, places, values, matrix = self.blocks[b]
+        rows = len(frequent)
         low, sizes = starts[terms].astype(np.int64), (starts[terms + 1] - starts[terms]).astype(np.int64)
         met = np.flatnonzero(sizes)
         row, low, sizes, weights = row[met], low[met], sizes[met], weights[met]
-        total, ends = np.zeros(rows * self.block), np.cumsum(sizes)
+        total, ends = (frequent @ matrix).ravel(), np.cumsum(sizes)
         at = 0
         while at < len(sizes):
             end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + POSTINGS)))
@@ -194,24 +209,35 @@ class BlockMaxIndex:
         return np.where(steps > 0, steps * self.size + (self.size - 1 - own), -1)
 
     def _group(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+        """Every row first opens its most promising block, then, block by block, all rows whose k-th best a block may still beat.
+
+        So a block is opened for many rows at once.
+        """
         rows, sizes = len(starts) - 1, np.diff(starts)
         bounds, filled = np.zeros((rows, len(self.blocks))), sizes > 0
-        if filled.any():
-            bounds[filled] = np.add.reduceat(weights[:, None] * self.maxima[terms], starts[:-1][filled], axis=0)
-        order = np.argsort(-bounds, axis=1, kind="stable")
-        best, active = np.full((rows, k), -1, np.int64), np.arange(rows)
-        for turn in range(len(self.blocks)):
-            block, least = order[active, turn], best[active].min(axis=1)
-            bound = bounds[active, block]
-            # the small allowance keeps rounding from closing a block that holds a tie
-            more = (bound > 0) & ((least < 0) | (bound >= least // self.size / COSINE_STEPS - 1e-9))
-            active, block = active[more], block[more]
-            if not len(active):
-                break
-            for b in np.unique(block).tolist():
-                own = active[block == b]
-                entries = _ranges(starts[own], sizes[own])
-                found = self._opened(b, np.repeat(np.arange(len(own)), sizes[own]), terms[entries], weights[entries], len(own))
+        for b in range(len(self.blocks)):
+            if filled.any():
+                bounds[filled, b] = np.add.reduceat(weights * self.maxima[terms, b], starts[:-1][filled])
+        row, column = np.repeat(np.arange(rows), sizes), self.column[terms]
+        frequent = np.zeros((rows, self.frequent))
+        frequent[row[column >= 0], column[column >= 0]] = weights[column >= 0]
+        row, terms, weights = row[column < 0], terms[column < 0], weights[column < 0]
+        sizes = np.bincount(row, minlength=rows)
+        low = np.cumsum(sizes) - sizes
+        best, leading = np.full((rows, k), -1, np.int64), bounds.argmax(axis=1)
+        for turn in (0, 1):
+            for b in np.argsort(-bounds.max(axis=0), kind="stable").tolist():
+                if turn == 0:
+                    more = leading == b
+                else:
+                    least = best.min(axis=1)
+                    # the small allowance keeps rounding from closing a block that holds a tie
+                    more = (leading != b) & ((least < 0) | (bounds[:, b] >= least // self.size / COSINE_STEPS - 1e-9))
+                own = np.flatnonzero(more & (bounds[:, b] > 0))
+                if not len(own):
+                    continue
+                entries = _ranges(low[own], sizes[own])
+                found = self._opened(b, np.repeat(np.arange(len(own)), sizes[own]), terms[entries], weights[entries], frequent[own])
                 best[own] = np.partition(np.concatenate((best[own], found), axis=1), -k, axis=1)[:, -k:]
         return -np.sort(-best, axis=1)
 
@@ -219,7 +245,7 @@ class BlockMaxIndex:
         """For every query row the k largest cosines above zero and their row numbers, ties by row number; 0 and -1 behind the last."""
         found, at = [np.full((0, k), -1, np.int64)], 0
         while at < len(starts) - 1:
-            end = max(at + 1, int(np.searchsorted(starts, starts[at] + ENTRIES, side="right")) - 1)
+            end = min(at + ROWS, max(at + 1, int(np.searchsorted(starts, starts[at] + ENTRIES, side="right")) - 1))
             low, high = starts[at], starts[end]
             found.append(self._group(starts[at:end + 1] - low, terms[low:high], weights[low:high], k) if self.size else np.full((end - at, k), -1, np.int64))
             at = end
@@ -413,9 +439,11 @@ def _teach(judge: Judge, sample: DataFrame, of_label: dict[int, int]) -> None:
     if not found.num_rows:
         return
     ids, toxic = found.column("doc_id").to_pylist(), found.column("toxic").to_numpy()
+    hashes = found.column("h").to_pylist()
     told, units = (found.column(c).combine_chunks() for c in ("terms", "units"))
+    del found
     rows = [(told[k].values.to_numpy(), units[k].values.to_numpy()) for k in range(len(ids))]
-    rank = sorted(range(len(ids)), key=dict(enumerate(zip(found.column("h").to_pylist(), ids, toxic.tolist()))).get)
+    rank = sorted(range(len(ids)), key=dict(enumerate(zip(hashes, ids, toxic.tolist()))).get)
     n = np.bincount(toxic, minlength=2)
     judge.label_weights = np.array([of_label.get(y, 0) / max(n[y], 1) for y in (0, 1)]) * len(ids) / sum(of_label.values())
     shares = [sum(judge.label_weights[y] for k in rank if toxic[k] == y and not len(rows[k][0])) for y in (0, 1)]
