@@ -190,10 +190,11 @@ def not_found(asked: DataFrame) -> DataFrame:
 def first_answers(asked: DataFrame, stages: Sequence[Stage], costly: Sequence[Stage] = ()) -> DataFrame:
     """The answer of the first stage that has one, for every question.
 
-    Cheap stages all see all questions, and one rank per question picks the first answer: one pass, nothing is written.
-    A costly stage, one that calls a model, sees only what the stages before it left open; their answers are written first.
+    The questions are written once, so that their rules are not evaluated again in every stage. Cheap stages all see all
+    questions, and one rank per question picks the first answer. A costly stage, one that calls a model, sees only what
+    the stages before it left open; their answers are written first.
     """
-    still_open, answered, tried = asked, None, None
+    still_open, answered, tried = frozen(asked), None, None
 
     def first_of(found: DataFrame) -> DataFrame:
         return top_per_group(found, ["query_id"], [F.asc("__stage"), F.asc("answer")], 1, "__place").select(*ANSWER)
