@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from tenderloom import fixed_values as fixed
 from tenderloom.functions import answer_format, answers, questions
 from tenderloom.functions.text import nfkc
 from tenderloom.operators import conversation
+from tenderloom.session import shared_folder
 from tenderloom.sources.tables import table
+from tenderloom.streaming.conversations import followed
 from tenderloom.workload.derived import notices, questions as question_rows, with_sql
 
 
@@ -62,6 +66,25 @@ FOLLOW_UP_SQL = with_sql(["questions"], f"""
            CASE WHEN org_name <> '' THEN org_name WHEN is_follow_up THEN last_org ELSE '' END AS target_org FROM f""")
 
 
+def streamed_history(spark, sf):
+    """All conversations as a stream through the state store: what was known before every exchange."""
+    folder = f"{shared_folder(spark)}/tenderloom/{uuid.uuid4().hex}"
+    source = _exchanges(spark, sf)
+    source.write.parquet(f"{folder}/in")
+    stream = followed(spark.readStream.schema(source.schema).parquet(f"{folder}/in"))
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+    query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("conv_id", "turn", "n_history", F.md5("summary").alias("summary_md5"), "has_previous", "is_follow_up")
+
+
+STREAMED_SQL = f"""{_EXCHANGES}, h AS (SELECT conv_id, turn, query,
+        list(struct_pack(q := query, a := answer)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS h FROM x),
+    k AS (SELECT conv_id, turn, query, coalesce(h, []) AS h FROM h)
+    SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, len(h)::INTEGER AS n_history,
+           md5(array_to_string(list_transform(h[-3:], lambda e: 'Q: ' || e.q || chr(10) || 'A: ' || substring(e.a, 1, 100) || '...'), chr(10))) AS summary_md5,
+           len(h) > 0 AS has_previous, len(h) > 0 AND ({_FOLLOWS}) AS is_follow_up FROM k"""
+
+
 def distinct_questions(spark, sf):
     return conversation.distinct_questions(question_rows(spark, sf).withColumnRenamed("question", "query"))
 
@@ -200,6 +223,7 @@ UNTAGGED_SQL = """SELECT conv_id, turn, md5(CASE WHEN turn % 3 = 2 THEN text ELS
 QUERIES = {
     "history_last5": (history_last5, HISTORY_SQL),
     "follow_up": (follow_up, FOLLOW_UP_SQL),
+    "streamed_history": (streamed_history, STREAMED_SQL),
     "distinct_questions": (distinct_questions, DISTINCT_SQL),
     "slot_fill": (slot_fill, SLOT_SQL),
     "prefer_draft": (prefer_draft, PREFER_SQL),
