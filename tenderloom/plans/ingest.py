@@ -62,19 +62,37 @@ def update_index(stored: DataFrame, fresh: DataFrame, folder: str) -> int:
     return merged.count()
 
 
-def run_rows(parsed: DataFrame, index: Index) -> DataFrame:
-    """One summary row per document; a document without chunks has failed."""
-    chunks = index.chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
+def run_rows(parsed: DataFrame, index: Index, failures: DataFrame | None = None) -> DataFrame:
+    """One summary row per document; a document without chunks has failed.
+
+    Every count is of its own table: chunks with terms (sparse), chunks with a vector (dense, none without that column) and
+    sections. `parsed` may carry duration_sec, the time its parser took; it is null where nothing was measured.
+    `failures` (source, error, seconds) are files that could not be parsed.
+    """
+    vectors = F.count_if(F.col("vector").isNotNull()) if "vector" in index.chunks.columns else F.lit(0).cast("long")
+    chunks = index.chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_count"), vectors.alias("dense_count"))
+    # a key is doc_id/uid with one row per term
+    weighted = index.sparse.select(F.regexp_replace("key", "/[^/]*$", "").alias("__doc"), "key").distinct()
+    weighted = weighted.groupBy("__doc").agg(F.count("*").alias("sparse_count"))
     sections = index.hierarchy.groupBy("doc_id").agg(F.count("*").alias("hierarchy_count"))
-    rows = parsed.select("doc_id", F.col("source").alias("file")).join(chunks, "doc_id", "left").join(sections, "doc_id", "left")
-    count = F.coalesce("chunk_count", F.lit(0))
-    failed = count == 0
-    return rows.select(
+    taken = F.col("duration_sec") if "duration_sec" in parsed.columns else F.lit(None).cast("double")
+    rows = parsed.select("doc_id", F.col("doc_id").cast("string").alias("__doc"), F.col("source").alias("file"), taken.alias("duration_sec"))
+    rows = rows.join(chunks, "doc_id", "left").join(sections, "doc_id", "left").join(weighted, "__doc", "left")
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("chunk_count", "sparse_count", "dense_count", "hierarchy_count")}
+    failed = counts["chunk_count"] == 0
+    found = rows.select(
         "file",
         F.when(failed, "failed").otherwise("ok").alias("status"),
-        F.lit(0.0).alias("duration_sec"),
-        count.alias("chunk_count"), count.alias("sparse_count"), count.alias("dense_count"),
-        F.coalesce("hierarchy_count", F.lit(0)).alias("hierarchy_count"),
+        "duration_sec",
+        *[count.alias(name) for name, count in counts.items()],
         (~failed).alias("reindexed"),
         F.when(failed, "zero chunks produced").alias("error"),
     )
+    if failures is None:
+        return found
+    none = [F.lit(0).cast("long").alias(name) for name in counts]
+    lost = failures.where("error is not null").select(
+        F.col("source").alias("file"), F.lit("failed").alias("status"), F.col("seconds").alias("duration_sec"), *none,
+        F.lit(False).alias("reindexed"), "error",
+    )
+    return found.unionByName(lost)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import subprocess
 import tempfile
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -15,7 +16,7 @@ from tenderloom.functions import names
 from tenderloom.functions.text import nfkc
 from tenderloom.sources.notices_csv import exists
 
-PAGE_SCHEMA = "source string, file_type string, page int, text string, error string"
+PAGE_SCHEMA = "source string, file_type string, page int, text string, error string, seconds double"
 Parser = Callable[[str, bytes], Iterable[tuple[int, str]]]
 
 
@@ -39,7 +40,8 @@ def first_existing(spark: SparkSession, *globs: str) -> str | None:
 def parse_files(spark: SparkSession, folder: str, parser: Parser, pattern: str = "*.pdf") -> DataFrame:
     """One row per page of every file. A file that fails is one row with its error; the others go on.
 
-    `parser(name, content)` yields (page, text) and runs in the tasks; a task holds one file at a time.
+    `parser(name, content)` yields (page, text) and runs in the tasks; a task holds one file at a time. `seconds` is the time
+    the parser took for the whole file.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
 
@@ -47,12 +49,12 @@ def parse_files(spark: SparkSession, folder: str, parser: Parser, pattern: str =
         columns = ["source", "file_type", "page", "text", "error"]
         for batch in batches:
             for name, content in zip(batch["file_name"], batch["content"]):
-                kind = name.rsplit(".", 1)[-1].lower()
+                kind, started = name.rsplit(".", 1)[-1].lower(), time.perf_counter()
                 try:
                     rows = [(name, kind, page, text, None) for page, text in parser(name, content)]
                 except Exception as problem:
                     rows = [(name, kind, None, None, f"{type(problem).__name__}: {problem}")]
-                yield pd.DataFrame(rows, columns=columns)
+                yield pd.DataFrame(rows, columns=columns).assign(seconds=time.perf_counter() - started)
 
     named = files.select(nfkc(names.base_name(F.col("path"))).alias("file_name"), "content")
     return named.mapInPandas(parse, PAGE_SCHEMA)
@@ -85,10 +87,10 @@ def page_markdown(pages: DataFrame, doc_key: str = "source") -> DataFrame:
     body = F.array_join(
         F.transform(ordered, lambda p: F.concat(F.lit("<<PAGE: "), p["page"].cast("string"), F.lit(">>\n\n"), p["text"], F.lit("\n"))), "\n"
     )
-    made = pages.filter("text is not null").groupBy(doc_key).agg(body.alias("body"), F.count("*").alias("total_pages"))
+    made = pages.filter("text is not null").groupBy(doc_key).agg(body.alias("body"), F.count("*").alias("total_pages"), F.max("seconds").alias("duration_sec"))
     title = names.path_stem(F.col(doc_key))
     text = F.concat(
         F.lit("---\ndocument_title: "), title, F.lit("\nsource_file: "), F.col(doc_key), F.lit("\ntotal_pages: "),
         F.col("total_pages").cast("string"), F.lit("\n---\n\n"), "body",
     )
-    return made.select(F.col(doc_key).alias("source"), "total_pages", text.alias("text")).withColumn("doc_id", names.content_id(F.col("text")))
+    return made.select(F.col(doc_key).alias("source"), "total_pages", "duration_sec", text.alias("text")).withColumn("doc_id", names.content_id(F.col("text")))
