@@ -7,6 +7,7 @@ documents. Each is written as Parquet and read again before the next one.
 from __future__ import annotations
 
 import os
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +27,12 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: of every group of texts alike in 0.8 of their five-word shingles the document with the smallest id stays."""
-    return simhash.one_of_each(docs, groups_of=near_copies.near_groups)
+    """Operator 7: of every group of near copies the document with the smallest id stays.
+
+    Its fingerprints and blocks propose pairs, and bands of minima those its 64 bits are too few for; pairs alike in 0.8
+    of their five-word shingles are links.
+    """
+    return simhash.one_of_each(docs, groups_of=partial(near_copies.near_groups, fingerprints=True))
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,9 @@ whose other members are still in several groups are compared pair by pair across
 `BLOCK_ROWS` members is dealt out as pairs of blocks. No bucket is capped or skipped. Shingles and sets are told apart
 by 64-bit hashes.
 
+With `fingerprints` (the pipeline's stage) operator 7 proposes as well: every row gets its 64-bit fingerprint in the same
+pass, and what its blocks and its three bits link is a candidate like what shares a band. The sets decide on both.
+
 Ids may be null or repeated; a group is named by its smallest id, as in `simhash`. Extra columns are ignored.
 """
 
@@ -29,7 +32,8 @@ from pyspark.sql import functions as F
 
 from tenderloom.llm.common import bounded_batches, parted
 from tenderloom.llm.components import Forest, components
-from tenderloom.llm.simhash import _LOWER, SEED
+from tenderloom.llm.simhash import _LOWER, SEED, fingerprint
+from tenderloom.llm.simhash import links as print_links
 from tenderloom.session import frozen
 
 SHINGLE_WORDS = 5
@@ -82,18 +86,30 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     return both / (len(a) + len(b) - both) >= similarity
 
 
-def _sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """doc_id, text_hash, set_id, bands of every row."""
+def _sketches(docs: DataFrame, shingle_words: int, fingerprints: bool) -> DataFrame:
+    """doc_id, text_hash, set_id, bands of every row, and fp (operator 7's fingerprint) if asked for, else null."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, shingle_words) for t in batch.column(2).to_pylist()]
+            texts = batch.column(2).to_pylist()
+            sets = [shingle_set(t, shingle_words) for t in texts]
+            fps = pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)) if fingerprints else pa.nulls(len(texts), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([set_number(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "text_hash", "set_id", "bands"])
+                [batch.column(0), batch.column(1), pa.array([set_number(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), fps],
+                names=["doc_id", "text_hash", "set_id", "bands", "fp"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, set_id long, bands array<long>, fp long")
+
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, set_id long, bands array<long>")
+def _pairs_by_print(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that operator 7 links: of one fingerprint, or of two within three bits."""
+    placed = frozen(prints.select("set_id", "fp").distinct())
+    first = frozen(placed.groupBy("fp").agg(F.min("set_id").alias("a")))
+    same = placed.join(first, "fp").select("a", F.col("set_id").alias("b"))
+    close = print_links(first.select("fp")).toDF("fp", "other").join(first, "fp")
+    close = close.join(first.select(F.col("fp").alias("other"), F.col("a").alias("b")), "other")
+    return same.unionByName(close.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame:
@@ -168,14 +184,15 @@ def _across(members: DataFrame, sets: DataFrame, similarity: float, block_rows:
 
 
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = SHINGLE_WORDS,
-                similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id reachable)."""
+                similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS, fingerprints: bool = False) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id reachable); with `fingerprints` operator 7 proposes pairs as well."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    prints = frozen(_sketches(texts, shingle_words))
+    prints = frozen(_sketches(texts, shingle_words, fingerprints))
     different = frozen(prints.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.min("text_hash").alias("text_hash"), F.any_value("bands").alias("bands")))
     others = frozen(_with_first(different.select("set_id", F.explode("bands").alias("key"))))
-    pairs = frozen(others.select(F.col("first").alias("a"), F.col("other").alias("b")).distinct())
+    pairs = others.select(F.col("first").alias("a"), F.col("other").alias("b"))
+    pairs = frozen((pairs.unionByName(_pairs_by_print(prints)) if fingerprints else pairs).distinct())
     wanted = frozen(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
     sets = frozen(_sets(texts, different.join(wanted, "set_id", "left_semi"), shingle_words))
     links = frozen(_checked(pairs, sets, similarity))

@@ -1,15 +1,19 @@
 import hashlib
+import itertools
+import random
 import re
 from collections import Counter
 
 import pytest
 
 import corpus_pipeline
+from tenderloom.llm import near_copies
 from tenderloom.llm.queries import QUERIES
 from tenderloom.session import frozen
 from tests.conftest import FOLDER
-from tests.llm.helpers import AWKWARD, documents
+from tests.llm.helpers import AWKWARD, documents, words
 from tests.llm.test_near_copies import brute_groups
+from tests.llm.test_simhash import brute_print
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +72,15 @@ def test_stages_take_awkward_and_empty_tables(spark):
 
 def test_every_operator_has_one_query():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
+
+
+def test_near_dedup_takes_pairs_from_operator_7(spark):
+    rng = random.Random(5)
+    texts = [words(rng, 250) for _ in range(6)]
+    made = [(k, t) for k, t in enumerate(texts)] + [(10 + k, f"{t} end") for k, t in enumerate(texts)] + [(20, texts[0].upper()), (21, None)]
+    prints = near_copies._sketches(documents(spark, made), near_copies.SHINGLE_WORDS, True)
+    sets = {r["doc_id"]: (r["set_id"], r["fp"] % 2 ** 64) for r in prints.collect()}
+    assert {k: fp for k, (_, fp) in sets.items()} == {k: brute_print(t) for k, t in made}
+    close = {tuple(sorted((a, b))) for (a, x), (b, y) in itertools.combinations(sets.values(), 2) if a != b and (x ^ y).bit_count() <= 3}
+    assert close and {tuple(r) for r in near_copies._pairs_by_print(prints).collect()} == close
+    assert sorted(r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, documents(spark, made), FOLDER).collect()) == [*range(6), 21]
