@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tenderloom.session import setting
+
+
+CHARS_PER_TASK = 16 << 20
+
+
+def by_document(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents partitioned by `doc_id`, in so many parts that a task's share does not grow with the table."""
+    spark = docs.sparkSession
+    chars = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
+    parts = -(-chars // setting(spark, "chars.per.task", CHARS_PER_TASK))
+    return docs.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")
+
 
 def explode_lines(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per line; documents are partitioned by `doc_id` before, so that windows over it need no other shuffle."""
-    placed = docs.select(*keys, text).repartition("doc_id")
+    placed = by_document(docs.select(*keys, text), text)
     return placed.select(*keys, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
 
 

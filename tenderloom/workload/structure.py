@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tenderloom.functions import markdown as md
 from tenderloom.operators import audit, chunking, hierarchy, pdf_text, sparse, tables
-from tenderloom.operators.lines import explode_lines
+from tenderloom.operators.lines import by_document, explode_lines
 from tenderloom.operators.ordered import row_numbers
 from tenderloom.sources.tables import table
 from tenderloom.workload.derived import markdown_documents, with_sql
@@ -363,7 +363,7 @@ CHUNK_STATS_SQL = """SELECT count(*) AS total, sum(length(text)) AS total_size,
 
 # ---------------------------------------------------------------- sparse weights and PDF spans
 def bm25_weights(spark, sf):
-    rows = sparse.sparse_weights(_docs(spark, sf).repartition("doc_id"), "doc_id", "text")
+    rows = sparse.sparse_weights(by_document(_docs(spark, sf)), "doc_id", "text")
     return rows.select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
 
 
