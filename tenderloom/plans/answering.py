@@ -7,6 +7,8 @@ public, so names and texts of the short answers are ours.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,15 +26,29 @@ Stage = Callable[[DataFrame], DataFrame]
 ANSWER = ["query_id", "answer", "source_type", "answer_mode"]
 
 
+def _once_each(rows: DataFrame, keys: Sequence[str], derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows with what `derive` makes of their keys, which it sees once per different combination; nulls are values too.
+
+    `derive` keeps the keys, one row each, and names its columns unlike those of the rows.
+    """
+    made = derive(frozen(rows.select(*keys).distinct())).withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
+    return rows.join(made, same).drop(*[f"__key_{k}" for k in keys])
+
+
 def understood(asked: DataFrame) -> DataFrame:
-    """Questions (query_id, question) with their normal form, intent and plan as columns."""
-    rows = asked.withColumn("q", F.lower(nfkc(F.col("question"))))
-    rows = rows.withColumn("intent", questions.intent(F.col("question")))
-    return rows.withColumn("plan", questions.plan(F.col("question"), F.col("intent.org_name"))).select(
-        "query_id", "question", "q", F.col("intent.query_type").alias("query_type"), F.col("intent.org_name").alias("org"),
-        F.col("intent.rank_order").alias("rank_order"), F.get("intent.categories", F.lit(0)).alias("category"), "intent.confidence",
-        "plan.query_kind", "plan.required_slots", "plan.is_comparison",
-    )
+    """Questions (query_id, question) with their normal form, intent and plan as columns. Equal questions are read once."""
+
+    def rules(texts: DataFrame) -> DataFrame:
+        rows = texts.withColumn("q", F.lower(nfkc(F.col("question"))))
+        rows = rows.withColumn("intent", questions.intent(F.col("question")))
+        return rows.withColumn("plan", questions.plan(F.col("question"), F.col("intent.org_name"))).select(
+            "question", "q", F.col("intent.query_type").alias("query_type"), F.col("intent.org_name").alias("org"),
+            F.col("intent.rank_order").alias("rank_order"), F.get("intent.categories", F.lit(0)).alias("category"), "intent.confidence",
+            "plan.query_kind", "plan.required_slots", "plan.is_comparison",
+        )
+
+    return _once_each(asked.select("query_id", "question"), ["question"], rules)
 
 
 def _answer(df: DataFrame, text: Column, source: str, mode: str) -> DataFrame:
@@ -187,14 +203,14 @@ def not_found(asked: DataFrame) -> DataFrame:
     return _answer(asked, F.when(F.col("org") != "", named).otherwise(F.lit("관련 정보를 찾을 수 없습니다.")), "none", "fixed")
 
 
-def first_answers(asked: DataFrame, stages: Sequence[Stage], costly: Sequence[Stage] = ()) -> DataFrame:
+def first_answers(asked: DataFrame, stages: Sequence[Stage], costly: Sequence[Stage] = (), stored: bool = False) -> DataFrame:
     """The answer of the first stage that has one, for every question.
 
-    The questions are written once, so that their rules are not evaluated again in every stage. Cheap stages all see all
+    The questions are written once, unless they are `stored`, so that their rules are not evaluated again in every stage. Cheap stages all see all
     questions, and one rank per question picks the first answer. A costly stage, one that calls a model, sees only what
     the stages before it left open; their answers are written first.
     """
-    still_open, answered, tried = frozen(asked), None, None
+    still_open, answered, tried = asked if stored else frozen(asked), None, None
 
     def first_of(found: DataFrame) -> DataFrame:
         return top_per_group(found, ["query_id"], [F.asc("__stage"), F.asc("answer")], 1, "__place").select(*ANSWER)
@@ -229,17 +245,25 @@ def scoped_or_global(scoped: DataFrame, everywhere: DataFrame, top_k: int) -> Da
 
 
 def finished(answered: DataFrame, asked: DataFrame, spans: DataFrame | None = None) -> DataFrame:
-    """Final payload: compact text, slot filling, confidence. `spans`: query_id, n_spans."""
+    """Final payload: compact text, slot filling, confidence. `spans`: query_id, n_spans.
+
+    What is equal in all that the form depends on is formed once.
+    """
     rows = answered.join(asked.select("query_id", "question", "required_slots"), "query_id")
     rows = rows.withColumn("n_spans", F.lit(1)) if spans is None else rows.join(spans, "query_id", "left")
-    style = questions.answer_style(F.col("question"))
-    rows = rows.withColumn("answer", nfkc(F.col("answer")))
-    rows = rows.withColumn("answer", answer_format.compacted(F.col("answer"), style == "guide"))
-    count = F.coalesce("n_spans", F.lit(0))
-    rows = rows.withColumn("slot_fill_rate", answers.slot_fill_rate(F.col("required_slots"), F.col("answer"), count))
+    # written first, as they are read twice
+    rows = frozen(rows.withColumnRenamed("answer", "__found").withColumn("__count", F.coalesce("n_spans", F.lit(0))))
+
+    def form(each: DataFrame) -> DataFrame:
+        guide = questions.answer_style(F.col("question")) == "guide"
+        each = each.withColumn("answer", nfkc(F.col("__found")))
+        each = each.withColumn("answer", answer_format.compacted(F.col("answer"), guide))
+        return each.withColumn("__rate", answers.slot_fill_rate(F.col("required_slots"), F.col("answer"), F.col("__count")))
+
+    rows = _once_each(rows, ["__found", "question", "required_slots", "__count"], form)
     return rows.select(
-        "query_id", "answer", "source_type", "answer_mode", F.round("slot_fill_rate", 4).alias("slot_fill_rate"),
-        answers.confidence(F.col("slot_fill_rate"), count, F.col("answer_mode")).alias("confidence"),
+        "query_id", "answer", "source_type", "answer_mode", F.round("__rate", 4).alias("slot_fill_rate"),
+        answers.confidence(F.col("__rate"), F.col("__count"), F.col("answer_mode")).alias("confidence"),
     )
 
 

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tenderloom.operators.conversation import exchanges, with_follow_up, with_history, with_intent
@@ -136,6 +137,35 @@ def test_answering_stages(spark):
     assert done.filter("query_id = 2").first()["confidence"] > 0.5
 
 
+def _counting(spark, monkeypatch, module):
+    """Counts the rows whose normal form `module` asks for."""
+    rows = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def same(values: pd.Series) -> pd.Series:
+        rows.add(len(values))
+        return values
+
+    monkeypatch.setattr(module, "nfkc", lambda c: same(F.coalesce(c, F.lit(""))))
+    return rows
+
+
+def test_equal_questions_are_read_and_answered_once(spark, monkeypatch):
+    texts = ["나공사 사업비는 얼마야?", "알 수 없는 것", None]
+    asked = spark.createDataFrame([(i, texts[i % 3]) for i in range(60)], "query_id int, question string")
+    rows = _counting(spark, monkeypatch, answering)
+    known = answering.understood(asked).collect()
+    assert rows.value == 3
+    assert {(r["query_id"], r["question"]) for r in known} == {(i, texts[i % 3]) for i in range(60)} and len(known) == 60
+    stored = spark.createDataFrame(known, answering.understood(asked).schema)
+    found = stored.select("query_id", F.when(F.col("query_id") % 3 == 0, "1,000원입니다.").otherwise("없음").alias("answer"), F.lit("csv").alias("source_type"),
+                          F.lit("extractive").alias("answer_mode")).localCheckpoint()
+    before = rows.value
+    done = answering.finished(found, stored).collect()
+    assert rows.value - before == 3 and len(done) == 60
+    assert {(r["query_id"] % 3, r["answer"]) for r in done} == {(0, "1,000원입니다."), (1, "없음"), (2, "없음")}
+
+
 def test_questions_for_the_text_pass_over_short_answers(spark):
     asked = answering.understood(spark.createDataFrame([(1, "나공사 원문 근거 요약"), (2, "나공사 요약"), (3, "나공사 본문 설명")], "query_id int, question string"))
     everything = lambda a: a.select("query_id", F.lit("x").alias("answer"), F.lit("csv").alias("source_type"), F.lit("e").alias("answer_mode"))
