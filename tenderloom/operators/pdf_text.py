@@ -5,9 +5,13 @@ Spans: doc_id, page, line_id, x, y0, y1, size, text, span_no. Pages: doc_id, pag
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tenderloom.functions import markdown as md
 from tenderloom.functions.text import pattern, strip
@@ -33,23 +37,34 @@ def header_lines(spans: DataFrame) -> DataFrame:
     return large.select(*_PAGE, "line_id", "x", "y", strip("text").alias("text")).filter("text <> ''")
 
 
-def _same_height(rows: pd.DataFrame) -> pd.DataFrame:
-    """Number the visual lines of a page: a line belongs to the group whose first member is less than 3 points away."""
-    rows = rows.sort_values(["y", "x", "line_id"])
-    anchor, number, out = None, -1, []
-    for y in rows["y"]:
-        if anchor is None or abs(y - anchor) >= SAME_LINE:
-            anchor, number = y, number + 1
-        out.append(number)
-    return rows.assign(group_no=out)[["doc_id", "page", "line_id", "group_no"]]
+def _same_height(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the visual lines of pages: a line belongs to the group whose first member is less than 3 points away.
+
+    The rows come page by page and by y (third column), those without one last; these stay in the group before them.
+    """
+    current, anchor, number = None, None, 0
+    for batch in batches:
+        numbers = []
+        for *page, y in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            y = math.nan if y is None else y
+            if page != current:
+                current, anchor, number = page, y, 0
+            elif abs(y - anchor) >= SAME_LINE:
+                anchor, number = y, number + 1
+            numbers.append(number)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int32())], names=[*batch.schema.names, "group_no"])
 
 
 def visual_lines(large: DataFrame) -> DataFrame:
-    """Lines at one height joined from left to right. The grouping follows its own first member, so it is sequential."""
-    types = {f.name: f.dataType.simpleString() for f in large.schema.fields}
-    schema = f"doc_id {types['doc_id']}, page {types['page']}, line_id {types['line_id']}, group_no int"
-    numbered = large.select(*_PAGE, "line_id", "x", "y").groupBy(*_PAGE).applyInPandas(_same_height, schema)
-    grouped = large.join(numbered, [*_PAGE, "line_id"]).groupBy(*_PAGE, "group_no").agg(
+    """Lines at one height joined from left to right. The grouping follows its own first member, so it is sequential.
+
+    The pages of a task pass as one stream, so that neither a call nor memory is spent on each.
+    """
+    rows = large.select(*_PAGE, "y", "line_id", "x", "text").dropna(subset=_PAGE)
+    together = rows.repartition(*_PAGE).sortWithinPartitions(*_PAGE, F.asc_nulls_last("y"))
+    schema = T.StructType([*together.schema.fields, T.StructField("group_no", T.IntegerType())])
+    numbered = together.mapInArrow(_same_height, schema).filter("line_id IS NOT NULL")
+    grouped = numbered.groupBy(*_PAGE, "group_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "line_id", "text"))), lambda s: s["text"]), " ").alias("text")
     )
     return grouped.select(*_PAGE, "group_no", strip("text").alias("text"))

@@ -124,6 +124,24 @@ def test_visual_lines(spark):
     assert [r["text"] for r in out.collect()] == ["t1 t0", "t2 t3", "t4"]
 
 
+def test_visual_lines_pass_a_task_as_one_stream(spark, monkeypatch):
+    calls, of_pages = spark.sparkContext.accumulator(0), pdf_text._same_height
+
+    def counted(rows):
+        calls.add(1)
+        return of_pages(rows)
+
+    monkeypatch.setattr(pdf_text, "_same_height", counted)
+    heights = [10.0, 14.0, 12.9, None, 30.0, 33.0]
+    rows = [(d, p, i, float(i), y, f"t{i}") for d in range(20) for p in range(10) for i, y in enumerate(heights)] + [(None, 1, 1, 1.0, 1.0, "no id")]
+    frame = spark.createDataFrame(rows, "doc_id int, page int, line_id int, x double, y double, text string")
+    found = {}
+    for r in pdf_text.visual_lines(frame).orderBy("doc_id", "page", "group_no").collect():
+        found.setdefault((r["doc_id"], r["page"]), []).append(r["text"])
+    assert found == {(d, p): ["t0 t2", "t1", "t4", "t3 t5"] for d in range(20) for p in range(10)}
+    assert calls.value <= 8  # tasks, not pages
+
+
 def test_section_at(spark):
     heads = spark.createDataFrame([(1, 0, 1, "A"), (1, 5, 2, "a"), (1, 9, 1, "B")], "doc_id int, pos int, level int, heading string")
     asked = spark.createDataFrame([(1, p) for p in (0, 4, 5, 8, 9, 20)] + [(2, 3)], "doc_id int, pos int")
