@@ -21,8 +21,10 @@ from tenderloom.operators.ordered import top_per_group
 from tenderloom.session import frozen, setting
 
 QUERY_BLOCK = 1_024
-CELLS = 4_000_000
+CELLS = 1_000_000
 INDEX_BLOCK = 50_000
+BLOCK_ROWS = 8_192
+MERGED = 8
 
 
 # ---------------------------------------------------------------- scores
@@ -64,10 +66,14 @@ def _nearest_in(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     step, found = max(k, CELLS // max(1, len(queries))), []
     for start in range(0, len(vectors), step):
-        # plus zero: no negative zeros
-        distance = np.round(1.0 - queries @ vectors[start : start + step].T, 6) + 0.0
+        distance = queries @ vectors[start : start + step].T
+        np.subtract(1.0, distance, out=distance)
+        np.round(distance, 6, out=distance)
+        distance += 0.0  # no negative zeros
         rows, columns = _best(distance, ids[start : start + step], k)
         found.append((query_ids[rows], ids[start + columns], distance[rows, columns]))
+        if len(found) == MERGED:
+            found = [_keep([np.concatenate(parts) for parts in zip(*found)], k)]
     return _keep([np.concatenate(parts) for parts in zip(*found)], k)
 
 
@@ -152,11 +158,14 @@ def _by_blocks(index: DataFrame, questions: DataFrame, k: int, query_block: int,
     def search(block: pa.Table, asked: pa.Table) -> pa.Table:
         if block.num_rows == 0 or asked.num_rows == 0:
             return pa.table([pa.array([], type=t) for t in (asked.schema.field("query_id").type, block.schema.field("id").type, pa.float64())], names)
-        vectors, query_vectors = block.column("vector").combine_chunks(), asked.column("vector").combine_chunks()
-        size = len(vectors[0])
-        q, i, d = _nearest_in(
-            asked.column("query_id").to_numpy(), _unit(query_vectors, size), block.column("id").to_numpy(), _unit(vectors, size), k
-        )
+        query_vectors = asked.column("vector").combine_chunks()
+        size, query_ids, best = len(query_vectors[0]), asked.column("query_id").to_numpy(), None
+        queries = _unit(query_vectors, size)
+        # unit vectors of one piece of the block at a time
+        for batch in block.to_batches(max_chunksize=BLOCK_ROWS):
+            found = _nearest_in(query_ids, queries, batch.column("id").to_numpy(zero_copy_only=False), _unit(batch.column("vector"), size), k)
+            best = found if best is None else _keep([np.concatenate(pair) for pair in zip(best, found)], k)
+        q, i, d = best
         return pa.table([pa.array(q), pa.array(i), pa.array(d)], names)
 
     return left.groupBy("ib", "qb").cogroup(right.groupBy("ib", "qb")).applyInArrow(search, schema)

@@ -26,6 +26,7 @@ MOST_LISTS = 4_096
 SAMPLE_PER_LIST = 64
 ROUNDS = 8
 BLOCK_BYTES = 64 << 20
+PROBE_BYTES = 8 << 20
 # Parts of a unit vector as whole numbers, so that sums do not depend on the order of the rows.
 SCALE = 1 << 24
 PROBE_QUESTIONS = 64
@@ -50,8 +51,12 @@ def _lists_of(vectors: np.ndarray, centroids: np.ndarray, n: int = 1) -> np.ndar
     found = np.empty((len(vectors), min(n, len(centroids))), dtype=np.int64)
     step = max(1, CELLS // max(1, len(centroids)))
     for start in range(0, len(vectors), step):
-        distance = np.round(-vectors[start:start + step] @ centroids.T, 9)
-        found[start:start + step] = np.argsort(distance, axis=1, kind="stable")[:, :found.shape[1]]
+        distance = -vectors[start:start + step] @ centroids.T
+        np.round(distance, 9, out=distance)
+        if found.shape[1] == 1:
+            found[start:start + step, 0] = distance.argmin(axis=1)  # the first of equal ones
+        else:
+            found[start:start + step] = np.argsort(distance, axis=1, kind="stable")[:, :found.shape[1]]
     return found
 
 
@@ -137,17 +142,19 @@ def _probes_needed(built: VectorIndex, sample: DataFrame, k: int, n: int) -> int
 
 
 def probed_lists(index: VectorIndex, questions: DataFrame, probes: int | None = None) -> DataFrame:
-    """query_id, vector, list: a row for every list a question with a vector looks into."""
+    """query_id, vector, list: a row for every list a question with a vector looks into, in batches of bounded size."""
     centroids, n = index.centroids, probes or index.probes
+    step = max(1, PROBE_BYTES // (8 * max(1, centroids.shape[1]) * max(1, min(n, len(centroids)))))
     schema = T.StructType([questions.schema["query_id"], questions.schema["vector"], T.StructField("list", T.IntegerType())])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # an empty index has no lists
-            if batch.num_rows and len(centroids):
-                found = _lists_of(_vectors(batch.column(1)), centroids, n)
-                again = pa.array(np.repeat(np.arange(batch.num_rows), found.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(again), batch.column(1).take(again), pa.array(found.ravel(), pa.int32())],
+            for start in range(0, batch.num_rows if len(centroids) else 0, step):
+                piece = batch.slice(start, step)
+                found = _lists_of(_vectors(piece.column(1)), centroids, n)
+                again = pa.array(np.repeat(np.arange(piece.num_rows), found.shape[1]))
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(again), piece.column(1).take(again), pa.array(found.ravel(), pa.int32())],
                                                  names=["query_id", "vector", "list"])
 
     return questions.filter(F.col("vector").isNotNull()).select("query_id", "vector").mapInArrow(choose, schema)

@@ -51,6 +51,23 @@ def test_all_lists_give_the_exact_answer(spark, rows, index):
     assert sorted(map(tuple, found)) == sorted(map(tuple, nearest(rows, questions(rows), 10).collect()))
 
 
+def test_a_question_with_many_lists_is_written_in_pieces(spark, rows, index, monkeypatch):
+    lists, calls, of_rows = len(index.centroids), spark.sparkContext.accumulator(0), vector_index._lists_of
+
+    def counted(vectors, *args):
+        calls.add(1)
+        return of_rows(vectors, *args)
+
+    asked = questions(rows).coalesce(1)
+    whole = vector_index.probed_lists(index, asked, lists).select("query_id", "list").collect()
+    monkeypatch.setattr(vector_index, "PROBE_BYTES", 8 * 16 * lists * 2, raising=False)
+    monkeypatch.setattr(vector_index, "_lists_of", counted)
+    found = vector_index.probed_lists(index, asked, lists).select("query_id", "list").collect()
+    # no batch holds the vectors of more than two questions for all their lists
+    assert calls.value >= len(whole) / lists / 2
+    assert found == whole and len(whole) == lists * asked.filter("vector IS NOT NULL").count()
+
+
 def test_every_row_is_indexed_once(spark, rows, index):
     with_vector = rows.filter("vector IS NOT NULL")
     assert sorted(r["id"] for r in index.rows(spark).collect()) == sorted(r["id"] for r in with_vector.collect())
