@@ -16,7 +16,6 @@ are broken by their place in the stored pieces, an empty table gives no pieces,
 
 from __future__ import annotations
 
-import gc
 import heapq
 import itertools
 import re
@@ -34,7 +33,7 @@ from tenderloom.session import frozen
 CAPACITY = 2048
 END_ID = 1
 RANK_ROWS = 2_000
-MAX_CHUNKS = 600_000
+MAX_CHUNKS, MAX_JOINED = 300_000, 200_000
 # A blank in the widest sense; a cut before a space is safe only after something that is certainly no blank.
 _DOUBTFUL = re.compile(r"\s ")
 _LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[,.;:!?|#$%&*]"
@@ -50,7 +49,9 @@ class ChunkIds(dict):
     something other than a blank, and the ids of the parts, one after the other, are the ids of the text. Parts of plain
     words, punctuation and line breaks are looked up piece by piece. New plain words go through tiktoken's byte-pair
     merge over the same vocabulary, which takes a third of the time; the first words of every worker are compared with
-    the tokenizer, and if one differs, the tokenizer does them all.
+    the tokenizer, and if one differs, the tokenizer does them all. Parts of several pieces are
+    seldom met again and stand apart, so that they do not displace the pieces. `MAX_CHUNKS` and `MAX_JOINED` bound both,
+    but for what one call brings.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -68,6 +69,10 @@ class ChunkIds(dict):
         ranks = {bytes(shown[c] for c in token): n for token, n in vocabulary.items() if all(c in shown for c in token)}
         self.merges = tiktoken.Encoding("words", pat_str=r"\n| ?\p{L}+", mergeable_ranks=ranks, special_tokens={})
         self.line, self.checked = ranks[b"\n"], False
+        self.joined: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.joined[chunk]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -99,10 +104,12 @@ class ChunkIds(dict):
 
     def learn(self, texts: list[list[str]]) -> None:
         """All chunks of the texts that are not known yet."""
-        new = set(itertools.filterfalse(self.__contains__, itertools.chain.from_iterable(texts)))
-        if len(self) + len(new) > MAX_CHUNKS:
+        if len(self) > MAX_CHUNKS:
             self.clear()
-            new = set(itertools.chain.from_iterable(texts))
+        if len(self.joined) > MAX_JOINED:
+            self.joined = {}
+        new = set(itertools.filterfalse(self.__contains__, itertools.chain.from_iterable(texts)))
+        new = set(itertools.filterfalse(self.joined.__contains__, new))
         words = {chunk for chunk in new if _WORD.fullmatch(chunk)}
         new -= words
         plain = [(chunk, _PARTS.findall(chunk)) for chunk in new if _PLAIN.fullmatch(chunk)]
@@ -112,9 +119,12 @@ class ChunkIds(dict):
         other = [*marks, *new.difference([chunk for chunk, _ in plain])]
         self.update(zip(other, self.whole(other)))
         known = self.__getitem__
-        self.update([(chunk, b"".join(map(known, found))) for chunk, found in plain])
-        # what was learned stays; the garbage collector need not walk over it again and again
-        gc.freeze()
+        self.joined.update([(chunk, b"".join(map(known, found))) for chunk, found in plain])
+
+    def release(self) -> None:
+        """Forgets what was learned. The worker may serve other stages for as long as it lives, and they need the memory."""
+        self.clear()
+        self.joined = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = []
@@ -150,20 +160,23 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = chunk_ids(tokenizer_file)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            rows, out = [], []
-            for at in range(0, len(texts), 500):
-                for i, ids in enumerate(known.ids([t or "" for t in texts[at:at + 500]]), start=at):
-                    ids += end
-                    total = len(ids) // 4
-                    for start in range(0, total, capacity):
-                        part = ids[4 * start:4 * (start + capacity)]
-                        rows.append(i)
-                        out.append((start, len(part) // 4, zlib.crc32(part), total))
-            columns = [pa.array([x[k] for x in out], pa.int64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns],
-                                             names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        try:
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                rows, out = [], []
+                for at in range(0, len(texts), 500):
+                    for i, ids in enumerate(known.ids([t or "" for t in texts[at:at + 500]]), start=at):
+                        ids += end
+                        total = len(ids) // 4
+                        for start in range(0, total, capacity):
+                            part = ids[4 * start:4 * (start + capacity)]
+                            rows.append(i)
+                            out.append((start, len(part) // 4, zlib.crc32(part), total))
+                columns = [pa.array([x[k] for x in out], pa.int64()) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns],
+                                                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        finally:
+            known.release()
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")

@@ -93,3 +93,31 @@ def test_empty_table(spark):
     docs = documents(spark, [(1, "x")]).where("false")
     assert token_counts.counted(docs, WORDS, 5).count() == 0
     assert packing.pack(docs, BYTES).count() == 0
+
+
+def test_worker_forgets_its_chunks_after_a_task(spark):
+    from tenderloom.llm.common import worker_store
+
+    docs = documents(spark, list(enumerate(texts(spark)))).coalesce(1)
+    packing.pieces(docs, BYTES).collect()
+
+    def kept(batches):
+        for batch in batches:
+            sizes = [len(known) + len(getattr(known, "joined", ())) for known in worker_store("packing_ids").values()]
+            yield batch.from_arrays([[sum(sizes)]], names=["n"])
+
+    # the worker of the task before serves this one as well
+    assert [r["n"] for r in spark.range(1).coalesce(1).mapInArrow(kept, "n long").collect()] == [0]
+
+
+def test_few_chunks_are_kept(monkeypatch):
+    monkeypatch.setattr(packing, "MAX_CHUNKS", 20)
+    monkeypatch.setattr(packing, "MAX_JOINED", 10, raising=False)
+    known, library = packing.ChunkIds(BYTES), tokenizer(BYTES)
+    for n in range(40):
+        # lines in the middle of a part: such parts do not take the room of words
+        lines = " ".join(f"alpha\nbeta{chr(97 + n % 26)}\ngamma{chr(97 + n // 26)}x{'y' * k}" for k in range(5))
+        for text in (lines, "some words come again, and again", *filter(None, ODD)):
+            ids = np.frombuffer(known.ids([text])[0], "<u4").tolist()
+            assert ids == library.encode(text, add_special_tokens=False).ids
+        assert len(known) <= 20 + 60
