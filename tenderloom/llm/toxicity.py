@@ -51,7 +51,7 @@ LEVELS = (2, 3)
 BLOCK = 256
 SLICE = 16_384
 FREQUENT = 16
-ROWS, ENTRIES, POSTINGS = 512, 1 << 18, 1 << 20
+ROWS, ENTRIES, POSTINGS = 256, 1 << 18, 1 << 20
 CHARACTERS = 1 << 17
 KNOWN_WORDS = 1 << 18
 COSINE_STEPS = 1e12
@@ -154,13 +154,17 @@ def _ranges(low: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Postings of unit vectors in blocks, with the largest weight of every term in every block.
 
-    The postings of a block lie in one run, sorted by term: `starts` has where those of a term begin. Terms in at least one of
-    `FREQUENT` rows are rows of a matrix instead, which takes at most `FREQUENT` times the room of their postings.
+    Terms in at least one of `FREQUENT` rows are rows of a matrix a block, which takes at most `FREQUENT` times the room of
+    their postings, and have their maxima in one of terms and blocks. Nearly all other terms are in few blocks: the postings of
+    a term lie in runs, one for every block that has it. `first` has where the runs of a term begin; a run has its block, its
+    largest weight and where its postings begin. So memory grows with the postings, not with terms times blocks.
     """
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], vocabulary: int, block: int = BLOCK):
         self.block, self.size = block, len(rows)
-        frequency = np.bincount(np.concatenate([t for t, _ in rows]).astype(np.int64), minlength=vocabulary) if rows else np.zeros(vocabulary)
+        frequency = np.zeros(vocabulary, np.int64)
+        for t, _ in rows:
+            frequency[t] += 1  # a term is at most once in a row
         # rows that share a heavy and frequent term stand together, so that few blocks have high maxima for a query
         leading = [int(t[np.argmax(x * frequency[t])]) if len(t) else -1 for t, x in rows]
         self.order = np.array(sorted(range(len(rows)), key=lambda k: (leading[k], k)), dtype=np.int64)
@@ -169,39 +173,53 @@ class BlockMaxIndex:
         self.column = np.full(vocabulary, -1, np.int32)
         self.column[frequent] = np.arange(len(frequent))
         self.frequent = len(frequent)
-        self.maxima = np.zeros((vocabulary, blocks), np.float32)
-        self.blocks = []
+        self.maxima = np.zeros((len(frequent), blocks))
+        self.matrices = np.zeros((blocks, len(frequent), block))
+        postings, filled = int(frequency.sum() - frequency[frequent].sum()), 0
+        self.places, self.values = np.zeros(postings, np.int16 if block < 1 << 15 else np.int32), np.zeros(postings)
+        run_terms, run_blocks, run_sizes, run_maxima = ([] for _ in range(4))
         for b in range(blocks):
             own = self.order[b * block:(b + 1) * block]
             term = np.concatenate([rows[k][0] for k in own]).astype(np.int64)
             weight = np.concatenate([rows[k][1] for k in own])
             place = np.repeat(np.arange(len(own)), [len(rows[k][0]) for k in own])
-            # rounded up, as the maxima are bounds
-            np.maximum.at(self.maxima[:, b], term, np.nextafter(weight.astype(np.float32), np.float32(2)))
             column = self.column[term]
-            matrix = np.zeros((len(frequent), block))
+            matrix = self.matrices[b]
             matrix[column[column >= 0], place[column >= 0]] = weight[column >= 0]
+            self.maxima[:, b] = matrix.max(axis=1)
             rest = np.flatnonzero(column < 0)
             rest = rest[np.argsort(term[rest], kind="stable")]
-            starts = np.searchsorted(term[rest], np.arange(vocabulary + 1)).astype(np.int32)
-            self.blocks.append((starts, place[rest].astype(np.int32), weight[rest], matrix))
-
-    def _opened(self, b: int, row: np.ndarray, terms: np.ndarray, weights: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+            begins = np.flatnonzero(np.diff(term[rest], prepend=-1))
+            run_terms.append(term[rest][begins].astype(np.int32))
+            run_blocks.append(np.full(len(begins), b, np.int16 if blocks < 1 << 15 else np.int32))
+            run_sizes.append(np.diff(begins, append=len(rest)).astype(np.int32))
+            # rounded up, as the maxima are bounds
+            largest = np.maximum.reduceat(weight[rest], begins) if len(rest) else weight[rest]
+            run_maxima.append(np.nextafter(largest.astype(np.float32), np.float32(2)))
+            self.places[filled:filled + len(rest)], self.values[filled:filled + len(rest)] = place[rest], weight[rest]
+            filled += len(rest)
+        run_terms, run_blocks, run_sizes, run_maxima = (
+            np.concatenate(parts) if parts else np.zeros(0, kind) for kind, parts in
+            ((np.int32, run_terms), (np.int32, run_blocks), (np.int32, run_sizes), (np.float32, run_maxima)))
+        # the postings stay where they are, block by block; the runs are put in order of their terms
+        by_term = np.argsort(run_terms, kind="stable")
+        self.first = np.searchsorted(run_terms[by_term], np.arange(vocabulary + 1)).astype(np.int32)
+        self.run_blocks, self.run_sizes, self.run_maxima = run_blocks[by_term], run_sizes[by_term], run_maxima[by_term]
+        self.run_starts = (np.cumsum(run_sizes, dtype=np.int64) - run_sizes)[by_term].astype(np.int32 if postings < 1 << 31 else np.int64)
+
+    def _opened(self, b: int, row: np.ndarray, runs: np.ndarray, weights: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         """A sortable number for every query row and example of a block: cosine first, then the smaller example; -1 below any cosine.
 
-        `frequent` has a row per query with its weights of the frequent terms, the entries are those of all other terms.
+        `frequent` has a row per query with its weights of the frequent terms, the runs of this block are those of all others.
         """
-        starts, places, values, matrix = self.blocks[b]
         rows = len(frequent)
-        low, sizes = starts[terms].astype(np.int64), (starts[terms + 1] - starts[terms]).astype(np.int64)
-        met = np.flatnonzero(sizes)
-        row, low, sizes, weights = row[met], low[met], sizes[met], weights[met]
-        total, ends = (frequent @ matrix).ravel(), np.cumsum(sizes)
+        low, sizes = self.run_starts[runs].astype(np.int64), self.run_sizes[runs].astype(np.int64)
+        total, ends = (frequent @ self.matrices[b]).ravel(), np.cumsum(sizes)
         at = 0
         while at < len(sizes):
             end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + POSTINGS)))
             n, p = sizes[at:end], _ranges(low[at:end], sizes[at:end])
-            total += np.bincount(np.repeat(row[at:end] * self.block, n) + places[p], weights=values[p] * np.repeat(weights[at:end], n), minlength=len(total))
+            total += np.bincount(np.repeat(row[at:end] * self.block, n) + self.places[p], weights=self.values[p] * np.repeat(weights[at:end], n), minlength=len(total))
             at = end
         steps = np.rint(total.reshape(rows, self.block) * COSINE_STEPS).astype(np.int64)
         own = np.zeros(self.block, np.int64)
@@ -213,17 +231,20 @@ class BlockMaxIndex:
 
         So a block is opened for many rows at once.
         """
-        rows, sizes = len(starts) - 1, np.diff(starts)
-        bounds, filled = np.zeros((rows, len(self.blocks))), sizes > 0
-        for b in range(len(self.blocks)):
-            if filled.any():
-                bounds[filled, b] = np.add.reduceat(weights * self.maxima[terms, b], starts[:-1][filled])
-        row, column = np.repeat(np.arange(rows), sizes), self.column[terms]
+        rows, blocks, column = len(starts) - 1, len(self.matrices), self.column[terms]
+        row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(starts))
         frequent = np.zeros((rows, self.frequent))
         frequent[row[column >= 0], column[column >= 0]] = weights[column >= 0]
         row, terms, weights = row[column < 0], terms[column < 0], weights[column < 0]
-        sizes = np.bincount(row, minlength=rows)
-        low = np.cumsum(sizes) - sizes
+        sizes = (self.first[terms + 1] - self.first[terms]).astype(np.int64)
+        runs, row, weights = _ranges(self.first[terms].astype(np.int64), sizes).astype(np.int32), np.repeat(row, sizes), np.repeat(weights, sizes)
+        block = self.run_blocks[runs]
+        bounds = frequent @ self.maxima
+        bounds += np.bincount(row * np.int64(blocks) + block, weights=weights * self.run_maxima[runs], minlength=rows * blocks).reshape(rows, blocks)
+        # the runs met, block by block, in each by row and term
+        order = np.argsort(block, kind="stable")
+        edges = np.searchsorted(block[order], np.arange(blocks + 1))
+        row, runs, weights = row[order], runs[order], weights[order]
         best, leading = np.full((rows, k), -1, np.int64), bounds.argmax(axis=1)
         for turn in (0, 1):
             for b in np.argsort(-bounds.max(axis=0), kind="stable").tolist():
@@ -236,8 +257,12 @@ class BlockMaxIndex:
                 own = np.flatnonzero(more & (bounds[:, b] > 0))
                 if not len(own):
                     continue
-                entries = _ranges(low[own], sizes[own])
-                found = self._opened(b, np.repeat(np.arange(len(own)), sizes[own]), terms[entries], weights[entries], frequent[own])
+                number = np.full(rows, -1, np.int64)
+                number[own] = np.arange(len(own))
+                low, high = edges[b], edges[b + 1]
+                asked = number[row[low:high]]
+                met = np.flatnonzero(asked >= 0)
+                found = self._opened(b, asked[met], runs[low:high][met], weights[low:high][met], frequent[own])
                 best[own] = np.partition(np.concatenate((best[own], found), axis=1), -k, axis=1)[:, -k:]
         return -np.sort(-best, axis=1)
 
@@ -276,7 +301,16 @@ class Judge:
     neighbours: int = NEIGHBOURS
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("index", "counter")}
+        """Without what is built where it is used; the examples as three long arrays, which a worker can give back as a whole."""
+        state = {k: v for k, v in self.__dict__.items() if k not in ("index", "counter", "examples")}
+        sizes = np.array([len(t) for t, _ in self.examples], np.int64)
+        long = (np.concatenate([np.zeros(0, kind), *(e[c] for e in self.examples)]) for c, kind in enumerate((np.int32, np.float64)))
+        return state | {"long": (np.concatenate(([0], np.cumsum(sizes))), *long)}
+
+    def __setstate__(self, state: dict) -> None:
+        starts, told, units = state.pop("long")
+        self.__dict__.update(state)
+        self.examples = [(told[a:b], units[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
 
     @cached_property
     def index(self) -> BlockMaxIndex:

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tenderloom.llm import language, toxicity
@@ -220,3 +221,28 @@ def test_a_copy_of_any_example_finds_it(spark):
     for i, _ in labelled:
         if zlib.crc32(str(i).encode()) % 5:
             assert got[3000 + i][0]["example_id"] == str(i) and abs(got[3000 + i][0]["cosine"] - 1) < 1e-9
+
+
+def test_index_grows_with_its_postings_not_with_terms_times_blocks():
+    def room(x):
+        return x.nbytes if isinstance(x, np.ndarray) else sum(map(room, x)) if isinstance(x, (list, tuple)) else 0
+
+    rows = [(np.array([0, *range(1 + 9 * k, 10 + 9 * k)], np.int32), np.full(10, 10 ** -0.5)) for k in range(2000)]
+    index = toxicity.BlockMaxIndex(rows, 18_001, block=16)
+    # one frequent term, 18,000 others of one row each; 125 blocks
+    assert sum(map(room, index.__dict__.values())) < 64 * 20_000
+    assert index.nearest(np.arange(1, 10), np.full(9, 1 / 3), 3) == [(pytest.approx(0.9 ** 0.5), 0)]
+
+
+def test_judge_travels_with_its_examples():
+    import pickle
+
+    rows = [(np.array([0, 2], np.int32), np.array([0.6, 0.8])), (np.array([1], np.int32), np.array([1.0]))]
+    judge = toxicity.Judge(["=a", "=b", "=c"], np.ones(3), rows, [7, 8], np.array([1, 0]))
+    first = pickle.loads(pickle.dumps(judge))
+    assert [[x.tolist() for x in row] for row in first.examples] == [[x.tolist() for x in row] for row in rows]
+    # two long arrays, no matter how many examples
+    assert first.examples[0][0].base is first.examples[1][0].base
+    scores, _, near = first.judged(["a c", "b", ""])
+    assert near[:, 0].tolist() == [0, 1, -1] and scores[0] > scores[1] and scores[2] == 0
+    assert pickle.loads(pickle.dumps(toxicity.Judge())).examples == []
