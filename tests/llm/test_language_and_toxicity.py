@@ -246,3 +246,56 @@ def test_judge_travels_with_its_examples():
     scores, _, near = first.judged(["a c", "b", ""])
     assert near[:, 0].tolist() == [0, 1, -1] and scores[0] > scores[1] and scores[2] == 0
     assert pickle.loads(pickle.dumps(toxicity.Judge())).examples == []
+
+
+def test_driver_holds_neither_index_nor_words_of_examples(spark, monkeypatch):
+    import os
+
+    driver, index, counter, travelling = os.getpid(), toxicity.BlockMaxIndex, toxicity.TermCounter, []
+
+    def elsewhere(kind):
+        def made(*args):
+            assert os.getpid() != driver, "made on the driver"
+            return kind(*args)
+        return made
+
+    def broadcast(context, value, send=type(spark.sparkContext).broadcast):
+        travelling.append((value.counted.nbytes if value.counted is not None else 0, len(value.examples), len(value.vocabulary), type(value.vocabulary)))
+        return send(context, value)
+
+    rows, labelled = _made_for_toxicity()
+    docs, labels = documents(spark, rows), spark.createDataFrame(labelled, "doc_id long, toxic int")
+    expected = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, labels, bucket_of("doc_id", 5) == 0).collect()}
+    monkeypatch.setattr(toxicity, "BlockMaxIndex", elsewhere(index))
+    monkeypatch.setattr(toxicity, "TermCounter", elsewhere(counter))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, labels, bucket_of("doc_id", 5) == 0).collect()}
+    assert got == pytest.approx(expected, abs=1e-9)
+    # the vocabulary once and never as string objects, the examples once as packed bytes
+    assert [bool(n) for _, _, n, _ in travelling] == [True, False] and not any(n for _, n, _, _ in travelling)
+    known = [text for (i, text) in rows[:160] if zlib.crc32(str(i).encode()) % 5]
+    assert not isinstance(travelling[0][3], list) and 0 < travelling[1][0] < 8 * sum(len(toxicity.terms(t)) for t in known)
+
+
+def test_examples_passed_over_are_as_if_not_in_the_index():
+    rng = np.random.default_rng(7)
+    rows = []
+    for _ in range(300):
+        x = rng.choice([1.0, 1.5, 2.0], 6)
+        rows.append((np.sort(rng.choice(50, 6, replace=False)).astype(np.int32), x / np.sqrt(x @ x)))
+    without = np.arange(300) % 5 == 0
+    kept = np.flatnonzero(~without)
+    whole, part = toxicity.BlockMaxIndex(rows, 50, block=16), toxicity.BlockMaxIndex([rows[k] for k in kept], 50, block=16)
+    starts = np.concatenate(([0], np.cumsum([6] * 60)))
+    asked = tuple(np.concatenate([rows[k][c] for k in range(0, 300, 5)]) for c in (0, 1))
+    cosines, near = whole.nearest_of(starts, *asked, 15, without)
+    expected, of_part = part.nearest_of(starts, *asked, 15)
+    assert np.allclose(cosines, expected, atol=1e-11) and not without[near].any()
+    assert (near[:, 0] == kept[of_part[:, 0]]).mean() > 0.9
+
+
+@pytest.mark.parametrize("most", [0, 1, 255, 256, 70_000, 5_000_000_000])
+def test_packed_occurrences_come_back(most):
+    terms, counts = np.array([3, 9, 400_000][:3 if most else 0]), np.array([1, most, 2][:3 if most else 0], np.int64)
+    found, n = toxicity._told(*toxicity._packed(terms, counts))
+    assert found.tolist() == terms.tolist() and n.tolist() == counts.tolist()
