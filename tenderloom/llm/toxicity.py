@@ -336,12 +336,22 @@ class Judge:
 
     @cached_property
     def index(self) -> BlockMaxIndex:
-        rows = self.examples
-        if self.counted is not None:
-            rows = [(t, self.units(np.array([0, len(t)]), t, n)) for t, n in map(_told, *(self.counted.column(c).to_pylist() for c in ("terms", "counts")))]
+        rows = self.examples if self.counted is None else self._unpacked(self.counted)
         self.examples, self.counted = [], None  # they are in the index now
         return BlockMaxIndex(rows, len(self.weights))
 
+    def _unpacked(self, counted: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The counted examples as pairs of terms and unit weights, in two long arrays, which a worker can give back as a whole."""
+        starts = np.concatenate(([0], np.cumsum(pc.binary_length(counted["terms"]).to_numpy() // 4, dtype=np.int64)))
+        terms, units = np.empty(starts[-1], np.int32), np.empty(starts[-1])
+        for at in range(0, counted.num_rows, BLOCK):
+            part, edges = counted.slice(at, BLOCK), starts[at:at + BLOCK + 1]
+            told = [_told(t.as_buffer(), n.as_buffer()) for t, n in zip(part["terms"], part["counts"])]
+            own = slice(edges[0], edges[-1])
+            terms[own] = np.concatenate([t for t, _ in told])
+            units[own] = self.units(edges - edges[0], terms[own], np.concatenate([n for _, n in told]))
+        return [(terms[a:b], units[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+
     @cached_property
     def counter(self) -> TermCounter:
         return TermCounter(self.vocabulary)

@@ -299,3 +299,17 @@ def test_packed_occurrences_come_back(most):
     terms, counts = np.array([3, 9, 400_000][:3 if most else 0]), np.array([1, most, 2][:3 if most else 0], np.int64)
     found, n = toxicity._told(*toxicity._packed(terms, counts))
     assert found.tolist() == terms.tolist() and n.tolist() == counts.tolist()
+
+
+def test_packed_examples_are_unpacked_into_two_long_arrays():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    rows = [(np.sort(rng.choice(900, n, replace=False)), rng.integers(1, 400 if n > 20 else 4, n)) for n in rng.integers(1, 40, 600)]
+    packed = [toxicity._packed(*r) for r in rows]
+    judge = toxicity.Judge(weights=rng.random(900) + 0.1)
+    found = judge._unpacked(pa.table({c: pa.array([p[k] for p in packed], pa.binary()) for k, c in enumerate(("terms", "counts"))}))
+    for (t, n), (told, units) in zip(rows, found, strict=True):
+        x = (1 + np.log(n)) * judge.weights[t]
+        assert told.tolist() == t.tolist() and np.allclose(units, x / np.sqrt(x @ x), atol=1e-14)
+    assert len({id(x.base) for x, _ in found}) == len({id(x.base) for _, x in found}) == 1
