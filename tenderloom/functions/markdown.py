@@ -111,9 +111,10 @@ def join_bold(line: Column) -> Column:
     """Merge neighbouring bold spans of a line. Each pass halves their number, so the passes follow from the count."""
     spans = F.greatest(F.regexp_count(line, F.lit(r"\*\*")) / 2, F.lit(1.0))
     passes = F.sequence(F.lit(0), F.ceil(F.log2(spans)).cast("int") + 1)
-    return F.aggregate(
+    merged = F.aggregate(
         passes, line, lambda text, _: F.regexp_replace(text, r"(?Ud)\*\*(.+?)\*\*\s*\*\*(.+?)\*\*", "**$1 $2**")
     )
+    return F.when(F.contains(line, F.lit("**")), merged).otherwise(line)
 
 
 def roman_with_dot(line: Column) -> Column:
@@ -154,7 +155,9 @@ def line_heading_type(line: Column) -> Column:
             else F.lit(name)
         )
         kind = F.when(text.rlike(pattern(rf"\A(?:{regex})$")), value).otherwise(kind)
-    skipped = (text == "") | text.rlike(pattern(r"\A<<PAGE:\s*\d+>>")) | F.startswith(text, F.lit("|"))
+    # Every pattern but the brackets' opens with one of these; most lines end here, without a look at their whole text.
+    opens = F.substring(text, 1, 1).rlike(pattern(r"[\dIVXivxⅠ-Ⅻⅰ-ⅻ가-하]"))
+    skipped = ~opens | (text == "") | text.rlike(pattern(r"\A<<PAGE:\s*\d+>>")) | F.startswith(text, F.lit("|"))
     return F.when(~skipped, kind)
 
 

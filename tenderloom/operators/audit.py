@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tenderloom import fixed_values as fixed
 from tenderloom.functions import markdown as md
 from tenderloom.functions.text import blank, pattern, strip
-from tenderloom.operators.lines import join_lines
+from tenderloom.operators.lines import by_document, join_lines, parts_of
 from tenderloom.operators.tables import join_cell_lines
 
 _PAGE = ("doc_id", "page_no", "page")
@@ -18,9 +18,9 @@ def _is_marker(line: Column) -> Column:
     return strip(line).rlike(pattern(r"\A<<PAGE:\s*\d+>>"))
 
 
-def page_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+def page_rows(docs: DataFrame, text: str = "text", parts: int | None = None) -> DataFrame:
     """One row per page of every document: `page_no` counts them, `page` is the marked number."""
-    placed = docs.select("doc_id", F.col(text).alias("text")).repartition("doc_id")
+    placed = by_document(docs.select("doc_id", F.col(text).alias("text")), parts=parts)
     rows = placed.select("doc_id", F.posexplode(md.pages(F.col("text"))).alias("page_no", "p"))
     return rows.select("doc_id", "page_no", F.col("p.page").alias("page"), F.col("p.content").alias("text"))
 
@@ -132,10 +132,13 @@ def table_line_count(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def audit(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Parsed Markdown with page markers to audited Markdown; front matter is passed through."""
+    """Parsed Markdown with page markers to audited Markdown; front matter is passed through.
+
+    The number of parts follows from the texts as they come, which spares another pass over the bodies.
+    """
     parts = docs.withColumn("__fm", md.split_front_matter(F.col(text)))
     body = parts.select("doc_id", F.col("__fm.body").alias("text"))
-    lines = without_contents_headings(with_headings(normalized_lines(page_rows(body))))
+    lines = without_contents_headings(with_headings(normalized_lines(page_rows(body, parts=parts_of(docs, text)))))
     front = parts.filter("__fm.front is not null").select("doc_id", F.col("__fm.front").alias("front"))
     whole = document_text(lines).join(front, "doc_id", "left")
     fronted = F.concat(F.lit("---"), F.col("front"), F.lit("---"), F.col("text"))

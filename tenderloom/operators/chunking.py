@@ -1,7 +1,7 @@
 """From Markdown documents to chunks with sections and pages.
 
 Everything up to the pieces is row-local. The pieces of a document are then ordered by windows over `doc_id`, for
-which the documents are partitioned once, before they are cut.
+which they are dealt once more: Python, which cuts long texts, does not keep the partitioning.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tenderloom import fixed_values as fixed
 from tenderloom.functions import markdown as md
 from tenderloom.functions.text import strip
+from tenderloom.operators.lines import by_document, parts_of
 
 _SEPARATORS = ("\n\n", "\n", " ")
 _ORDER = ["section_no", "part_no", "piece_no"]
@@ -168,14 +169,15 @@ def join_heading_pieces(rows: DataFrame, text: str = "text", keep: tuple[str, ..
     )
 
 
-def chunk_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def chunk_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """Cleaned Markdown documents (`doc_id`, text, and columns to keep) to chunks in document order.
 
-    Tables should be flat before (`tables.flatten_tables`).
+    Tables should be flat before (`tables.flatten_tables`). `parts` spares a pass over the texts, see `lines.by_document`.
     """
-    placed = docs.select("doc_id", *keep, text).repartition("doc_id")
+    parts = parts_of(docs, text) if parts is None else parts
+    placed = by_document(docs.select("doc_id", *keep, text), text, parts)
     cleaned = placed.withColumn(text, md.clean_for_chunks(F.col(text)))
-    rows = pieces(sections(insert_headings(cleaned, text), text), text)
+    rows = by_document(pieces(sections(insert_headings(cleaned, text), text), text), text, parts)
     return join_heading_pieces(with_pages(rows, text), text, keep)
 
 

@@ -11,17 +11,22 @@ from tenderloom.session import setting
 CHARS_PER_TASK = 16 << 20
 
 
-def by_document(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents partitioned by `doc_id`, in so many parts that a task's share does not grow with the table."""
+def parts_of(docs: DataFrame, text: str = "text") -> int:
+    """So many parts that a task's share of the texts does not grow with the table; the session's number at least."""
     spark = docs.sparkSession
     chars = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
     parts = -(-chars // setting(spark, "chars.per.task", CHARS_PER_TASK))
-    return docs.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")
+    return max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def explode_lines(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def by_document(docs: DataFrame, text: str = "text", parts: int | None = None, key: str = "doc_id") -> DataFrame:
+    """The documents partitioned by `doc_id` (or another key), in `parts_of` parts unless their number is known."""
+    return docs.repartition(parts_of(docs, text) if parts is None else parts, key)
+
+
+def explode_lines(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), parts: int | None = None) -> DataFrame:
     """One row per line; documents are partitioned by `doc_id` before, so that windows over it need no other shuffle."""
-    placed = by_document(docs.select(*keys, text), text)
+    placed = by_document(docs.select(*keys, text), text, parts)
     return placed.select(*keys, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
 
 

@@ -84,52 +84,48 @@ def flatten_lines(lines: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Data
     as_data = F.col("data") | (first_row & ~F.col("separator") & head_counts)
     text = F.when(as_data, row_text(F.col("headers"), F.col("values"))).otherwise(F.lit(""))
     rows = rows.withColumn("out", F.when(flat, F.nullif(text, F.lit(""))).otherwise(F.col("line"))).withColumn("flat", flat)
+    rows = rows.withColumn("__empty", F.col("flat") & (F.count("out").over(table) == 0) & first_row)
 
-    # The run of short lines right before a flattened table: its title.
     window = in_document(keys)
-    back = Window.partitionBy(*keys).orderBy(F.desc("line_no"))
-    up_to = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after_table = F.coalesce(F.lag("in_table").over(window), F.lit(False))
     short = ~F.col("in_table") & ~blank(F.col("line")) & (F.length(strip("line")) < fixed.TABLE_PREFIX_MAX) & ~after_table
-    rows = rows.withColumn("__short", short)
-    rows = rows.withColumn("__run", F.count_if(~F.col("__short")).over(up_to))
-    return _with_titles(rows, keys, F.lag("flat").over(back))
+    return _with_titles(rows.withColumn("__short", short), keys)
 
 
-def _with_titles(rows: DataFrame, keys: tuple[str, ...], next_flat: Column) -> DataFrame:
-    run = Window.partitionBy(*keys, "__run", "__short").orderBy("line_no")
-    run_back = Window.partitionBy(*keys, "__run", "__short").orderBy(F.desc("line_no"))
-    rows = rows.withColumn("__next_flat", F.coalesce(next_flat, F.lit(False)))
+def _with_titles(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Cut the run of short lines right before a flattened table, its title; every window sorts the lines of a document anew
+    only if it reads them backwards."""
+    window = in_document(keys)
+    no = F.lit(False)
     rows = rows.select(
         "*",
-        F.row_number().over(run).alias("__from_start"),
-        F.row_number().over(run_back).alias("__from_end"),
-        F.bool_or("__next_flat").over(Window.partitionBy(*keys, "__run", "__short")).alias("__title"),
+        F.coalesce(F.lag("__short").over(window), no).alias("__after_short"),
+        F.coalesce(F.lead("__short").over(window), no).alias("__before_short"),
     )
-    title = F.col("__short") & F.col("__title")
-    cut = F.when(title & (F.col("__from_start") == 1), F.regexp_replace("out", r"\A\s+", "")).otherwise(F.col("out"))
-    cut = F.when(title & (F.col("__from_end") == 1), F.regexp_replace(cut, r"\s+\z", "")).otherwise(cut)
+    below = Window.partitionBy(*keys).orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    # The line that ends a run of short lines: only it can open a table.
+    next_flat = F.last(F.when(~F.col("__short"), F.col("flat")), ignorenulls=True).over(below)
+    title = F.col("__short") & F.coalesce(next_flat, no)
+    rows = rows.withColumn("__title", title)
+    cut = F.when(F.col("__title") & ~F.col("__after_short"), F.regexp_replace("out", r"\A\s+", "")).otherwise(F.col("out"))
+    cut = F.when(F.col("__title") & ~F.col("__before_short"), F.regexp_replace(cut, r"\s+\z", "")).otherwise(cut)
     # A table of empty cells without a title leaves one empty line.
-    block = Window.partitionBy(*keys, "block", "in_table")
-    rows = rows.withColumn("out", cut)
-    empty = F.col("flat") & (F.count("out").over(block) == 0) & (F.col("row_no") == 1)
-    untitled = ~F.coalesce(F.lag("__short").over(Window.partitionBy(*keys).orderBy("line_no")), F.lit(False))
-    rows = rows.withColumn("out", F.when(empty & untitled, F.lit("")).otherwise(F.col("out")))
+    rows = rows.withColumn("out", F.when(F.col("__empty") & ~F.col("__after_short"), F.lit("")).otherwise(cut))
     return rows.filter(F.col("out").isNotNull()).select(*keys, "line_no", F.col("out").alias("line"))
 
 
-def flatten_tables(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def flatten_tables(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """Documents with all their Markdown tables flattened. Documents without a table row pass untouched."""
     has_table = F.col(text).rlike(r"(?md)^\s*\|.+\|\s*$")
     plain = docs.filter(~has_table).select("doc_id", *keep, text)
     with_tables = docs.filter(has_table)
     keys = ("doc_id", *keep)
-    flat = join_lines(flatten_lines(explode_lines(with_tables, text, keys), keys), keys, text=text)
+    flat = join_lines(flatten_lines(explode_lines(with_tables, text, keys, parts), keys), keys, text=text)
     return plain.unionByName(flat)
 
 
 def join_cell_lines(lines: DataFrame, is_page_marker: Column, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Lines that continue the last cell of a table row are appended to it."""
+    """Lines that continue the last cell of a table row are appended to it. All windows read the lines in one order."""
     window = in_document(keys)
     text = strip("line")
     row = F.startswith(text, F.lit("|")) & F.endswith(text, F.lit("|"))
@@ -137,15 +133,14 @@ def join_cell_lines(lines: DataFrame, is_page_marker: Column, keys: tuple[str, .
     may_follow = (text != "") & ~F.startswith(text, F.lit("|")) & ~F.startswith(text, F.lit("#")) & ~is_page_marker
     flagged = lines.select("*", row.alias("__row"), (may_follow & before_open).alias("__follows"))
     up_to = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    grouped = flagged.withColumn("__group", F.count_if(~F.col("__follows")).over(up_to))
-    leader = F.first("__row").over(Window.partitionBy(*keys, "__group").orderBy("line_no"))
-    joined = grouped.withColumn("__joins", F.col("__follows") & (F.col("__group") > 0) & leader)
-    target = F.count_if(~F.col("__joins")).over(up_to)
-    part = Window.partitionBy(*keys, "__target").orderBy("line_no")
-    last_part = F.lead("__joins").over(part)
-    joined = joined.withColumn("__target", target)
+    # The last line that follows none leads those after it; the first line follows none.
+    leader = F.last(F.when(~F.col("__follows"), F.col("__row")), ignorenulls=True).over(up_to)
+    joined = flagged.withColumn("__joins", F.col("__follows") & leader)
+    joined = joined.select(
+        "*", F.count_if(~F.col("__joins")).over(up_to).alias("__target"), F.lead("__joins").over(window).alias("__goes_on")
+    )
     shown = F.when(F.col("__joins"), strip("line")).otherwise(F.col("line"))
-    shown = F.when(F.coalesce(last_part, F.lit(False)), F.regexp_replace(shown, r"\s+\z", "")).otherwise(shown)
+    shown = F.when(F.coalesce("__goes_on", F.lit(False)), F.regexp_replace(shown, r"\s+\z", "")).otherwise(shown)
     pieces = joined.withColumn("__shown", shown)
     return pieces.groupBy(*keys, "__target").agg(
         F.min("line_no").alias("line_no"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tenderloom.functions.markdown import front_matter
 from tenderloom.operators import audit, chunking, hierarchy, sparse, store, tables
+from tenderloom.operators.lines import by_document, parts_of
 from tenderloom.session import frozen
 from tenderloom.sources import stores
 
@@ -25,11 +26,13 @@ class Index:
 def chunk_table(parsed: DataFrame, title: Column, created_at: Column) -> DataFrame:
     """Audited, flattened and cut documents as full chunk rows. `parsed`: doc_id, text.
 
-    The audited texts are written once: the flattening reads documents with and without tables apart.
+    The audited texts are written once: the flattening reads documents with and without tables apart. Their length gives
+    the number of parts for it and for the chunks.
     """
     audited = frozen(audit.audit(parsed))
+    parts = parts_of(audited)
     body = audited.select("doc_id", front_matter(F.col("text"))["body"].alias("text"))
-    chunks = chunking.chunk_documents(tables.flatten_tables(body))
+    chunks = chunking.chunk_documents(tables.flatten_tables(body, parts=parts), parts=parts)
     titles = parsed.select("doc_id", title.alias("title"))
     joined = chunks.join(titles, "doc_id")
     return chunking.with_chunk_metadata(joined, F.col("title"), created_at).drop("title")
@@ -38,14 +41,16 @@ def chunk_table(parsed: DataFrame, title: Column, created_at: Column) -> DataFra
 def build_index(parsed: DataFrame, title: Column, created_at: Column) -> Index:
     """Chunks with uids and section links, the section hierarchy and the sparse weights.
 
-    The chunks are written once to the checkpoint folder: three tables are made of them.
+    The chunks are written once to the checkpoint folder: three tables are made of them. For the weights they are dealt by
+    key before their terms are counted, so that texts are shuffled and not a row per term.
     """
     chunks = frozen(chunk_table(parsed, title, created_at))
     entries = hierarchy.section_entries(chunks)
+    keyed = by_document(chunks.select(F.concat_ws("/", "doc_id", "uid").alias("key"), "text"), key="key")
     return Index(
         chunks=hierarchy.with_section_uid(chunks, entries),
         hierarchy=hierarchy.hierarchy(chunks),
-        sparse=sparse.sparse_weights(chunks.withColumn("key", F.concat_ws("/", "doc_id", "uid")), "key", "text"),
+        sparse=sparse.sparse_weights(keyed, "key", "text"),
     )
 
 
@@ -72,7 +77,7 @@ def run_rows(parsed: DataFrame, index: Index, failures: DataFrame | None = None)
     vectors = F.count_if(F.col("vector").isNotNull()) if "vector" in index.chunks.columns else F.lit(0).cast("long")
     chunks = index.chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_count"), vectors.alias("dense_count"))
     # a key is doc_id/uid with one row per term
-    weighted = index.sparse.select(F.regexp_replace("key", "/[^/]*$", "").alias("__doc"), "key").distinct()
+    weighted = index.sparse.select("key").distinct().select(F.regexp_replace("key", "/[^/]*$", "").alias("__doc"))
     weighted = weighted.groupBy("__doc").agg(F.count("*").alias("sparse_count"))
     sections = index.hierarchy.groupBy("doc_id").agg(F.count("*").alias("hierarchy_count"))
     taken = F.col("duration_sec") if "duration_sec" in parsed.columns else F.lit(None).cast("double")

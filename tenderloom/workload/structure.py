@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tenderloom.functions import markdown as md
 from tenderloom.operators import audit, chunking, hierarchy, pdf_text, sparse, tables
-from tenderloom.operators.lines import by_document, explode_lines
+from tenderloom.operators.lines import by_document, explode_lines, parts_of
 from tenderloom.operators.ordered import row_numbers
 from tenderloom.sources.tables import table
 from tenderloom.workload.derived import markdown_documents, with_sql
@@ -199,8 +199,10 @@ def recursive_chunks(spark, sf):
 
 def document_chunks(spark, sf):
     """Whole documents to chunks: flat tables, cleaning, hierarchy, sections, sizes, pages, joined headings."""
-    flat = tables.flatten_tables(markdown_documents(spark, sf), keep=("source",))
-    chunks = chunking.chunk_documents(flat, keep=("source",))
+    docs = markdown_documents(spark, sf)
+    parts = parts_of(docs)
+    flat = tables.flatten_tables(docs, keep=("source",), parts=parts)
+    chunks = chunking.chunk_documents(flat, keep=("source",), parts=parts)
     full = chunking.with_chunk_metadata(
         chunks.withColumnRenamed("source", "origin"), F.concat(F.col("origin"), F.lit("_사업"), F.col("doc_id").cast("string"), F.lit(".md")),
         F.lit("2024-01-01T00:00:00"),
